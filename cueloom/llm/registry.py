@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cueloom.llm import sharding, warc
+from cueloom.llm import mixing, sharding, warc
 
-MODULES = (sharding, warc)
+MODULES = (sharding, mixing, warc)
 
 
 def queries() -> dict:
