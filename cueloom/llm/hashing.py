@@ -113,7 +113,7 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
             if n >= size:
                 yield np.unique(runs[at : at + n - size + 1])
             elif n:
-                yield mix64(np.sum(hashes[at : at + n] * _STEP[:n], keepdims=True, dtype=np.uint64) + _STEP[7] * np.uint64(n))
+                yield mix64(np.sum(hashes[at : at + n] * _STEP[:n], keepdims=True, dtype=np.uint64) + _STEP[7:] * np.array([n], np.uint64))
             else:
                 yield np.zeros(0, np.uint64)
             at += n

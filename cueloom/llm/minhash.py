@@ -215,8 +215,8 @@ WITH RECURSIVE w AS (
 s AS (SELECT DISTINCT doc_id, hash(CASE WHEN len(v) < 5 THEN v ELSE v[i:i + 4] END) AS h
       FROM (SELECT doc_id, v, unnest(range(1, greatest(len(v) - 4, 1) + 1)) AS i FROM w WHERE len(v) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n q ON q.doc_id = a JOIN n r ON r.doc_id = b WHERE 100 * both >= 75 * (q.n + r.n - both)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n q ON q.doc_id = a JOIN n r ON r.doc_id = b WHERE 100 * common >= 75 * (q.n + r.n - common)),
 c AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.r)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, g.m AS component_id, d.doc_id = g.m AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(r) AS m FROM c GROUP BY a) g ON g.a = d.doc_id"""

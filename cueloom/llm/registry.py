@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cueloom.llm import mixing, sharding, warc
+from cueloom.llm import minhash, mixing, sharding, warc
 
-MODULES = (sharding, mixing, warc)
+MODULES = (minhash, sharding, mixing, warc)
 
 
 def queries() -> dict:
