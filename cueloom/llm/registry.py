@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cueloom.llm import minhash, mixing, sharding, tokens, warc
+from cueloom.llm import minhash, mixing, packing, sharding, tokens, warc
 
-MODULES = (minhash, sharding, mixing, warc, tokens)
+MODULES = (minhash, packing, sharding, mixing, warc, tokens)
 
 
 def queries() -> dict:
