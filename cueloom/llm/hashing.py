@@ -83,27 +83,27 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         i = j
 
 
-def word_hashes(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, dict[int, np.ndarray], np.ndarray]]:
-    """For runs of texts: index of the first, hashes of all words, of their prefixes, words per text."""
+def word_runs(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, Words]]:
+    """For runs of texts: index of the first, their bytes, their words; places are in those bytes."""
     for at, n, data, offsets in blocks(texts):
         if n > 1 or len(data) <= 2 * BLOCK:
-            w = hash_block(data, offsets, prefixes)
-            yield at, w.hashes, w.prefixes, w.counts
+            yield at, data, hash_block(data, offsets, prefixes)
             continue
         parts, i = [], 0
         while i < len(data):  # one very long text
             j = min(i + BLOCK, len(data))
             while j < len(data) and not _SPACE[data[j]]:
                 j += 1
-            parts.append(hash_block(data[i:j], np.array([0, j - i]), prefixes))
+            w = hash_block(data[i:j], np.array([0, j - i]), prefixes)
+            parts.append(w._replace(starts=w.starts + i, ends=w.ends + i))
             i = j
-        merged = np.concatenate([p.hashes for p in parts])
-        yield at, merged, {k: np.concatenate([p.prefixes[k] for p in parts]) for k in prefixes}, np.array([len(merged)])
+        hashes, starts, ends = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        yield at, data, Words(hashes, starts, ends, np.array([len(hashes)]), {k: np.concatenate([p.prefixes[k] for p in parts]) for k in prefixes})
 
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
     """For each text its distinct hashes of ``size`` words in a row, sorted; of all its words if it has fewer."""
-    for _, hashes, _, counts in word_hashes(texts):
+    for _, _, (hashes, _, _, counts, _) in word_runs(texts):
         runs = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
         for k in range(size if len(runs) else 0):
             runs += hashes[k : k + len(runs)] * _STEP[k]
