@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -68,38 +69,88 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["node", "shingles"])
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two chunks of a bucket, pairs of different components that may be similar enough.
+class _Side:
+    """Members of one chunk of a bucket."""
+
+    def __init__(self, items: pa.StructArray):
+        self.node = items.field("node")
+        self.component = items.field("component").to_numpy(zero_copy_only=False)
+        self.n = items.field("n").to_numpy()
+        self.signature = np.frombuffer(b"".join(items.field("signature").to_pylist()), np.uint8).reshape(len(items), -1)
+        self.items = items
+
+    def shingles(self, k: int) -> np.ndarray:
+        return self.items.field("shingles")[k].values.to_numpy()
 
-    Sizes must allow it, and signatures must agree in AGREE values. Only members outside the
-    commonest component are compared with all; best says that the pair agrees most for its first
-    member.
-    """
-    def field(batch, side, name, row):
-        return batch.column(side)[row].values.field(name)
 
+def _close(x: _Side, y: _Side, band: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of x those of y in other components that may be similar enough.
+
+    Sizes must allow it, signatures must agree in AGREE values, and this must be the first band
+    in which they agree, so that a pair is met in one bucket only. Members of the commonest
+    component are compared with the others alone.
+    """
+    names, number = np.unique(np.concatenate([x.component, y.component]), return_counts=True)
+    common = names[number.argmax()]
+    few, every = np.flatnonzero(y.component != common), np.arange(len(y.n))
+    for i in range(len(x.n)):
+        js = few if x.component[i] == common else every
+        js = js[(y.component[js] != x.component[i]) & (4 * np.minimum(y.n[js], x.n[i]) >= 3 * np.maximum(y.n[js], x.n[i]))]
+        if len(js):
+            same = y.signature[js] == x.signature[i]
+            js, same = js[same.sum(axis=1) >= AGREE], same[same.sum(axis=1) >= AGREE]
+        if len(js):
+            met = same.reshape(len(js), BANDS, ROWS).all(axis=2)
+            js = js[met.argmax(axis=1) == band]
+        if len(js):
+            yield i, js
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, _Side, _Side, int]]:
+    for row in range(batch.num_rows):
+        yield row, *(_Side(batch.column(c)[row].values) for c in ("items", "others")), batch.column("band")[row].as_py()
+
+
+def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of buckets that have somebody close in another component."""
+    for batch in batches:
+        buckets, nodes = [], []
+        for row, x, y, band in _chunks(batch):
+            left, right = set(), set()
+            for i, js in _close(x, y, band):
+                left.add(i), right.update(js.tolist())
+            found = [*x.node.take(pa.array(sorted(left), pa.int32())).to_pylist(), *y.node.take(pa.array(sorted(right), pa.int32())).to_pylist()]
+            nodes += found
+            buckets += [batch.column("bucket")[row].as_py()] * len(found)
+        kind = batch.schema.field("items").type.value_type.field("node").type
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(nodes, kind)], ["bucket", "node"])
+
+
+def _confirm(similarity: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the members of two chunks whose full sets are similar enough; those that join nothing new are left out."""
+    up, down = similarity
     for batch in batches:
-        left, right, best = [], [], []
-        for row in range(batch.num_rows):
-            sides = []
-            for side in (0, 1):
-                got = batch.column(side)[row].values
-                sides.append((got.field("node"), got.field("component").to_numpy(zero_copy_only=False), got.field("n").to_numpy(), np.frombuffer(b"".join(got.field("signature").to_pylist()), np.uint8).reshape(len(got), -1)))
-            (xs, xc, xn, xg), (ys, yc, yn, yg) = sides
-            names, number = np.unique(np.concatenate([xc, yc]), return_counts=True)
-            common = names[number.argmax()]
-            few = np.flatnonzero(yc != common)
-            for i in range(len(xs)):
-                js = few if xc[i] == common else np.arange(len(ys))
-                js = js[(yc[js] != xc[i]) & (4 * np.minimum(yn[js], xn[i]) >= 3 * np.maximum(yn[js], xn[i]))]
-                if not len(js):
-                    continue
-                same = (yg[js] == xg[i]).sum(axis=1)
-                js, same = js[same >= AGREE], same[same >= AGREE]
-                for j, is_best in zip(js, same == same.max() if len(js) else (), strict=True):
-                    left.append(xs[i]), right.append(ys[int(j)]), best.append(bool(is_best))
-        kind = batch.schema.field(0).type.value_type.field("node").type
-        yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in left], kind), pa.array([x.as_py() for x in right], kind), pa.array(best, pa.bool_())], ["x", "y", "best"])
+        a, b = [], []
+        for _, x, y, band in _chunks(batch):
+            parent: dict = {}
+
+            def root(c, parent=parent):
+                while c in parent:
+                    c = parent[c]
+                return c
+
+            for i, js in _close(x, y, band):
+                own = x.shingles(i)
+                for j in js.tolist():
+                    r, q = root(x.component[i]), root(y.component[j])
+                    if r == q:
+                        continue
+                    common = len(np.intersect1d(own, y.shingles(j), assume_unique=True))
+                    if down * common >= up * (x.n[i] + y.n[j] - common):
+                        parent[r] = q
+                        a.append(x.node[i].as_py()), b.append(y.node[j].as_py())
+        kind = batch.schema.field("items").type.value_type.field("node").type
+        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
 
 class NearDuplicates:
@@ -122,9 +173,9 @@ class NearDuplicates:
         return able.groupBy("digest").agg(F.min("id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"))
 
     def members(self, nodes: DataFrame) -> DataFrame:
-        """(bucket, node, n, least) for all buckets that hold several nodes; least: the smallest node there."""
+        """(bucket, band, node, least) for all buckets that hold several nodes; least: the smallest node there."""
         band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-        rows = nodes.select("node", "n", "signature", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(signature, band * {ROWS} + 1, {ROWS})")).alias("bucket"), "node", "n")
+        rows = nodes.select("node", "signature", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(signature, band * {ROWS} + 1, {ROWS})")).alias("bucket"), "band", "node")
         several = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
         return rows.join(several.select("bucket", "least"), "bucket")
 
@@ -137,39 +188,44 @@ class NearDuplicates:
         enough = down * shared >= up * (F.size("set_a") + F.size("set_b") - shared)
         return both.filter(enough).select("a", "b")
 
-    def chunk_pairs(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs of chunks of the buckets' members that lie in several components."""
+    def chunk_pairs(self, members: DataFrame, item: list[str], size: int) -> DataFrame:
+        """Pairs of chunks, of about ``size`` members, of buckets whose members lie in several components."""
         mixed = members.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("rows")).filter("c != d")
-        left = members.join(mixed.select("bucket", "rows"), "bucket").join(nodes.select("node", "signature"), "node")
-        chunks = F.ceil(F.col("rows") / CHUNK)
-        item = F.struct("node", "component", "n", "signature")
-        packed = left.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).groupBy("bucket", "chunk", chunks.alias("chunks")).agg(F.collect_list(item).alias("items"))
+        placed = members.join(mixed.select("bucket", F.ceil(F.col("rows") / size).alias("chunks")), "bucket")
+        packed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).groupBy("bucket", "band", "chunk", "chunks").agg(F.collect_list(F.struct(*item)).alias("items"))
         other = packed.select("bucket", F.col("chunk").alias("partner"), F.col("items").alias("others"))
-        wanted = packed.withColumn("partner", F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)))
-        return wanted.join(other, ["bucket", "partner"]).select("items", "others")
+        wanted = packed.withColumn("partner", F.explode(F.sequence("chunk", F.col("chunks") - 1)))
+        single = wanted.filter("chunks = 1").withColumn("others", F.col("items"))
+        several = wanted.filter("chunks > 1").join(other, ["bucket", "partner"])
+        columns = ["bucket", "band", "items", "others"]
+        return single.select(columns).union(several.select(columns))
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Nodes, and confirmed links that connect all similar nodes.
 
         First every member of a bucket is checked against the bucket's smallest node. Where a
-        bucket still holds several components, its members are compared across components, in
-        chunks: first the best partners, then, where components still differ, all the others.
+        bucket still holds several components, members are compared across components in chunks:
+        signatures tell who may be close to somebody, and their full sets decide in the task.
         """
         nodes = materialize(self.classes(), "nodes")
         members = materialize(self.members(nodes), "members")
         inside = members.select("node").distinct()
         out = T.StructType([T.StructField("node", self.kind), T.StructField("shingles", T.ArrayType(T.LongType()))])
-        sets = materialize(self.docs.join(inside, F.col("id") == F.col("node"), "left_semi").mapInArrow(_sets, out), "sets")
+        sets = materialize(self.docs.join(inside, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, out), "sets")
         stars = members.filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
         links = materialize(self.confirm(stars, sets), "confirmed")
-        tested = T.StructType([T.StructField("x", self.kind), T.StructField("y", self.kind), T.StructField("best", T.BooleanType())])
-        for best_only in (True, False):
-            known = connected_components(links)
-            placed = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            close = self.chunk_pairs(placed, nodes).mapInArrow(_close_pairs, tested)
-            pairs = (close.filter("best") if best_only else close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            links = materialize(links.union(self.confirm(pairs, sets)), "confirmed")
-        return nodes, links
+        known = connected_components(links)
+        placed = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c != d").select("bucket")
+        open_members = placed.join(mixed, "bucket").join(nodes.select("node", "n", "signature"), "node").select("bucket", "band", "node", "component", "n", "signature")
+        open_members = materialize(open_members, "open")
+        near = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", self.kind)])
+        item = ["node", "component", "n", "signature"]
+        flagged = materialize(self.chunk_pairs(open_members, item, CHUNK).mapInArrow(_flag, near).distinct(), "near")
+        full = open_members.join(flagged, ["bucket", "node"]).join(sets, "node")
+        pair = T.StructType([T.StructField("a", self.kind), T.StructField("b", self.kind)])
+        more = self.chunk_pairs(full, [*item, "shingles"], CHUNK).mapInArrow(partial(_confirm, self.similarity), pair)
+        return nodes, materialize(links.union(more), "confirmed")
 
     def result(self) -> DataFrame:
         """Per row: id, n_shingles, component_id, kept."""
