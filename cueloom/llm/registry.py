@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cueloom.llm import embeddings, minhash, mixing, packing, sharding, tokens, toxicity, warc
+from cueloom.llm import embeddings, media, minhash, mixing, packing, secrets, sharding, tokens, toxicity, warc
 
-MODULES = (minhash, embeddings, packing, sharding, mixing, toxicity, warc, tokens)
+MODULES = (minhash, embeddings, packing, sharding, media, mixing, toxicity, secrets, warc, tokens)
 
 
 def queries() -> dict:
