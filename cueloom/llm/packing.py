@@ -23,7 +23,7 @@ END = 2
 #: Costs, in tokens of padding: a sequence, a cut between sentences, a cut inside one.
 OPEN, SENTENCE, INSIDE = 48.0, 4.0, 20.0
 #: Inside a sentence, cuts are offered every so many tokens.
-STRIDE = 32
+STRIDE = 128
 #: Tokens that are planned at a time.
 PLAN = 1 << 19
 #: Sequences of one input partition are numbered from partition * 2**SHIFT.
@@ -71,9 +71,15 @@ def plan(cuts: Cuts, length: int = LENGTH, last: bool = True) -> list[int]:
     ones; one look each for the powers of two. Unless ``last``, padding of the sequence that
     reaches the end is not counted: it will go on.
     """
+    where = np.full(int(cuts.at[-1]) + 1, -1)
+    where[cuts.at] = np.arange(len(cuts.at))
+    exact: list[list[int]] = [[] for _ in cuts.at]  # earlier cuts at a power of two
+    for size in (1 << k for k in range(length.bit_length()) if 1 << k <= length):
+        able = np.flatnonzero(cuts.at >= size)
+        sources = where[cuts.at[able] - size]
+        for i, j in zip(able[sources >= 0].tolist(), sources[sources >= 0].tolist(), strict=True):
+            exact[i].append(j)
     at, cost = cuts.at.tolist(), cuts.cost.tolist()
-    index = {p: i for i, p in enumerate(at)}
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
     best, back = [0.0] * len(at), [0] * len(at)
     queue: deque[int] = deque([0])
     final = at[-1]
@@ -85,9 +91,8 @@ def plan(cuts: Cuts, length: int = LENGTH, last: bool = True) -> list[int]:
         value = best[q] + at[q] + length - p
         if p == final and not last:
             value, q = min((best[k], k) for k in range(bisect_left(at, p - length), i))
-        for size in powers:
-            j = index.get(p - size)
-            if j is not None and best[j] < value:
+        for j in exact[i]:
+            if best[j] < value:
                 value, q = best[j], j
         best[i], back[i] = value + OPEN + cost[i], q
         key = best[i] + p

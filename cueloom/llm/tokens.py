@@ -25,6 +25,8 @@ STABLE = 4
 #: Words kept with their ids in each Python worker.
 CACHE_WORDS = 500_000
 LIMIT = 2048
+#: Stands between runs that are encoded together. It is ASCII, so no other character becomes it.
+MARK = b"~"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -39,7 +41,7 @@ class Encoder:
     Where the tokenizer drops white space before it splits words, and no word can hold any, a
     text's ids are those of its runs between ASCII white space, one after the other. Then ids of
     runs are kept in a cache of bounded size, and only new runs go to the library, joined by
-    spaces. Other tokenizers encode whole texts.
+    marks. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -51,8 +53,8 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             self.config = json.load(f)
-        self.by_word = self._drops_space()
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.by_word = self._drops_space() and len(self.encode(MARK.decode()).ids) == 1
+        self.known: dict[bytes, bytes] = {}
 
     def _drops_space(self) -> bool:
         def steps(x: dict | None, inner: str) -> list[dict]:
@@ -71,41 +73,42 @@ class Encoder:
         return self.library.encode(text, add_special_tokens=False)
 
     def learn(self, words: list[bytes]) -> None:
-        """Ask the library for the ids of these runs."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        for i in range(0, len(words), 1000):
-            part = words[i : i + 1000]
-            joined = b" ".join(part).decode()
-            got = self.encode(joined)
-            ids, ends = got.ids, np.cumsum([len(w.decode()) + 1 for w in part])
-            at = np.searchsorted(ends, [a for a, _ in got.offsets], side="right") if ids else np.zeros(0, int)
-            cuts = np.searchsorted(at, np.arange(len(part) + 1))
-            for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.known[w] = tuple(ids[a:b])
-
-    def _parts(self, texts: list[str]) -> Iterator[tuple[list[bytes], dict]]:
-        """Runs of each text, and the ids of all runs of it."""
+        """Ask the library for the ids of these runs, with a mark between them that none holds."""
+        plain = [w for w in words if MARK not in w]
+        (mark,) = self.encode(MARK.decode()).ids
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            joined = (b" " + MARK + b" ").join([*part, b""]).decode()
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(ids == mark)
+            raw, stops = ids.tobytes(), (stops * 4).tolist()
+            for w, a, b in zip(part, [-4, *stops[:-1]], stops, strict=True):
+                self.known[w] = raw[a + 4 : b]
+        for w in words:
+            if MARK in w:
+                self.known[w] = np.array(self.encode(w.decode()).ids, np.uint32).tobytes()
+
+    def _split(self, texts: list[str]) -> list[list[bytes]]:
+        """Runs of each text; the ids of all are known after the call."""
         split = [t.encode().split() for t in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
+        new = set(chain.from_iterable(split)).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = {w for ws in split for w in ws}
+            new = set(chain.from_iterable(split))
         if new:
             self.learn(list(new))
-        return iter([(ws, self.known) for ws in split])
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """Number of ids of each text."""
-        if not self.by_word:
-            return [len(x) for x in self.library.encode_batch(texts, add_special_tokens=False)]
-        return [sum(map(len, map(known.__getitem__, ws))) for ws, known in self._parts(texts)]
+        return split
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if not self.by_word:
             return [np.array(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.uint32) for ws, known in self._parts(texts)]
+        split, of = self._split(texts), self.known.__getitem__
+        return [np.frombuffer(b"".join(map(of, ws)), np.uint32) for ws in split]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Number of ids of each text."""
+        return list(map(len, self.ids(texts)))
 
 
 @lru_cache(maxsize=4)
