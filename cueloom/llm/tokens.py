@@ -23,10 +23,11 @@ OVERLAP = 1 << 8
 #: Tokens that must agree on each side of a cut.
 STABLE = 4
 #: Words kept with their ids in each Python worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 LIMIT = 2048
 #: Stands between runs that are encoded together. It is ASCII, so no other character becomes it.
 MARK = b"~"
+STOPS = (b".", b",")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,8 +41,8 @@ class Encoder:
 
     Where the tokenizer drops white space before it splits words, and no word can hold any, a
     text's ids are those of its runs between ASCII white space, one after the other. Then ids of
-    runs are kept in a cache of bounded size, and only new runs go to the library, joined by
-    marks. Other tokenizers encode whole texts.
+    runs are kept in a cache of bounded size (two generations), and only new runs go to the
+    library, joined by marks. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -55,14 +56,17 @@ class Encoder:
             self.config = json.load(f)
         self.by_word = self._drops_space() and len(self.encode(MARK.decode()).ids) == 1
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.lowers = any(x["type"] == "Lowercase" for x in self._steps("normalizer", "normalizers"))
 
-    def _drops_space(self) -> bool:
-        def steps(x: dict | None, inner: str) -> list[dict]:
-            return x[inner] if x and x["type"] == "Sequence" else [x] if x else []
+    def _steps(self, part: str, inner: str) -> list[dict]:
+        x = self.config[part]
+        return x[inner] if x and x["type"] == "Sequence" else [x] if x else []
 
-        normal = [(x["type"], x.get("pattern"), x.get("content")) for x in steps(self.config["normalizer"], "normalizers")]
+    def _drops_space(self) -> bool:
+        normal = [(x["type"], x.get("pattern"), x.get("content")) for x in self._steps("normalizer", "normalizers")]
         space = ("Replace", {"Regex": "\\s+"}, " ")
-        split = steps(self.config["pre_tokenizer"], "pretokenizers")[:1]
+        split = self._steps("pre_tokenizer", "pretokenizers")[:1]
         marks = [t["content"] + t["content"] * (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in self.config["added_tokens"]]
         dropped = bool(split) and split[0]["type"] == "Split" and split[0]["behavior"] == "Removed" and split[0]["invert"]
         pattern = split[0]["pattern"].get("Regex", "") if dropped else ""
@@ -88,15 +92,35 @@ class Encoder:
             if MARK in w:
                 self.known[w] = np.array(self.encode(w.decode()).ids, np.uint32).tobytes()
 
+    def _core(self, word: bytes) -> tuple[bytes, bytes]:
+        """The run in lower case, and one full stop or comma taken from its end, if that stands after a letter or digit."""
+        if not self.lowers or b"<" in word:
+            return word, b""
+        low = word.lower()
+        if low[-1:] in STOPS and low[-2:-1] and (low[-2:-1].isalnum() or low[-2] > 127 and _letter(low[:-1].decode()[-1])):
+            return low[:-1], low[-1:]
+        return low, b""
+
     def _split(self, texts: list[str]) -> list[list[bytes]]:
         """Runs of each text; the ids of all are known after the call."""
         split = [t.encode().split() for t in texts]
         new = set(chain.from_iterable(split)).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
+        if len(self.known) + 2 * len(new) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
             new = set(chain.from_iterable(split))
-        if new:
-            self.learn(list(new))
+        known, older = self.known, self.older
+        cores: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+            else:
+                cores[w] = self._core(w)
+        unknown = {part for pair in cores.values() for part in pair if part and part not in known}
+        for w in unknown & older.keys():
+            known[w] = older[w]
+        self.learn([w for w in unknown if w not in known])
+        for w, (core, stop) in cores.items():
+            known[w] = known[core] + (known[stop] if stop else b"")
         return split
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -111,6 +135,11 @@ class Encoder:
         return list(map(len, self.ids(texts)))
 
 
+def _letter(c: str) -> bool:
+    """A Latin letter that stays one letter in lower case."""
+    return c < "\u0250" and c.isalpha() and len(c.lower()) == 1
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """The encoder of this Python worker."""
