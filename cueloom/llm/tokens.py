@@ -28,6 +28,13 @@ LIMIT = 2048
 #: Stands between runs that are encoded together. It is ASCII, so no other character becomes it.
 MARK = b"~"
 STOPS = (b".", b",")
+#: A split into words that leaves a run of letters whole, and the steps around it.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Lower-case Latin letters, which no normal form or lower case changes.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
+_plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _plain)}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -55,6 +62,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.config = json.load(f)
         self.by_word = self._drops_space() and len(self.encode(MARK.decode()).ids) == 1
+        self.direct = self.by_word and self._splits_letters()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.lowers = any(x["type"] == "Lowercase" for x in self._steps("normalizer", "normalizers"))
@@ -73,11 +81,26 @@ class Encoder:
         wordlike = dropped and all(part.startswith(("'", r"[\p{L}]", r"[\p{N}]", r"[^\s")) for part in pattern.split("|"))
         return space in normal and {x[0] for x in normal} <= {"NFC", "Replace", "Lowercase"} and wordlike and not any(re.search(r"\s", m) for m in marks) and all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in self.config["added_tokens"])
 
+    def _splits_letters(self) -> bool:
+        """A run of LETTERS is one word, given to the model as it is, byte by byte."""
+        split = self._steps("pre_tokenizer", "pretokenizers")
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        return len(split) == 2 and split[0]["pattern"] == {"Regex": SPLIT} and byte_level.items() <= split[1].items() and not self.config["model"].get("dropout")
+
     def encode(self, text: str):
         return self.library.encode(text, add_special_tokens=False)
 
     def learn(self, words: list[bytes]) -> None:
         """Ask the library for the ids of these runs, with a mark between them that none holds."""
+        if self.direct:
+            rest, tokenize = [], self.library.model.tokenize
+            for w in words:
+                text = w.decode()
+                if LETTERS.fullmatch(text):
+                    self.known[w] = np.array([t.id for t in tokenize(w.decode("latin-1").translate(BYTES))], np.uint32).tobytes()
+                else:
+                    rest.append(w)
+            words = rest
         plain = [w for w in words if MARK not in w]
         (mark,) = self.encode(MARK.decode()).ids
         for i in range(0, len(plain), 2000):
