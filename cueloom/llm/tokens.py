@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -61,7 +62,8 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             self.config = json.load(f)
-        self.by_word = self._drops_space() and len(self.encode(MARK.decode()).ids) == 1
+        self.mark, *more = self.encode(MARK.decode()).ids or [None]
+        self.by_word = self._drops_space() and self.mark is not None and not more
         self.direct = self.by_word and self._splits_letters()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -95,19 +97,21 @@ class Encoder:
         if self.direct:
             rest, tokenize = [], self.library.model.tokenize
             for w in words:
-                text = w.decode()
-                if LETTERS.fullmatch(text):
-                    self.known[w] = np.array([t.id for t in tokenize(w.decode("latin-1").translate(BYTES))], np.uint32).tobytes()
+                if w.isalpha() and w.islower():  # ASCII letters stand for themselves
+                    found = tokenize(w.decode())
+                elif LETTERS.fullmatch(w.decode()):
+                    found = tokenize(w.decode("latin-1").translate(BYTES))
                 else:
                     rest.append(w)
+                    continue
+                self.known[w] = array("I", [t.id for t in found]).tobytes()
             words = rest
         plain = [w for w in words if MARK not in w]
-        (mark,) = self.encode(MARK.decode()).ids
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
             joined = (b" " + MARK + b" ").join([*part, b""]).decode()
             ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            stops = np.flatnonzero(ids == mark)
+            stops = np.flatnonzero(ids == self.mark)
             raw, stops = ids.tobytes(), (stops * 4).tolist()
             for w, a, b in zip(part, [-4, *stops[:-1]], stops, strict=True):
                 self.known[w] = raw[a + 4 : b]
@@ -132,18 +136,24 @@ class Encoder:
             self.older, self.known = self.known, {}
             new = set(chain.from_iterable(split))
         known, older = self.known, self.older
-        cores: dict[bytes, tuple[bytes, bytes]] = {}
+        wanted: set[bytes] = set()
+        waiting = []
         for w in new:
             if w in older:
                 known[w] = older[w]
-            else:
-                cores[w] = self._core(w)
-        unknown = {part for pair in cores.values() for part in pair if part and part not in known}
-        for w in unknown & older.keys():
+                continue
+            core, stop = self._core(w)
+            if core not in known:
+                wanted.add(core)
+            if stop and stop not in known:
+                wanted.add(stop)
+            if core != w:
+                waiting.append((w, core, stop))
+        for w in wanted & older.keys():
             known[w] = older[w]
-        self.learn([w for w in unknown if w not in known])
-        for w, (core, stop) in cores.items():
-            known[w] = known[core] + (known[stop] if stop else b"")
+        self.learn([w for w in wanted if w not in known])
+        for w, core, stop in waiting:
+            known[w] = known[core] + known[stop] if stop else known[core]
         return split
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
