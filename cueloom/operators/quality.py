@@ -128,12 +128,13 @@ def chrf(pairs: DataFrame, beta: float = 2.0) -> DataFrame:
     return sums.select(F.round(100 * sum((score(n) for n in range(2, 7)), score(1)) / 6, 6).alias("chrf"))
 
 
-def ter(pairs: DataFrame, by: str = "video_id", longest: int = 10, farthest: int = 50) -> DataFrame:
+def ter(pairs: DataFrame, by: str = "video_id", longest: int = 10, farthest: int = 50, beam: int = 8) -> DataFrame:
     """Translation edit rate per ``by``: edits and shifts of blocks over reference words.
 
     Shifts are searched greedily, as in the published algorithm: as long as moving a block of the
     hypothesis (``longest`` words, ``farthest`` places at most) to where it stands in the
-    reference lowers the distance by more than the shift costs.
+    reference lowers the distance by more than the shift costs. In each round the ``beam``
+    longest, then nearest blocks are tried.
     """
     @F.pandas_udf(T.IntegerType())
     def moves(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -146,21 +147,22 @@ def ter(pairs: DataFrame, by: str = "video_id", longest: int = 10, farthest: int
                 for j, w in enumerate(b):
                     places.setdefault(w, []).append(j)
                 while now > 1:
-                    best = now - 1, None
+                    blocks = []
                     for i, w in enumerate(a):
                         if i < len(b) and b[i] == w:
                             continue
                         for j in places.get(w, ()):
-                            if abs(i - j) > farthest:
-                                continue
-                            n = 1
-                            while n < longest and i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                                n += 1
-                            rest = a[:i] + a[i + n :]
-                            k = min(j, len(rest))
-                            found = rest[:k] + a[i : i + n] + rest[k:]
-                            if (d := word_distance(found, b)) < best[0]:
-                                best = d, found
+                            if abs(i - j) <= farthest:
+                                n = 1
+                                while n < longest and i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                                    n += 1
+                                blocks.append((-n, abs(i - j), i, j))
+                    best = now - 1, None
+                    for n, _, i, j in sorted(blocks)[:beam]:
+                        rest, k = a[:i] + a[i - n :], min(j, len(a) + n)
+                        found = rest[:k] + a[i : i - n] + rest[k:]
+                        if (d := word_distance(found, b)) < best[0]:
+                            best = d, found
                     if best[1] is None:
                         break
                     (now, a), shifts = best, shifts + 1
