@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: Names of query parameters whose values are secret.
 SECRET_NAMES = ("key", "api_key", "apikey", "api-key", "token", "access_token", "auth", "authorization", "secret", "password", "pass", "pwd", "sk")
 
-#: Characters per second that a reader follows, by language; others 17.
-READING_SPEED = {"zh": 9, "ja": 4, "ko": 7}
+#: Characters per second that a reader follows, by start of the code or name of the language; others 17.
+READING_SPEED = {("zh", "chinese"): 9, ("ja", "japanese"): 4, ("ko", "korean"): 7}
 DEFAULT_SPEED = 17
 
 #: Words that a cue should not end with.
@@ -158,28 +158,30 @@ def font_to_ass(s: Column) -> Column:
 
 
 def font_wrap(s: Column, colour_of: Column) -> Column:
-    """Each line in a font tag, where there is a colour."""
+    """The text in a font tag, where there is a colour."""
     c = colour(colour_of)
-    lines = F.transform(F.split(s, "\n"), lambda x: F.concat(F.lit('<font color="'), c, F.lit('">'), x, F.lit("</font>")))
-    return F.when(c.isNull(), s).otherwise(F.array_join(lines, "\n"))
+    return F.when(c.isNull(), s).otherwise(F.concat(F.lit('<font color="'), c, F.lit('">'), s, F.lit("</font>")))
 
 
-def layout(kind: Column, source: Column, target: Column) -> Column:
+def layout(kind: Column, source: Column, target: Column, target_colour: Column | None = None, source_colour: Column | None = None) -> Column:
     """target-above, source-above or target-only; anything else is source only. An empty translation leaves the source."""
+    shown = target if target_colour is None else font_wrap(target, target_colour)
+    below = source if source_colour is None else font_wrap(source, source_colour)
     return (
-        F.when(trim(target) == "", source)
-        .when(kind == "target-above", F.concat_ws("\n", target, source))
-        .when(kind == "source-above", F.concat_ws("\n", source, target))
-        .when(kind == "target-only", target)
-        .otherwise(source)
+        F.when(target == "", below)
+        .when(kind == "target-above", F.concat_ws("\n", shown, below))
+        .when(kind == "source-above", F.concat_ws("\n", below, shown))
+        .when(kind == "target-only", shown)
+        .otherwise(below)
     )
 
 
 def max_chars(duration_ms: Column, language: Column) -> Column:
     """Characters that can be read in a cue's time, 4 at least."""
     speed = F.lit(DEFAULT_SPEED)
-    for name, cps in READING_SPEED.items():
-        speed = F.when(language == name, cps).otherwise(speed)
+    low = F.lower(language)
+    for (code, name), cps in READING_SPEED.items():
+        speed = F.when(low.startswith(code) | low.contains(name), cps).otherwise(speed)
     return F.greatest(F.lit(4), F.floor(duration_ms / 1000 * speed)).cast("int")
 
 

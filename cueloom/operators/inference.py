@@ -52,7 +52,7 @@ def run_model(prompts: DataFrame, client: Callable[[], Callable[[str], str]], tr
 def prompt_records(cues: DataFrame, size: int = C.BATCH) -> DataFrame:
     """(video_id, batch_id, prompt): cues of a batch as a JSON list of i, duration, max_chars, text."""
     record = F.struct(F.col("idx").alias("i"), F.format_string("%.1fs", F.col("dur_ms") / 1000).alias("duration"), X.max_chars(F.col("dur_ms"), F.lit("")).alias("max_chars"), "text")
-    return cues.withColumn("batch_id", C.batch_of(F.col("idx"), size)).groupBy("video_id", "batch_id").agg(F.to_json(F.array_sort(F.collect_list(record))).alias("prompt"))
+    return cues.withColumn("batch_id", C.batch_of(F.col("idx"), size)).groupBy("video_id", "batch_id").agg(F.concat(F.to_json(F.array_sort(F.collect_list(record))), F.lit("\n\nReturn ONLY a JSON array of "), F.count("*").cast("string"), F.lit(" strings.")).alias("prompt"))
 
 
 def translate_offline(cues: DataFrame, memory: DataFrame) -> DataFrame:

@@ -87,12 +87,35 @@ def retrieve(memory: DataFrame, texts: DataFrame, per_text: int = PER_TEXT, per_
     return placed.filter(F.col("place") <= per_batch).select("batch", "place", "source", "target")
 
 
+#: First lines of the parts of a prompt.
+GLOSSARY_HEAD = "Terminology (use flexibly based on context):"
+MEMORY_HEAD = "Reference translations from memory:"
+CONTEXT_HEAD = "Recent translations for context continuity:"
+
+
+def pair_line(source: Column, target: Column) -> Column:
+    return F.concat(F.lit('- "'), source, F.lit('" → "'), target, F.lit('"'))
+
+
 def memory_lines(found: DataFrame) -> DataFrame:
-    """Retrieved rows of a batch as lines of a prompt."""
-    line = F.concat(F.lit('- "'), "source", F.lit('" → "'), "target", F.lit('"'))
-    return found.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    """Retrieved rows of a batch as part of a prompt."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", pair_line(F.col("source"), F.col("target")).alias("line")))), lambda x: x["line"])
+    return found.groupBy("batch").agg(F.concat_ws("\n", F.lit(MEMORY_HEAD), listed).alias("lines"))
+
+
+def context_lines(context: Column) -> Column:
+    """A context (array of text, target) as part of a prompt; empty without any."""
+    lines = F.transform(context, lambda x: pair_line(x["text"], x["target"]))
+    return F.when(F.size(context) > 0, F.concat_ws("\n", F.lit(CONTEXT_HEAD), lines)).otherwise("")
+
+
+def glossary_line(term: Column, action: Column, target: Column) -> Column:
+    """Fixed format of a term's line."""
+    told = F.when(action == "keep", "keep as-is").when(action == "translate", F.concat(F.lit('"'), target, F.lit('"'))).otherwise("decide by context")
+    return F.concat(F.lit('- "'), term, F.lit('" → '), told)
 
 
-def glossary_line(term: Column, action: Column, target: Column, context: Column) -> Column:
-    base = F.when(action == "keep", F.concat(term, F.lit(" → (keep as is)"))).when(action == "translate", F.concat(term, F.lit(" → "), target)).otherwise(F.concat(term, F.lit(" (flexible)")))
-    return F.concat(F.lit("- "), base, F.when(context != "", F.concat(F.lit(" ["), context, F.lit("]"))).otherwise(""))
+def glossary_lines(rows: DataFrame, order: str = "first_seq") -> DataFrame:
+    """One row ``lines``: a glossary, of GLOSSARY_CAP terms at most, as part of a prompt."""
+    line = F.struct(order, glossary_line(F.col("term"), F.col("action"), F.col("target")).alias("line"))
+    return rows.agg(F.concat_ws("\n", F.lit(GLOSSARY_HEAD), F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])).alias("lines"))

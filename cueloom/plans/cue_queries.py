@@ -51,8 +51,8 @@ def cue_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT video_id, idx, CASE WHEN target = '' THEN text WHEN idx % 4 = 0 THEN target || chr(10) || text WHEN idx % 4 = 1 THEN text || chr(10) || target WHEN idx % 4 = 2 THEN target ELSE text END AS shown FROM t""")
 def cue_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("target-above", "source-above", "target-only", "source-only"))), (F.col("idx") % 4 + 1).cast("int"))
-    target = F.when(F.col("idx") % 7 == 0, "").otherwise(X.font_wrap(F.concat(F.lit("» "), "text"), F.when(F.col("idx") % 3 == 0, "ffff00").otherwise("")))
-    return cues(spark, sf_dir).select("video_id", "idx", X.layout(kind, F.col("text"), target).alias("shown"))
+    target = F.when(F.col("idx") % 7 == 0, "").otherwise(F.concat(F.lit("» "), "text"))
+    return cues(spark, sf_dir).select("video_id", "idx", X.layout(kind, F.col("text"), target, F.when(F.col("idx") % 3 == 0, "ffff00").otherwise("")).alias("shown"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), r AS (SELECT doc_id AS video_id, unnest(range(1, len(a) + 1)) AS raw, unnest(a) AS t FROM l)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions import text as X
 from cueloom.operators import inventory as I
+from cueloom.sources import sinks
 from cueloom.sources import subtitles as S
 from cueloom.storage import table
 
@@ -158,3 +159,19 @@ def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "documents").select(lang.alias("lang")).distinct()
     codes = F.broadcast(spark.createDataFrame(list(X.LANGUAGES), "alias string, g string, b string, i string"))  # a fixed list
     return names.join(codes, F.lower("lang") == F.col("alias"), "left").select("lang", F.coalesce("g", "lang").alias("first_service"), F.coalesce("b", "lang").alias("second_service"), F.coalesce("i", F.lower("lang")).alias("iso"))
+
+
+@query(f"""WITH {FILES}, n AS (SELECT path || '#' || doc_id AS input, doc_id FROM f) SELECT input, CASE WHEN doc_id % 211 % 3 = 0 THEN 'skipped' ELSE 'success' END AS status FROM n""")
+def merged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = _plan(spark, sf_dir)
+    existing = plan.filter(F.col("doc_id") % 211 % 3 == 0).select(F.explode("outputs").alias("path"))
+    marked = I.mark_done(plan, existing)
+    done = marked.filter(~F.col("skipped")).select("input", F.lit("success").alias("status"))
+    return I.all_reports(marked.filter("skipped").select("input"), done)
+
+
+@query("""SELECT '' AS input, count(*) AS total, count(*) FILTER (event_id % 4 = 3) AS failed FROM events UNION ALL SELECT CASE WHEN event_id % 10 = 0 THEN '<external-path>' ELSE event_id || '.mp4' END, NULL, NULL FROM events""")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = run_log(spark, sf_dir)
+    report = sinks.run_report(I.report_items(log, "work"), I.run_summary(log))
+    return report.select("line", F.from_json("report", "total bigint, failed bigint").alias("r")).select(F.col("line").alias("input"), "r.total", "r.failed")

@@ -102,10 +102,16 @@ def glossary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.upsert_glossary(glossary_rows(spark, sf_dir))
 
 
-@query(f"""WITH {CUES}, {GLOSSARY} SELECT '- ' || CASE action WHEN 'keep' THEN term || ' → (keep as is)' WHEN 'translate' THEN term || ' → ' || target ELSE term || ' (flexible)' END || CASE WHEN context <> '' THEN ' [' || context || ']' ELSE '' END AS line FROM v""")
+@query(f"""WITH {CUES}, {GLOSSARY}, k AS (SELECT * FROM v ORDER BY first_seq DESC LIMIT 2000), w AS (SELECT first_seq, '- "' || term || '" → ' || CASE action WHEN 'keep' THEN 'keep as-is' WHEN 'translate' THEN '"' || target || '"' ELSE 'decide by context' END AS line FROM k)
+SELECT '{M.GLOSSARY_HEAD}' || chr(10) || string_agg(line, chr(10) ORDER BY first_seq) AS lines FROM w""")
 def glossary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.upsert_glossary(glossary_rows(spark, sf_dir), cap=None)
-    return rows.select(M.glossary_line(F.col("term"), F.col("action"), F.col("target"), F.col("context")).alias("line"))
+    return M.glossary_lines(M.upsert_glossary(glossary_rows(spark, sf_dir)))
+
+
+@query(f"""WITH {CUES}, {GLOSSARY} SELECT first_seq AS seq, term, action, target, context FROM v""")
+def glossary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.upsert_glossary(glossary_rows(spark, sf_dir), cap=None).withColumnRenamed("first_seq", "seq")
+    return S.glossary_of(sinks.json_lines(rows, "seq"))
 
 
 @query(f"""WITH {CUES}, {GLOSSARY}, r AS (SELECT *, row_number() OVER (PARTITION BY term, seq // 100000 % 2 ORDER BY seq) AS n FROM g WHERE term <> ''),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueloom.operators.memory import MEMORY_CAP, upsert_memory
@@ -44,9 +44,9 @@ class MemoryTable:
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         """Merge rows (source, target, score); new rows come after all old ones, in the batch by their ``seq``."""
         old = self.read().select(F.col("first_seq").alias("seq"), F.lit("existing").alias("origin"), "source", "target", "score")
-        last = old.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-        w = Window.orderBy("seq", "source", "target")
-        new = batch.withColumn("seq", F.row_number().over(w)).crossJoin(F.broadcast(last)).select((F.col("seq") + F.col("last")).alias("seq"), F.lit("new").alias("origin"), "source", "target", "score")
+        last = old.agg(F.max("seq")).first()[0] or 0
+        least = batch.agg(F.min("seq")).first()[0] or 0
+        new = batch.select((F.col("seq") - least + last + 1).alias("seq"), F.lit("new").alias("origin"), "source", "target", "score")
         version = f"v{batch_id}-{uuid.uuid4().hex}"
         upsert_memory(old.unionByName(new), self.cap).select("source", "target", "score", "first_seq").write.parquet(f"{self.path}/{version}")
         self.version = version
