@@ -68,7 +68,8 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     u = uniform(F.col(f"row.{key}"), seed)
     drawn = shared.withColumn("u", u).withColumn("odds", F.when(F.col("chance") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))).otherwise(F.col("u")))
     ranked = drawn.withColumn("bucket", F.floor(F.col("odds") / (1 + F.col("odds")) * buckets))
-    per_bucket = ranked.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
+    # Dealt out by bucket first: else the parts of a hot source's sums from all tasks would meet in one.
+    per_bucket = ranked.groupBy("source_key", "bucket").agg(F.sum("size").alias("words")).repartition("source_key", "bucket")
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("source_key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source_key", "bucket").orderBy("odds", f"row.{key}", "size").rowsBetween(Window.unboundedPreceding, -1)
