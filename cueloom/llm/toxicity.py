@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueloom.llm.hashing import shingle_sets, word_runs
+from cueloom.llm.minhash import signature
 from cueloom.storage import materialize, table
 
 #: Labelled rows that a model is fitted on at most: those with the smallest digest of their key.
@@ -21,8 +22,12 @@ SLOTS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
 #: Weight of the Dirichlet prior, in texts a token; standard deviations taken off log-odds.
 PRIOR, Z = 1.0, 1.96
+#: Surer log-odds than this make a token count.
+LEAST_ODDS = 1.0
 #: Taken from every token's score, so that clean text scores below 0 on average.
 DRIFT = 0.5
+#: Bands of 4 signature values; labelled rows that share one are copies of each other.
+COPY_BANDS = 12
 #: Passages are reported up to this expected number in a clean text.
 E_VALUE = 0.01
 BINS, WIDTH = 400, 0.05
@@ -32,7 +37,6 @@ class Model(NamedTuple):
     """scores: by kind and slot; scale, ln_k: of the extreme values of clean text; slope, shift: to a probability."""
 
     scores: np.ndarray
-    trust: np.ndarray
     scale: float = 1.0
     ln_k: float = 0.0
     slope: float = 0.0
@@ -45,11 +49,11 @@ def _slots(words) -> np.ndarray:
 
 
 def token_scores(words, model: Model) -> np.ndarray:
-    """Of each word the log-odds of its surest kind of token, less the drift."""
+    """Of each word the log-odds of its most telling kind of token, less the drift."""
     slots = _slots(words)
     kinds = np.arange(len(slots))[:, None]
-    surest = model.trust[kinds, slots].argmax(axis=0)
-    return model.scores[surest, slots[surest, np.arange(slots.shape[1])]].astype(np.float64) - DRIFT
+    found = model.scores[kinds, slots]
+    return found[np.abs(found).argmax(axis=0), np.arange(slots.shape[1])].astype(np.float64) - DRIFT
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -88,7 +92,8 @@ def evidence(found: list[float], n: int, scale: float, ln_k: float) -> float:
     x = np.cumsum(np.sort(scale * np.array(found) - base)[::-1])
     r = np.arange(1, len(x) + 1)
     factorials = np.cumsum(np.log(r))
-    return float(np.max(x - (r - 1) * np.log(np.maximum(x, 1)) + factorials + np.concatenate([[0.0], factorials[:-1]])))
+    sums = x - (r - 1) * np.log(np.maximum(x, 1)) + factorials + np.concatenate([[0.0], factorials[:-1]])
+    return float(np.max(np.minimum(sums, x)))  # for small x the formula is no probability
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, object, int, int]]:
@@ -99,14 +104,20 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, object, in
             yield at + k, words, stop - int(words.counts[k]), stop
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest and the largest shingle hash: near copies share one of them nearly always."""
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the min-max signature of each text."""
     for batch in batches:
-        low, high = [], []
-        for s in shingle_sets(batch.column(0)):
-            s = s.view(np.int64) if len(s) else np.zeros(1, np.int64)
-            low.append(s[0]), high.append(s[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int64()), pa.array(high, pa.int64())], [*batch.schema.names, "low", "high"])
+        made = [signature(s) if len(s) else None for s in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "signature"])
+
+
+def _one_of_copies(rows: DataFrame) -> DataFrame:
+    """Rows (id, signature, ...) that share no band of 4 values with a row of a smaller id: of near copies one is left."""
+    keys = rows.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(COPY_BANDS - 1))).alias("band"))
+    keys = keys.select("id", F.xxhash64("band", F.expr("substring(signature, band * 4 + 1, 4)")).alias("key"))
+    first = keys.groupBy("key").agg(F.min("id").alias("least"))
+    copies = keys.join(first, "key").filter("id != least").select("id").distinct()
+    return rows.join(copies, "id", "left_anti")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,19 +134,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), flag)), pa.array(n, pa.int64())], ["place", "toxic", "n"])
 
 
-def log_odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and trust of [class, slot] counts.
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """Scores of [class, slot] counts.
 
     The Dirichlet prior of a class has PRIOR texts a token, shared by the classes' sizes, so a
     token never seen has log-odds 0. The score is the end nearer 0 of the interval of Z standard
-    deviations around the log-odds, 0 if the interval holds 0; trust is that in deviations.
+    deviations around the log-odds; below LEAST_ODDS it is 0, so that a common word repeated
+    without end does not add up.
     """
     size = counts.sum(axis=1, keepdims=True)
     y = counts + PRIOR * size / size.sum()
     odds = np.log(y[1] / size[1]) - np.log(y[0] / size[0])
     deviation = np.sqrt(1 / y[0] + 1 / y[1])
-    bound = np.sign(odds) * np.maximum(np.abs(odds) - Z * deviation, 0)
-    return bound.astype(np.float32), np.where(bound != 0, np.abs(odds) / deviation, 0.0).astype(np.float32)
+    bound = np.abs(odds) - Z * deviation
+    return np.where(bound >= LEAST_ODDS, np.sign(odds) * bound, 0.0).astype(np.float32)
 
 
 def _scale(histogram: np.ndarray) -> float:
@@ -183,17 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     useful = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), (F.col(label) > 0).alias("toxic")).filter(fold(F.col("k")) != 0)
     picked = useful.groupBy("k").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(sample)
-    named = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "k").select("text", "toxic", fold(F.col("k")).alias("fold"))
-    marked = named.mapInArrow(_ends, "text string, toxic boolean, fold long, low long, high long")
-    rows = materialize(marked.dropDuplicates(["low"]).dropDuplicates(["high"]).select("text", "toxic", "fold"), "labelled")
+    named = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "k").select(F.xxhash64("k", "text").alias("id"), "text", "toxic", fold(F.col("k")).alias("fold"))
+    marked = materialize(named.mapInArrow(_signed, "id long, text string, toxic boolean, fold long, signature binary"), "labelled")
+    alone = _one_of_copies(marked.filter("signature is not null").dropDuplicates(["id"]))
+    rows = materialize(alone.select("text", "toxic", "fold"), "learnt")
     kinds = 1 + len(PREFIXES)
     counted = rows.filter("fold < 4").select("text", "toxic").mapInArrow(_count, "place int, toxic boolean, n long").groupBy("place", "toxic").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, kinds * SLOTS))
     counts[counted["toxic"].to_numpy(zero_copy_only=False).astype(int), counted["place"].to_numpy()] = counted["n"].to_numpy()
     if not counts.sum(axis=1).all():
-        return Model(np.zeros((kinds, SLOTS), np.float32), np.zeros((kinds, SLOTS), np.float32))
-    parts = [log_odds(counts[:, k * SLOTS : (k + 1) * SLOTS]) for k in range(kinds)]
-    model = Model(np.stack([p[0] for p in parts]), np.stack([p[1] for p in parts]))
+        return Model(np.zeros((kinds, SLOTS), np.float32))
+    model = Model(np.stack([log_odds(counts[:, k * SLOTS : (k + 1) * SLOTS]) for k in range(kinds)]))
     shared = spark.sparkContext.broadcast(model)
     check = rows.filter("fold = 4").select("text", "toxic")
 
