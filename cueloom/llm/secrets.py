@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cueloom.llm.toxicity import segments
 from cueloom.storage import table
 
 #: The forms every scan reports, in the order of their names.
@@ -29,7 +32,11 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 RATIO = 2.0
 #: Lengths in hex of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
-UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+UUID = r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+#: Left out by form, with the marks beside them, where marks or the ends of the run bound them.
+FORMS = re.compile(rf"[+/_-]?(?<![A-Za-z0-9])(?:{UUID}|{'|'.join(f'[0-9A-Fa-f]{{{n}}}' for n in DIGESTS)})=*(?![A-Za-z0-9])[+/_-]?")
+#: What stands between marks, and those of them that may be words or numbers.
+BETWEEN = re.compile(r"[A-Za-z0-9]+=*")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -44,17 +51,6 @@ def vocabulary(name: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_named(run: str) -> bool:
-    """A known digest or an identifier: not a secret by itself.
-
-    Identifiers are UUIDs, plain numbers, and words or numbers joined by marks.
-    """
-    bare = run.rstrip("=")
-    if UUID.fullmatch(bare) or (len(bare) in DIGESTS and re.fullmatch(r"[0-9A-Fa-f]+", bare)):
-        return True
-    return all(not p or PART.fullmatch(p) for p in re.split(r"[+/_-]", bare))
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all known forms, leftmost and not overlapping in each kind."""
     found = []
@@ -67,17 +63,68 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _random_in(text: str, start: int, end: int, count: Callable[[str], int]) -> list[tuple[int, int]]:
+    """(start, end) of random strings in a piece of a run; ``count`` gives the tokens of a string.
+
+    Pieces with only words and numbers between marks have none. The whole piece is tested first, then all
+    windows of joined parts are: their characters against the sum of their parts' tokens, without the
+    marks. Numbers are not counted, and a window needs half of LEAST in other parts.
+    """
+    spans = [m.span() for m in BETWEEN.finditer(text, start, end)]
+    if all(PART.fullmatch(text[a:b].rstrip("=")) for a, b in spans):
+        return []
+    if end - start < RATIO * count(text[start:end]):
+        return [(start, end)]
+    parts = [(a, b, RATIO * count(text[a:b]) - (b - a)) for a, b in spans if not text[a:b].rstrip("=").isdigit()]
+
+    def enough(i: int, j: int) -> bool:
+        return parts[j][1] - parts[i][0] >= LEAST and sum(b - a for a, b, _ in parts[i : min(j + 1, i + LEAST)]) >= LEAST // 2
+
+    found = [(parts[i][0], parts[j - 1][1]) for _, i, j in segments(np.array([g for _, _, g in parts])) if enough(i, j - 1)]
+    windows = []
+    for i in range(len(parts)):  # a longer window falls into two that are long enough, and one of them gains
+        gain, first = 0.0, None
+        for j in range(i, len(parts)):
+            gain += parts[j][2]
+            if first is None and enough(i, j):
+                first = j
+            if first is not None and gain > 0:
+                windows.append((-gain, parts[i][0], parts[j][1]))
+            if first is not None and first < j and enough(first + 1, j):
+                break
+    for _, a, b in sorted(windows):
+        at = bisect_right(found, (a, end))
+        if (at == 0 or found[at - 1][1] <= a) and (at == len(found) or b <= found[at][0]):
+            found.insert(at, (a, b))
+    return found
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary_name: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of runs with few characters per token, outside ``taken``."""
-    found = []
+    """(start, kind, end) of strings with few characters per token, outside ``taken``.
+
+    Runs are cut at ``taken`` and at digests and UUIDs; pieces that are not only numbers are tested.
+    """
+    def count(s: str) -> int:
+        return len(vocabulary(vocabulary_name).encode_ordinary(s))
+
+    found, known, at = [], [], 0
+    for a, _, b in taken:  # sorted: joined to spans that do not overlap
+        if known and a <= known[-1][1]:
+            known[-1][1] = max(known[-1][1], b)
+        else:
+            known.append([a, b])
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() and (run.islower() or run[1:].islower()):
-            continue
-        if is_named(run) or any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if len(run) < RATIO * len(vocabulary(vocabulary_name).encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+        while at < len(known) and known[at][1] <= m.start():
+            at += 1
+        cuts, k = [f.span() for f in FORMS.finditer(text, m.start(), m.end())], at
+        while k < len(known) and known[k][0] < m.end():
+            cuts.append((known[k][0], known[k][1]))
+            k += 1
+        begin = m.start()
+        for a, b in [*sorted(cuts), (m.end(), m.end())]:
+            if a - begin >= LEAST and any(c.isalpha() for c in text[begin:a]):
+                found += [(x, 3, y) for x, y in _random_in(text, begin, a, count)]
+            begin = max(begin, b)
     return found
 
 

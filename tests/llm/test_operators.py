@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -341,6 +342,26 @@ def test_secrets(spark):
     assert secrets.scan_secrets(empty(spark)).count() == 0
 
 
+def random_found(text):
+    return [text[a:b] for a, k, b in secrets.spans_of(text, "byte_bpe_50k.tiktoken") if k == 3]
+
+
+def test_secrets_in_paths():
+    r, mixed = random.Random(12), string.ascii_letters + string.digits
+    for before in ("downloads/public/archive/reports/2024/", "company/internal/documents/share/download/", "service_account_production_key_", "release-candidate-build-", ""):
+        for n in (20, 24, 32):
+            for after in ("", "/company/internal/documents/share/download"):
+                for _ in range(40):
+                    key = "".join(r.choice(mixed) for _ in range(n))
+                    assert any(key in x for x in random_found(f"see {before}{key}{after} there")), (before, key, after)
+    key, sha = "Qx7Zp3mKv9TbW2rYc8Ld5nHs1Gf6Jq4E", hashlib.sha1(b"x").hexdigest()
+    assert random_found(f"{sha}/{key} {key}/{sha}") == [key, key]
+    assert random_found(f"v2/{sha.upper()}/company_documents") == random_found("files2/3f2b8c1e-1111-4c2d-9a3b-5e6f7a8b9c0d") == []
+    words = "company/internal/documents/share/download"
+    assert random_found(f"{words}/Qx7Zp3mK-v9TbW2rY_c8Ld5nHs/{words}") == ["Qx7Zp3mK-v9TbW2rY_c8Ld5nHs"]
+    assert random_found("/".join([words, key] * 3)) != [] and len(random_found(f"{words}/{words}/{key}/{words}/{words}/{words}/{key}")) == 2
+
+
 def test_warc(spark):
     pages = [(1, "http://a/1", "same"), (2, "http://a/2\r\nX", "same"), (3, None, None), (4, "u", ""), (5, "u", "é"), (None, "n", "same"), (9, "http://a/9", "same"), (9, "http://a/9", "same")]
     table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("address", F.lit("clash"))
