@@ -66,14 +66,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _random_in(text: str, start: int, end: int, count: Callable[[str], int]) -> list[tuple[int, int]]:
     """(start, end) of random strings in a piece of a run; ``count`` gives the tokens of a string.
 
-    Pieces with only words and numbers between marks have none. The whole piece is tested first, then all
+    The whole piece is tested first, unless words and numbers are all it has between marks. Then all
     windows of joined parts are: their characters against the sum of their parts' tokens, without the
     marks. Numbers are not counted, and a window needs half of LEAST in other parts.
     """
     spans = [m.span() for m in BETWEEN.finditer(text, start, end)]
-    if all(PART.fullmatch(text[a:b].rstrip("=")) for a, b in spans):
-        return []
-    if end - start < RATIO * count(text[start:end]):
+    if not all(PART.fullmatch(text[a:b].rstrip("=")) for a, b in spans) and end - start < RATIO * count(text[start:end]):
         return [(start, end)]
     parts = [(a, b, RATIO * count(text[a:b]) - (b - a)) for a, b in spans if not text[a:b].rstrip("=").isdigit()]
 

@@ -362,6 +362,17 @@ def test_secrets_in_paths():
     assert random_found("/".join([words, key] * 3)) != [] and len(random_found(f"{words}/{words}/{key}/{words}/{words}/{words}/{key}")) == 2
 
 
+def test_secrets_of_letters():
+    for key in ("qkzvxwjpmtbrhgdfqzkw", "QKZVXWJPMTBRHGDFQZKW", "Qkzvxwjpmtbrhgdfqzkw", "qkzv-xwjp-mtbr-hgdf-qzkw", "QKZVX-WJPMT-BRHGD-FQZKW"):
+        assert random_found(f"key {key} here") == [key]
+        assert any(key in x for x in random_found(f"in company/internal/documents/{key}"))
+    for word in ("internationalization", "uncharacteristically", "counterrevolutionaries", "Electroencephalography", "is_it_ok_to_do_this_now", "2024-05-01-2024-06-01", "a/2024/05/01/12/30/45/99", "-" * 40, "company_internal-documents/share"):
+        assert random_found(f"see {word} there") == []
+    r = random.Random(13)
+    for letters, least in ((string.ascii_lowercase, 170), (string.ascii_uppercase, 190)):
+        assert sum(len(random_found("".join(r.choice(letters) for _ in range(24)))) for _ in range(200)) >= least
+
+
 def test_warc(spark):
     pages = [(1, "http://a/1", "same"), (2, "http://a/2\r\nX", "same"), (3, None, None), (4, "u", ""), (5, "u", "é"), (None, "n", "same"), (9, "http://a/9", "same"), (9, "http://a/9", "same")]
     table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("address", F.lit("clash"))
