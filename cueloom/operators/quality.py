@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,8 +85,6 @@ def _ngram_counts(orders: int, by_word: bool):
 
     Counted pair by pair, so no n-gram is shuffled.
     """
-    from collections import Counter
-
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def count(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in parts:
@@ -128,46 +128,124 @@ def chrf(pairs: DataFrame, beta: float = 2.0) -> DataFrame:
     return sums.select(F.round(100 * sum((score(n) for n in range(2, 7)), score(1)) / 6, 6).alias("chrf"))
 
 
-def ter(pairs: DataFrame, by: str = "video_id", longest: int = 10, farthest: int = 50, beam: int = 8) -> DataFrame:
+FAR = 1 << 20
+CELLS = 200_000
+
+
+def _blocks(a: list, b: list, longest: int, farthest: int):
+    """Blocks of ``a`` that stand in ``b``, longest, then nearest first: arrays of start, place and length."""
+    import numpy as np
+
+    places: dict = {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).append(j)
+    found, after = [], {}
+    for i in range(len(a) - 1, -1, -1):
+        at, here = places.get(a[i], ()), {}
+        for j in at[bisect_left(at, i - farthest) : bisect_right(at, i + farthest)]:
+            here[j] = min(after.get(j + 1, 0) + 1, longest)
+            found.append((i, j, here[j]))
+        after = here
+    i, j, n = np.array(found, np.int64).reshape(-1, 3).T
+    each = np.repeat(np.arange(len(n)), n)
+    i, j, n = i[each], j[each], np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + 1
+    order = np.lexsort((j, i, abs(i - j), -n))
+    return i[order], j[order], n[order]
+
+
+def _step(row, differs):
+    """The next row of an edit distance in a band around the diagonal; rows of several strings may be stacked."""
+    import numpy as np
+
+    places = np.arange(row.shape[-1], dtype=np.int32)
+    row, gone = row + differs, row[..., 1:] + 1
+    np.minimum(row[..., :-1], gone, out=row[..., :-1])
+    return np.minimum.accumulate(row - places, axis=-1) + places
+
+
+def best_shift(a: list, b: list, now: int, floor: int, longest: int, farthest: int) -> tuple[int, list] | None:
+    """The shift that leaves the least distance, below ``now`` - 1, and the words after it; the first of equals in the order of ``_blocks``.
+
+    Every block counts. One is skipped only if its distance cannot be less than the best so far: a
+    shift of n words by m places takes 2 min(n, m) edits off at most, leaves what the words before and
+    after it cost at least, and nothing falls below ``floor``.
+    Distances that matter stay in a band of ``now`` - 2 places around the diagonal, and a shift changes
+    only the rows between its ends, so these alone are computed again.
+    """
+    import numpy as np
+
+    names: dict = {}
+    x, y = (np.array([names.setdefault(w, len(names)) for w in side], np.int32) for side in (a, b))
+    i, j, n = _blocks(a, b, longest, farthest)
+    k = np.minimum(j, len(x) - n)
+    i, k, n = (v[k != i] for v in (i, k, n))
+    w = now - 2
+    band = np.arange(2 * w + 1)
+
+    def rows(x, y):
+        padded = np.full(max(len(x), len(y)) + 2 * w + 2, -1, np.int32)
+        padded[w + 1 : w + 1 + len(y)] = y
+        out = np.empty((len(x) + 1, len(band)), np.int32)
+        out[0] = np.where(band >= w, band - w, FAR)
+        for r in range(1, len(x) + 1):
+            out[r] = _step(out[r - 1], padded[r : r + len(band)] != x[r - 1])
+        return out, padded
+
+    (ahead, padded), (back, _) = rows(x, y), rows(x[::-1], y[::-1])
+    mirror = len(y) - len(x) + 2 * w - band
+    inside = (mirror >= 0) & (mirror < len(band))
+    mirror = np.clip(mirror, 0, len(band) - 1)
+    best, choice = now - 1, None
+    ends = ahead.min(axis=1)[np.minimum(i, k)] + back.min(axis=1)[len(x) - np.maximum(i, k) - n]
+    least = np.maximum(now - 2 * np.minimum(n, abs(i - k)), ends)
+    size, at = max(1, CELLS // len(band)), 0
+    while at < len(i) and best > floor:
+        open_ = at + np.flatnonzero(least[at:] < best)
+        chunk = open_[:size]
+        if not len(chunk):
+            break
+        at = int(chunk[-1]) + 1
+        span = (n + abs(i - k))[chunk]
+        first = np.argsort(-span, kind="stable")
+        c, span = chunk[first], span[first]
+        low, later, move = np.minimum(i, k)[c], (k > i)[c], abs(i - k)[c]
+        row = ahead[low]
+        for s in range(int(span[0])):
+            m = int(np.searchsorted(-span, -s, side="left"))  # those whose span is longer than s
+            front = np.where(later[:m], move[:m], n[c[:m]])
+            word = x[np.where(s < front, np.where(later[:m], n[c[:m]], move[:m]) + low[:m] + s, low[:m] + s - front)]
+            row[:m] = _step(row[:m], padded[(low[:m] + s + 1)[:, None] + band] != word[:, None])
+        d = (row + np.where(inside, back[len(x) - low - span][:, mirror], FAR)).min(axis=1)
+        if d.min() < best:
+            best = int(d.min())
+            choice = int(c[d == best].min())
+    if choice is None:
+        return None
+    i, k, n = int(i[choice]), int(k[choice]), int(n[choice])
+    rest = a[:i] + a[i + n :]
+    return best, rest[:k] + a[i : i + n] + rest[k:]
+
+
+def shifted_distance(a: list, b: list, longest: int, farthest: int) -> int:
+    """Edits and shifts of blocks that turn ``a`` into ``b``, shifts chosen greedily."""
+    shifts, now = 0, word_distance(a, b)
+    floor = max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values())  # whatever the order of the words
+    while now - 1 > floor and (found := best_shift(a, b, now, floor, longest, farthest)):
+        (now, a), shifts = found, shifts + 1
+    return now + shifts
+
+
+def ter(pairs: DataFrame, by: str = "video_id", longest: int = 10, farthest: int = 50) -> DataFrame:
     """Translation edit rate per ``by``: edits and shifts of blocks over reference words.
 
     Shifts are searched greedily, as in the published algorithm: as long as moving a block of the
     hypothesis (``longest`` words, ``farthest`` places at most) to where it stands in the
-    reference lowers the distance by more than the shift costs. In each round the ``beam``
-    longest, then nearest blocks are tried.
+    reference lowers the distance by more than the shift costs. Each round tries every block.
     """
     @F.pandas_udf(T.IntegerType())
     def moves(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in parts:
-            out = []
-            for a, b in zip(left, right, strict=True):
-                a, b, shifts = list(a), list(b), 0
-                now = word_distance(a, b)
-                places: dict = {}
-                for j, w in enumerate(b):
-                    places.setdefault(w, []).append(j)
-                while now > 1:
-                    blocks = []
-                    for i, w in enumerate(a):
-                        if i < len(b) and b[i] == w:
-                            continue
-                        for j in places.get(w, ()):
-                            if abs(i - j) <= farthest:
-                                n = 1
-                                while n < longest and i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                                    n += 1
-                                blocks.append((-n, abs(i - j), i, j))
-                    best = now - 1, None
-                    for n, _, i, j in sorted(blocks)[:beam]:
-                        rest, k = a[:i] + a[i - n :], min(j, len(a) + n)
-                        found = rest[:k] + a[i : i - n] + rest[k:]
-                        if (d := word_distance(found, b)) < best[0]:
-                            best = d, found
-                    if best[1] is None:
-                        break
-                    (now, a), shifts = best, shifts + 1
-                out.append(now + shifts)
-            yield pd.Series(out, dtype="int32")
+            yield pd.Series([shifted_distance(list(a), list(b), longest, farthest) for a, b in zip(left, right, strict=True)], dtype="int32")
 
     h, r = metric_tokens(F.col("hypothesis")), metric_tokens(F.col("reference"))
     measured = pairs.select(by, moves(h, r).alias("edits"), F.size(r).alias("n"))
