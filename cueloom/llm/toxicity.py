@@ -60,23 +60,23 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     """All maximal-scoring segments (score, first, end) of a sequence, in linear time.
 
     Only positive scores can begin or end one, so the scan goes from one to the next with the
-    running sum; a new one joins the latest candidate that it can extend to a higher sum.
+    running sum; a new one joins the latest candidate that it can extend to a higher sum. Each
+    candidate links to the latest earlier one with a lower sum before it: none between is looked at.
     """
     total = np.cumsum(scores)
-    kept: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
+    kept: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, end, link
     for k in np.flatnonzero(scores > 0).tolist():
         high = float(total[k])
         low, first, end = high - float(scores[k]), k, k + 1
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= low:
-                j -= 1
-            if j < 0 or kept[j][1] >= high:
-                kept.append((low, high, first, end))
-                break
-            low, first = kept[j][0], kept[j][2]
+        j = len(kept) - 1
+        while j >= 0 and kept[j][0] >= low:
+            j = kept[j][4]
+        while j >= 0 and kept[j][1] < high:
+            low, _, first, _, link = kept[j]
             del kept[j:]
-    return [(high - low, first, end) for low, high, first, end in kept]
+            j = link
+        kept.append((low, high, first, end, j))
+    return [(high - low, first, end) for low, high, first, end, _ in kept]
 
 
 def evidence(found: list[float], n: int, scale: float, ln_k: float) -> float:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -289,6 +290,15 @@ def test_segments():
         assert [(a, b) for _, a, b in got] == [(a, b) for _, a, b in brute(s)]
 
 
+def test_segments_in_linear_time():
+    falling = np.tile([1.0, -2.0], 60_000)
+    begin = time.process_time()
+    got = toxicity.segments(falling)
+    assert time.process_time() - begin < 10 and len(got) == 60_000 and set(x[0] for x in got) == {1.0}
+    rising = toxicity.segments(-falling[::-1])
+    assert [(a, b) for _, a, b in rising] == [(0, 119_999)]
+
+
 def toxic_tables(spark, n=1500):
     r = random.Random(3)
     texts, labels = [], []
