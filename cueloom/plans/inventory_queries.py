@@ -142,6 +142,13 @@ def encoded_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.url_encode(F.concat("url", F.lit(" ~*"), F.substring("html", 1, 80))).alias("encoded"))
 
 
+@query("SELECT page_id, md5(e) AS digest, length(e) AS n_chars FROM (SELECT page_id, url_encode(url || ' ~*' || html) AS e FROM pages)")
+def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest and length of each page's address and whole text, encoded."""
+    encoded = X.url_encode(F.concat("url", F.lit(" ~*"), "html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(encoded.cast("binary")).alias("digest"), F.length(encoded).cast("long").alias("n_chars"))
+
+
 @query("""WITH c AS (SELECT event_id, printf('%06x', event_id * 7919 % 16777216) AS h FROM events), s AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN h WHEN 1 THEN '#' || h || ' ' WHEN 2 THEN substr(h, 1, 3) ELSE 'z' || substr(h, 2) END AS s, upper(h) AS h FROM c)
 SELECT event_id, CASE WHEN event_id % 4 < 2 THEN '#' || h END AS colour, CASE WHEN event_id % 4 < 2 THEN '&H00' || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) END AS literal FROM s""")
 def colour_literals(spark: SparkSession, sf_dir: str) -> DataFrame:

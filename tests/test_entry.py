@@ -38,6 +38,21 @@ def test_queries(spark):
     compare(spark, catalog.queries(), catalog.oracle_sql(), catalog.oracle_sql())
 
 
+def test_encoded_pages(spark):
+    import hashlib
+    import urllib.parse
+
+    from cueloom.plans import catalog
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = catalog.queries()["encoded_pages"](spark, SF).collect()
+    assert len(got) == len(pages) and any(len(p.html or "") > 80 for p in pages.values())
+    for row in got:
+        page = pages[row.page_id]
+        want = None if page.url is None or page.html is None else urllib.parse.quote(f"{page.url} ~*{page.html}", safe="")
+        assert (row.digest, row.n_chars) == (None if want is None else (hashlib.md5(want.encode()).hexdigest()), want and len(want))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
