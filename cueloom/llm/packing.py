@@ -6,6 +6,7 @@ import zlib
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -22,8 +23,8 @@ LENGTH = 4096
 END = 2
 #: Costs, in tokens of padding: a sequence, a cut between sentences, a cut inside one.
 OPEN, SENTENCE, INSIDE = 48.0, 4.0, 20.0
-#: Inside a sentence, cuts are offered every so many tokens.
-STRIDE = 128
+#: In a sentence of more than LONG tokens, cuts are offered every STRIDE tokens too.
+LONG, STRIDE = 512, 128
 #: Tokens that are planned at a time.
 PLAN = 1 << 19
 #: Sequences of one input partition are numbered from partition * 2**SHIFT.
@@ -51,14 +52,16 @@ def sentence_ends(path: str) -> np.ndarray:
     return found
 
 
-def offered_cuts(ids: np.ndarray, document_ends: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> Cuts:
-    """Cuts after documents (free), after sentences, and every ``stride`` tokens inside sentences."""
+def offered_cuts(ids: np.ndarray, document_ends: np.ndarray, ends: np.ndarray, long: int = LONG, stride: int = STRIDE) -> Cuts:
+    """Cuts after documents (free) and after sentences; in sentences of more than ``long`` tokens also every ``stride`` ones."""
     cost = np.full(len(ids) + 1, np.inf)
-    cost[stride::stride] = INSIDE
     cost[1:][ends[np.minimum(ids, len(ends) - 1)]] = SENTENCE
     cost[document_ends] = 0.0
     cost[[0, len(ids)]] = 0.0
     at = np.flatnonzero(np.isfinite(cost))
+    for k in np.flatnonzero(np.diff(at) > long).tolist():
+        cost[at[k] + stride : at[k + 1] : stride] = INSIDE
+    at = np.flatnonzero(np.isfinite(cost))
     return Cuts(at, cost[at])
 
 
@@ -129,7 +132,7 @@ class Packer:
             return
         ids = np.concatenate([x[3] for x in self.waiting])
         stops = np.cumsum([len(x[3]) for x in self.waiting])
-        found = plan(offered_cuts(ids, stops, self.ends, min(STRIDE, self.length)), self.length, last)
+        found = plan(offered_cuts(ids, stops, self.ends, min(LONG, self.length), min(STRIDE, self.length)), self.length, last)
         done = found if last else found[:-1]
         at, k, begin = 0, 0, 0
         for stop in done:
@@ -177,8 +180,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
             key_type = batch.schema.field(0).type
             keys, rows, k = batch.column(0).to_pylist(), [], 0
             for texts in slices(batch.column(1)):
-                for ids in whole_ids(texts, path):
-                    rows += packer.add(keys[k], np.append(ids, np.uint32(end)))
+                flat, offsets = whole_ids(texts, path)
+                for a, b in pairwise(offsets.tolist()):
+                    rows += packer.add(keys[k], np.append(flat[a:b], np.uint32(end)))
                     k += 1
             yield batch_of(rows)
         if key_type is not None:

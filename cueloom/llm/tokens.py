@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -23,19 +22,18 @@ CHUNK = 1 << 16
 OVERLAP = 1 << 8
 #: Tokens that must agree on each side of a cut.
 STABLE = 4
-#: Words kept with their ids in each Python worker.
-CACHE_WORDS = 400_000
+#: Parts of words kept with their ids in each Python worker.
+CACHE_WORDS = 500_000
 LIMIT = 2048
-#: Stands between runs that are encoded together. It is ASCII, so no other character becomes it.
-MARK = b"~"
-STOPS = (b".", b",")
-#: A split into words that leaves a run of letters whole, and the steps around it.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Lower-case Latin letters, which no normal form or lower case changes.
-LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
-_plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _plain)}
+#: Bytes of texts encoded at a time.
+SLICE = 1 << 23
+#: Stands between words that are encoded together. It is ASCII, so no other character becomes it.
+MARK = "~"
+#: Words of ASCII and Latin letters, which no normal form changes; '<' may begin a special string.
+LATIN = r"^[\x21-\x3b\x3d-\x7e\x{a1}-\x{24f}]+$"
+#: A letter or digit of those at the end, that stays one in lower case: marks after it are a piece of their own.
+ENDS_PLAIN = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]$"
+MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,13 +42,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def stretches(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` with these starts and lengths, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+
+
 class Encoder:
     """Ids of texts as the library gives them, for .json files of ``tokenizers``.
 
     Where the tokenizer drops white space before it splits words, and no word can hold any, a
-    text's ids are those of its runs between ASCII white space, one after the other. Then ids of
-    runs are kept in a cache of bounded size (two generations), and only new runs go to the
-    library, joined by marks. Other tokenizers encode whole texts.
+    text's ids are those of its runs between ASCII white space, one after the other. Arrow splits
+    the texts and finds the distinct runs of a slice; only these are cut into stem and closing
+    marks and looked up in a cache of bounded size (two generations), and only parts that are not
+    there go to the library, joined by marks. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -62,12 +68,11 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             self.config = json.load(f)
-        self.mark, *more = self.encode(MARK.decode()).ids or [None]
+        self.mark, *more = self.encode(MARK).ids or [None]
         self.by_word = self._drops_space() and self.mark is not None and not more
-        self.direct = self.by_word and self._splits_letters()
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.lowers = any(x["type"] == "Lowercase" for x in self._steps("normalizer", "normalizers"))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _steps(self, part: str, inner: str) -> list[dict]:
         x = self.config[part]
@@ -77,39 +82,23 @@ class Encoder:
         normal = [(x["type"], x.get("pattern"), x.get("content")) for x in self._steps("normalizer", "normalizers")]
         space = ("Replace", {"Regex": "\\s+"}, " ")
         split = self._steps("pre_tokenizer", "pretokenizers")[:1]
-        marks = [t["content"] + t["content"] * (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in self.config["added_tokens"]]
+        added = self.config["added_tokens"]
         dropped = bool(split) and split[0]["type"] == "Split" and split[0]["behavior"] == "Removed" and split[0]["invert"]
         pattern = split[0]["pattern"].get("Regex", "") if dropped else ""
         wordlike = dropped and all(part.startswith(("'", r"[\p{L}]", r"[\p{N}]", r"[^\s")) for part in pattern.split("|"))
-        return space in normal and {x[0] for x in normal} <= {"NFC", "Replace", "Lowercase"} and wordlike and not any(re.search(r"\s", m) for m in marks) and all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in self.config["added_tokens"])
-
-    def _splits_letters(self) -> bool:
-        """A run of LETTERS is one word, given to the model as it is, byte by byte."""
-        split = self._steps("pre_tokenizer", "pretokenizers")
-        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
-        return len(split) == 2 and split[0]["pattern"] == {"Regex": SPLIT} and byte_level.items() <= split[1].items() and not self.config["model"].get("dropout")
+        plain = {x[0] for x in normal} <= {"NFC", "Replace", "Lowercase"}
+        free = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        return space in normal and plain and wordlike and free
 
     def encode(self, text: str):
         return self.library.encode(text, add_special_tokens=False)
 
-    def learn(self, words: list[bytes]) -> None:
-        """Ask the library for the ids of these runs, with a mark between them that none holds."""
-        if self.direct:
-            rest, tokenize = [], self.library.model.tokenize
-            for w in words:
-                if w.isalpha() and w.islower():  # ASCII letters stand for themselves
-                    found = tokenize(w.decode())
-                elif LETTERS.fullmatch(w.decode()):
-                    found = tokenize(w.decode("latin-1").translate(BYTES))
-                else:
-                    rest.append(w)
-                    continue
-                self.known[w] = array("I", [t.id for t in found]).tobytes()
-            words = rest
+    def learn(self, words: list[str]) -> None:
+        """Ask the library for the ids of these words, with a mark between them that none holds."""
         plain = [w for w in words if MARK not in w]
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
-            joined = (b" " + MARK + b" ").join([*part, b""]).decode()
+            joined = f" {MARK} ".join([*part, ""])
             ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(ids == self.mark)
             raw, stops = ids.tobytes(), (stops * 4).tolist()
@@ -117,60 +106,64 @@ class Encoder:
                 self.known[w] = raw[a + 4 : b]
         for w in words:
             if MARK in w:
-                self.known[w] = np.array(self.encode(w.decode()).ids, np.uint32).tobytes()
-
-    def _core(self, word: bytes) -> tuple[bytes, bytes]:
-        """The run in lower case, and one full stop or comma taken from its end, if that stands after a letter or digit."""
-        if not self.lowers or b"<" in word:
-            return word, b""
-        low = word.lower()
-        if low[-1:] in STOPS and low[-2:-1] and (low[-2:-1].isalnum() or low[-2] > 127 and _letter(low[:-1].decode()[-1])):
-            return low[:-1], low[-1:]
-        return low, b""
-
-    def _split(self, texts: list[str]) -> list[list[bytes]]:
-        """Runs of each text; the ids of all are known after the call."""
-        split = [t.encode().split() for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        if len(self.known) + 2 * len(new) > CACHE_WORDS:
-            self.older, self.known = self.known, {}
-            new = set(chain.from_iterable(split))
+                self.known[w] = np.array(self.encode(w).ids, np.uint32).tobytes()
+
+    def _parts(self, runs: pa.Array) -> pa.Array:
+        """Two parts of each run, in turn: Latin ones in lower case without the marks at their end, and those; others whole, and nothing."""
+        latin = pc.match_substring_regex(runs, LATIN)
+        low = pc.if_else(latin, pc.ascii_lower(runs), runs) if self.lowers else runs
+        bare = pc.utf8_rtrim(low, MARKS)
+        cut = pc.and_(latin, pc.match_substring_regex(bare, ENDS_PLAIN))
+        stem = pc.if_else(cut, pc.binary_length(bare), pc.binary_length(low)).to_numpy(zero_copy_only=False)
+        low = pa.concat_arrays([low])  # own buffers, without an offset
+        offsets = np.frombuffer(low.buffers()[1], np.int64)[: len(low) + 1]
+        both = np.empty(2 * len(low) + 1, np.int64)
+        both[::2], both[1::2] = offsets, offsets[:-1] + stem
+        return pa.LargeStringArray.from_buffers(2 * len(low), pa.py_buffer(both), low.buffers()[2])
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, as bytes."""
         known, older = self.known, self.older
-        wanted: set[bytes] = set()
-        waiting = []
-        for w in new:
-            if w in older:
-                known[w] = older[w]
-                continue
-            core, stop = self._core(w)
-            if core not in known:
-                wanted.add(core)
-            if stop and stop not in known:
-                wanted.add(stop)
-            if core != w:
-                waiting.append((w, core, stop))
-        for w in wanted & older.keys():
-            known[w] = older[w]
-        self.learn([w for w in wanted if w not in known])
-        for w, core, stop in waiting:
-            known[w] = known[core] + known[stop] if stop else known[core]
-        return split
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            self.older = older = known
+            self.known = known = {}
+            new = words
+        known.update((w, older[w]) for w in new if w in older)
+        self.learn([w for w in new if w not in known])
+        return list(map(known.__getitem__, words))
+
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct runs in a row, and how many each has."""
+        parts = self._parts(runs).dictionary_encode()
+        found = self._look_up(parts.dictionary.to_pylist())
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = parts.indices.to_numpy()
+        flat = stretches(np.frombuffer(b"".join(found), np.uint32), (np.cumsum(n) - n)[at], n[at])
+        return flat, n[at].reshape(-1, 2).sum(axis=1)
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct runs, how many each has, the runs of all texts, and where those of each text begin."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        runs = split.flatten().dictionary_encode()
+        offsets = split.offsets.to_numpy()
+        return *self._runs(runs.dictionary), runs.indices.to_numpy(), offsets - offsets[0]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where those of each begin, with the end; null texts are empty."""
         if not self.by_word:
-            return [np.array(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
-        split, of = self._split(texts), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(of, ws)), np.uint32) for ws in split]
+            found = self.library.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)
+            listed = [np.array(x.ids, np.uint32) for x in found]
+            return np.concatenate([np.zeros(0, np.uint32), *listed]), np.cumsum([0, *map(len, listed)])
+        flat, n, at, offsets = self._split(texts)
+        return stretches(flat, (np.cumsum(n) - n)[at], n[at]), np.concatenate([[0], np.cumsum(n[at])])[offsets]
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
-        return list(map(len, self.ids(texts)))
-
-
-def _letter(c: str) -> bool:
-    """A Latin letter that stays one letter in lower case."""
-    return c < "\u0250" and c.isalpha() and len(c.lower()) == 1
+        if not self.by_word:
+            return np.diff(self.ids(texts)[1])
+        _, n, at, offsets = self._split(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(n[at])])[offsets])
 
 
 @lru_cache(maxsize=4)
@@ -224,35 +217,48 @@ def chunked_ids(text: str, encode: Callable, resets: Callable[[str, int], bool]
         begin, pending = tokens[cut][1], None
 
 
-def whole_ids(texts: list[str], path: str, chunk: int = CHUNK) -> list[np.ndarray]:
-    """Ids of each text; huge ones in chunks."""
-    own = encoder(path)
+def _huge(texts: pa.Array, own: Encoder, chunk: int) -> tuple[pa.Array, list[tuple[int, str]]]:
+    """The texts with those that are encoded in chunks left empty, and these with their places."""
     if not own.by_word:
-        return own.ids(texts)
-    small = [t if len(t) <= chunk else "" for t in texts]
-    found = own.ids(small)
-    for k, t in enumerate(texts):
-        if len(t) > chunk:
-            found[k] = np.array(chunked_ids(t, own.encode, chunk=chunk), np.uint32)
-    return found
+        return texts, []
+    huge = pc.greater(pc.utf8_length(texts), chunk).fill_null(False)
+    places = np.flatnonzero(huge.to_numpy(zero_copy_only=False)).tolist()
+    left = pc.if_else(huge, pa.scalar("", texts.type), texts) if places else texts
+    return left, [(k, texts[k].as_py()) for k in places]
 
 
-#: Characters encoded at a time.
-SLICE = 1 << 22
+def whole_ids(texts: pa.Array, path: str, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where those of each begin, with the end; huge texts in chunks."""
+    own = encoder(path)
+    left, huge = _huge(texts, own, chunk)
+    flat, offsets = own.ids(left)
+    lengths, parts, done = np.diff(offsets), [], 0
+    for k, text in huge:
+        found = np.array(chunked_ids(text, own.encode, chunk=chunk), np.uint32)
+        parts += [flat[done : offsets[k]], found]
+        done, lengths[k] = int(offsets[k]), len(found)
+    return np.concatenate([*parts, flat[done:]]), np.cumsum(np.concatenate([[0], lengths]))
+
+
+def whole_counts(texts: pa.Array, path: str, chunk: int = CHUNK) -> np.ndarray:
+    """Number of ids of each text; huge texts in chunks."""
+    own = encoder(path)
+    left, huge = _huge(texts, own, chunk)
+    counts = own.counts(left)
+    for k, text in huge:
+        counts[k] = len(chunked_ids(text, own.encode, chunk=chunk))
+    return counts
 
 
-def slices(texts: pa.Array, most: int = SLICE) -> Iterator[list[str]]:
-    """The texts in order, null as empty, about ``most`` characters at a time."""
-    part, held = [], 0
-    for x in texts:
-        t = x.as_py() or ""
-        if part and held + len(t) > most:
-            yield part
-            part, held = [], 0
-        part.append(t)
-        held += len(t)
-    if part:
-        yield part
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
+    """The texts in order, about ``most`` bytes at a time."""
+    texts = texts.cast(pa.large_string())
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield texts.slice(i, j - i)
+        i = j
 
 
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
@@ -260,20 +266,20 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     Ids are those of the library without added special tokens; special strings inside a text
     count as its default has them. Null and empty texts have 0 bytes and 0 tokens; keys may be
-    null or repeat; other columns are ignored. Nothing is shuffled.
+    null or repeat: each row is counted; other columns are ignored; an empty table gives no
+    rows. Nothing is shuffled.
     """
     path = path or tokenizer_path()
-    schema = T.StructType([docs.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
+    counted = (("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()))
+    schema = T.StructType([docs.schema[key], *[T.StructField(n, t) for n, t in counted]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
         for batch in batches:
-            sizes, tokens = [], []
-            for texts in slices(batch.column(1)):
-                sizes += [len(t.encode()) for t in texts]
-                n = own.counts([t if len(t) <= chunk else "" for t in texts])
-                tokens += [len(chunked_ids(t, own.encode, chunk=chunk)) if len(t) > chunk and own.by_word else n[k] if len(t) <= chunk else own.counts([t])[0] for k, t in enumerate(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], schema.names)
+            sizes = pc.binary_length(batch.column(1)).cast(pa.int64()).fill_null(0)
+            found = [whole_counts(texts, path, chunk) for texts in slices(batch.column(1))]
+            tokens = np.concatenate([np.zeros(0, np.int64), *found])
+            columns = [batch.column(0), sizes, pa.array(tokens, pa.int64()), pa.array(tokens > limit)]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.select(key, text).mapInArrow(count, schema)
 
