@@ -210,19 +210,21 @@ def predicted_outputs(path: Column, root: Column, out_root: str | None, mode: st
     return F.array(made(""), made("_softsub")) if mode == "both" else F.array(made(""))
 
 
-def first_array(s: Column) -> Column:
-    """The first JSON array in a model's answer: all of it, or a fenced block.
+#: A JSON array of arrays of numbers.
+PAIRS = r"^\s*\[\s*(?:\[[\d,\s]*\]\s*(?:,\s*\[[\d,\s]*\]\s*)*+)?\]\s*$"
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: A JSON array of strings.
+STRINGS = rf"(?s)^\s*\[\s*(?:{_STRING}\s*(?:,\s*{_STRING}\s*)*+)?\]\s*$"
 
-    Answers with other text around a bare array need ``operators.answers.balanced_arrays``.
-    """
-    whole = trim(s)
-    fenced = F.regexp_extract(s, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
-    return F.when(whole.rlike(r"(?s)^\[.*\]$"), whole).when(fenced != "", fenced)
+
+def fenced_block(s: Column) -> Column:
+    """What stands in the first block fenced as json, else in the first fenced without a name; null without either."""
+    named, bare = (rf"(?s)```{name}\n(.*?)```" for name in ("json", ""))
+    inside = lambda pattern: F.when(s.rlike(pattern), trim(F.regexp_extract(s, pattern, 1)))
+    return F.coalesce(inside(named), inside(bare))
 
 
 def string_array(s: Column, expected: Column) -> Column:
     """A JSON array of exactly ``expected`` strings; null otherwise."""
-    one = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-    quoted = rf"(?s)^\[\s*(?:{one}\s*(?:,\s*{one}\s*)*)?\]$"
     parsed = F.from_json(s, "array<string>")
-    return F.when(s.rlike(quoted) & (F.size(parsed) == expected), parsed)
+    return F.when(s.rlike(STRINGS) & (F.size(parsed) == expected), parsed)

@@ -18,13 +18,18 @@ def in_order(*order) -> Window:
     return Window.partitionBy("video_id").orderBy(*(order or ("idx",)))
 
 
-def cues_of_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Cues of plain texts: their non-blank lines, 60 ms a character and 500 ms at least, one after the other."""
+def cues_of_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cues of plain texts: their non-blank lines, 60 ms a character and 500 ms at least, one after the other.
+
+    ``keep`` names columns of the texts that their cues carry.
+    """
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"(?U)\S"))
-    rows = docs.select(F.col(key).alias("video_id"), F.posexplode(lines).alias("pos", "text"))
-    timed = rows.select("video_id", (F.col("pos") + 1).alias("idx"), "text", F.greatest(F.lit(500), F.length("text") * 60).cast("long").alias("dur_ms"))
+    lasting = lambda line: F.greatest(F.lit(500), F.length(line) * 60).cast("long")
+    listed = docs.select(F.col(key).alias("video_id"), lines.alias("lines"), *keep)
+    rows = listed.select("video_id", *keep, F.posexplode("lines").alias("pos", "text"))
+    timed = rows.select("video_id", (F.col("pos") + 1).alias("idx"), "text", lasting(F.col("text")).alias("dur_ms"), *keep)
     before = F.coalesce(F.sum("dur_ms").over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return timed.withColumn("start_ms", before).withColumn("end_ms", F.col("start_ms") + F.col("dur_ms")).drop("dur_ms")
+    return timed.withColumn("start_ms", before).withColumn("end_ms", F.col("start_ms") + F.col("dur_ms")).drop("dur_ms").select("video_id", "idx", "text", "start_ms", "end_ms", *keep)
 
 
 def words_of_cues(cues: DataFrame) -> DataFrame:
@@ -66,19 +71,28 @@ def rule_segments(words: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
 
 
 def neighbour_pairs(raw: Column) -> Column:
-    """Of a JSON list of pairs those of neighbours: [a, a + 1]."""
-    return F.filter(F.from_json(raw, "array<array<int>>"), lambda x: (F.size(x) == 2) & (x[1] == x[0] + 1))
+    """Of a JSON list of pairs those of neighbours: [a, a + 1]. The whole answer, else what lies between its first [ and its last ]."""
+    parsed = lambda s: F.when(s.rlike(X.PAIRS), F.from_json(s, "array<array<int>>"))
+    inner = F.regexp_extract(raw, r"(?s)\[.*\]", 0)
+    return F.filter(F.coalesce(parsed(X.trim(raw)), parsed(inner), F.array().cast("array<array<int>>")), lambda x: (F.size(x) == 2) & (x[1] == x[0] + 1))
 
 
 def merge_cues(cues: DataFrame, pairs: DataFrame) -> DataFrame:
     """Each cue that is second in a pair (video_id, a, b) joins the one before; renumbered from 1."""
-    targets = pairs.select("video_id", F.col("b").alias("idx"), F.lit(1).alias("joins")).distinct()
-    marked = cues.join(targets, ["video_id", "idx"], "left").withColumn("opens", F.when(F.row_number().over(in_order()) == 1, 1).otherwise(1 - F.coalesce("joins", F.lit(0))))
-    grouped = marked.withColumn("grp", F.sum("opens").over(in_order())).groupBy("video_id", "grp")
+    targets = pairs.select("video_id", F.col("b").alias("idx"), F.lit(True).alias("joins")).distinct()
+    return merge_marked(cues.join(targets, ["video_id", "idx"], "left"))
+
+
+def merge_marked(cues: DataFrame) -> DataFrame:
+    """Each cue that ``joins`` is joined to the one before, the first of a video to none; renumbered from 1."""
+    opens = F.when(F.row_number().over(in_order()) == 1, 1).otherwise(1 - F.coalesce("joins", F.lit(False)).cast("int"))
+    grouped = cues.withColumn("opens", opens).withColumn("grp", F.sum("opens").over(in_order())).groupBy("video_id", "grp")
     items = grouped.agg(F.array_sort(F.collect_list(F.struct("idx", "start_ms", "end_ms", "text"))).alias("i"))
-    many = F.size("i") > 1
-    joined = F.concat_ws(" ", X.rtrim(F.element_at("i", 1)["text"]), F.transform(F.slice("i", 2, F.greatest(F.size("i") - 2, F.lit(0))), lambda x: X.trim(x["text"])), X.ltrim(F.element_at("i", -1)["text"]))
-    return items.select("video_id", F.col("grp").cast("int").alias("idx"), F.element_at("i", 1)["start_ms"].alias("start_ms"), F.element_at("i", -1)["end_ms"].alias("end_ms"), F.when(many, joined).otherwise(F.element_at("i", 1)["text"]).alias("text"))
+    first, last = F.element_at("i", 1), F.element_at("i", -1)
+    between = F.transform(F.slice("i", 2, F.greatest(F.size("i") - 2, F.lit(0))), lambda x: X.trim(x["text"]))
+    joined = F.concat_ws(" ", X.rtrim(first["text"]), between, X.ltrim(last["text"]))
+    text = F.when(F.size("i") > 1, joined).otherwise(first["text"])
+    return items.select("video_id", F.col("grp").cast("int").alias("idx"), first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"), text.alias("text"))
 
 
 def overlapping_chunks(cues: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -107,15 +121,19 @@ def wave_of(batch: Column, chained: bool, threads: int) -> Column:
 def wave_contexts(done: DataFrame, chained: bool = True, threads: int = 4) -> DataFrame:
     """(video_id, batch, wave, context): the last 5 non-empty pairs translated before the batch's wave.
 
-    ``done``: video_id, idx, text, target. One sort per video serves all windows.
+    ``done``: video_id, idx, text, target. Pairs are counted along a video, a frame over the count
+    holds the last five at each row, and a wave takes what the row before its first one holds. So a
+    row carries five pairs at most, and one shuffle serves all windows.
     """
-    size = F.size(F.col("before"))
     waved = done.withColumn("batch", batch_of(F.col("idx"))).withColumn("wave", wave_of(F.col("batch"), chained, threads))
-    earlier = Window.partitionBy("video_id").orderBy("wave").rangeBetween(Window.unboundedPreceding, -1)
-    pair = F.when((F.col("target") != "") & F.col("target").isNotNull(), F.struct("idx", "text", "target"))
-    seen = waved.withColumn("before", F.array_sort(F.collect_list(pair).over(earlier)))
-    kept = F.slice("before", F.greatest(F.lit(1), size - CONTEXT + 1), CONTEXT)
-    return seen.groupBy("video_id", "batch", "wave").agg(F.first(kept).alias("context"))
+    full = F.coalesce(F.col("target") != "", F.lit(False))
+    counted = waved.withColumn("n_pairs", F.sum(full.cast("int")).over(in_order())).withColumn("pair", F.when(full, F.struct("idx", "text", "target")))
+    five = Window.partitionBy("video_id").orderBy("n_pairs").rangeBetween(1 - CONTEXT, Window.currentRow)
+    held = counted.withColumn("held", F.array_sort(F.collect_list("pair").over(five)))
+    before = held.withColumn("before", F.lag("held").over(in_order()))
+    first = F.first("before").over(Window.partitionBy("video_id", "wave").orderBy("idx"))
+    context = F.coalesce(F.first("context"), F.array().cast(held.schema["held"].dataType))
+    return before.withColumn("context", first).groupBy("video_id", "batch", "wave").agg(context.alias("context"))
 
 
 def word_offsets(words: DataFrame) -> DataFrame:
@@ -128,12 +146,22 @@ def word_ranges(segments: DataFrame, words: DataFrame) -> DataFrame:
     """(video_id, seg, first_word, last_word) of segments given as texts in order.
 
     A segment spans its characters in the words' joined text; the first word may begin 2
-    characters earlier. An equi-join by video with a range on top.
+    characters earlier. Words and the two ends of segments are put in one order of offsets: a
+    segment's first word is the next one from its begin, its last the one before its end. So the
+    work grows with words and segments, not with their product.
     """
-    spans = segments.withColumn("from_off", F.coalesce(F.sum(F.length("text")).over(in_order("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    spans = spans.withColumn("to_off", F.col("from_off") + F.length("text"))
-    found = spans.join(word_offsets(words).select("video_id", "pos", "off"), "video_id").filter("off >= from_off - 2 and off < to_off")
-    ranges = found.groupBy("video_id", "seg").agg(F.min("pos").alias("first_word"), F.max("pos").alias("last_word"))
+    start = F.coalesce(F.sum(F.length("text")).over(in_order("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = segments.withColumn("from_off", start).withColumn("to_off", F.col("from_off") + F.length("text"))
+    ends = F.inline(F.array(*[F.struct(F.lit(name).alias("end"), off.alias("off")) for name, off in (("first", F.col("from_off") - 2), ("last", F.col("to_off")))]))
+    marks = spans.select("video_id", "seg", ends).withColumn("pos", F.lit(None).cast("long"))
+    placed = word_offsets(words).select("video_id", F.lit(None).cast(segments.schema["seg"].dataType).alias("seg"), F.lit(None).cast("string").alias("end"), "off", F.col("pos").cast("long").alias("pos"))
+    line = marks.unionByName(placed)
+    in_video = Window.partitionBy("video_id")
+    earlier = in_video.orderBy("off", F.col("pos").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    later = in_video.orderBy(F.col("off").desc(), F.col("pos").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = line.withColumn("before", F.last("pos", True).over(earlier)).withColumn("after", F.last("pos", True).over(later))
+    found = seen.filter("seg is not null").groupBy("video_id", "seg").agg(F.max(F.when(F.col("end") == "first", F.col("after"))).alias("first_word"), F.max(F.when(F.col("end") == "last", F.col("before"))).alias("last_word"))
+    ranges = found.filter("first_word <= last_word")
     after = F.max("last_word").over(in_order("seg").rowsBetween(Window.unboundedPreceding, -1))
     return ranges.withColumn("first_word", F.greatest("first_word", F.coalesce(after + 1, F.lit(0)))).filter("first_word <= last_word")
 
@@ -185,20 +213,22 @@ def realign(words: DataFrame, texts: DataFrame, ahead: int = 3) -> DataFrame:
 
     Each word looks up to ``ahead`` tokens ahead for one with the same letters; a match moves the
     cursor and keeps the word's leading space. The cursor depends on all earlier words: a fold
-    over one video's words.
+    over one video's words, which meet its text, held once, in a cogroup. Words of videos without
+    a text stay as they are.
     """
     import pandas as pd
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
         letters = lambda s: "".join(c for c in s if c.isalpha()).lower()
         pdf = pdf.sort_values("pos")
-        spelled = (pdf["text"].iloc[0] or "").split()
+        spelled = ((text["text"].iloc[0] if len(text) else None) or "").split()
+        bare = [letters(s) for s in spelled]
         at, out = 0, []
         for word in pdf["word"]:
             own = letters(word)
-            hit = next((k for k in range(at, min(at + ahead, len(spelled))) if own and letters(spelled[k]) == own), None)
+            hit = next((k for k in range(at, min(at + ahead, len(spelled))) if own and bare[k] == own), None)
             out.append(word if hit is None else (" " if word.startswith(" ") else "") + spelled[hit])
             at = at if hit is None else hit + 1
-        return pdf.assign(word=out).drop(columns="text")
+        return pdf.assign(word=pd.Series(out, pdf.index, dtype=object))
 
-    return words.join(texts, "video_id").groupBy("video_id").applyInPandas(fold, words.schema)
+    return words.groupBy("video_id").cogroup(texts.select("video_id", "text").groupBy("video_id")).applyInPandas(fold, words.schema)

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as X
+from cueloom.operators import answers as A
 from cueloom.operators import cues as C
 from cueloom.operators import memory as M
+from cueloom.operators import quality as Q
 
 ATTEMPTS = 3
 TERMS = 30
@@ -29,30 +31,63 @@ def with_retries(call: Callable, transient: Callable[[Exception], bool], attempt
     return None
 
 
-def run_model(prompts: DataFrame, client: Callable[[], Callable[[str], str]], transient: Callable[[Exception], bool] = lambda e: isinstance(e, OSError)) -> DataFrame:
-    """``prompts`` (with column prompt) with raw and failed; one client per task, rows spread over all tasks."""
+def run_model(prompts: DataFrame, client: Callable[[], Callable[[str], str]], transient: Callable[[Exception], bool] = lambda e: isinstance(e, OSError), tasks: int | None = None) -> DataFrame:
+    """``prompts`` (with column prompt) with raw, and error where the call failed in the end: then raw is null.
+
+    One client per task; prompts are dealt out over ``tasks`` tasks (the shuffle partitions, unless given),
+    as each row waits for a service.
+    """
     from pyspark.sql import types as T
 
-    schema = T.StructType([*prompts.schema, T.StructField("raw", T.StringType()), T.StructField("failed", T.BooleanType())])
+    schema = T.StructType([*prompts.schema, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = client()
         for part in parts:
-            raw = []
+            raw, errors = [], []
             for p in part["prompt"]:
                 try:
-                    raw.append(with_retries(lambda p=p: ask(p), transient))
-                except Exception:
-                    raw.append(None)  # the row says so; the others go on
-            yield part.assign(raw=raw, failed=[x is None for x in raw])
+                    answer, error = with_retries(lambda p=p: ask(p), transient), None
+                except Exception as e:  # the row says so; the others go on
+                    answer, error = None, f"{type(e).__name__}: {e}"
+                raw.append(answer), errors.append(error)
+            yield part.assign(raw=raw, error=errors)
+
+    tasks = tasks or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prompts.repartition(tasks).mapInPandas(run, schema)
+
+
+def score_prompts(pairs: DataFrame, size: int = C.SCORE_BATCH) -> DataFrame:
+    """(video_id, batch_id, prompt): pairs (video_id, idx, text, target) of a batch as a JSON list of i, src, tgt."""
+    record = F.struct(F.col("idx").alias("i"), F.col("text").alias("src"), F.col("target").alias("tgt"))
+    listed = F.to_json(F.array_sort(F.collect_list(record)))
+    return pairs.withColumn("batch_id", C.batch_of(F.col("idx"), size)).groupBy("video_id", "batch_id").agg(listed.alias("prompt"))
+
+
+def scored_pairs(pairs: DataFrame, answers: DataFrame, size: int = C.SCORE_BATCH) -> DataFrame:
+    """(video_id, idx, score, failed) of pairs, given the raw answers (video_id, batch_id, raw) to their prompts.
 
-    return prompts.mapInPandas(run, schema)
+    A batch whose answer can't be read, or that has none, fails as a whole; a pair that a readable
+    answer leaves out has a null score and has not failed. Scores for cues outside the batch are ignored.
+    """
+    read = A.score_answers(answers).select("video_id", "batch_id", "scores")
+    each = read.select("video_id", "batch_id", F.inline("scores")).select("video_id", "batch_id", (F.col("idx") + 1).alias("idx"), "score")
+    first = each.groupBy("video_id", "batch_id", "idx").agg(F.first("score").alias("score"))
+    placed = pairs.select("video_id", "idx").withColumn("batch_id", C.batch_of(F.col("idx"), size))
+    spread = Q.spread_failures(placed, read.select("video_id", "batch_id", F.col("scores").isNotNull().alias("ok")))
+    return spread.join(first, ["video_id", "batch_id", "idx"], "left").select("video_id", "idx", "score", "failed")
+
+
+def in_index_order(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scores (video_id, idx, score), and failures (video_id, idx), each by video and index."""
+    known = scored.filter("score is not null").select("video_id", "idx", "score").orderBy("video_id", "idx")
+    return known, scored.filter("failed").select("video_id", "idx").orderBy("video_id", "idx")
 
 
 def prompt_records(cues: DataFrame, size: int = C.BATCH) -> DataFrame:
     """(video_id, batch_id, prompt): cues of a batch as a JSON list of i, duration, max_chars, text."""
     record = F.struct(F.col("idx").alias("i"), F.format_string("%.1fs", F.col("dur_ms") / 1000).alias("duration"), X.max_chars(F.col("dur_ms"), F.lit("")).alias("max_chars"), "text")
-    return cues.withColumn("batch_id", C.batch_of(F.col("idx"), size)).groupBy("video_id", "batch_id").agg(F.concat(F.to_json(F.array_sort(F.collect_list(record))), F.lit("\n\nReturn ONLY a JSON array of "), F.count("*").cast("string"), F.lit(" strings.")).alias("prompt"))
+    return cues.withColumn("batch_id", C.batch_of(F.col("idx"), size)).groupBy("video_id", "batch_id").agg(F.concat(F.to_json(F.array_sort(F.collect_list(record))), F.lit("\n\nAnswer with a JSON array that holds "), F.count("*").cast("string"), F.lit(" strings and nothing else.")).alias("prompt"))
 
 
 def translate_offline(cues: DataFrame, memory: DataFrame) -> DataFrame:
@@ -63,19 +98,26 @@ def translate_offline(cues: DataFrame, memory: DataFrame) -> DataFrame:
 
 def refine_offline(drafts: DataFrame, matches: DataFrame) -> DataFrame:
     """Low-scored drafts (video_id, idx, target, score) replaced by the best match (video_id, idx, improved), where there is one that is not empty."""
-    from cueloom.operators.quality import low
-
     found = drafts.join(matches, ["video_id", "idx"], "left")
-    better = F.when(low(F.col("score")), F.nullif("improved", F.lit("")))
+    better = F.when(Q.low(F.col("score")), F.nullif("improved", F.lit("")))
     return found.withColumn("target", F.coalesce(better, "target")).drop("improved")
 
 
 def suggest_merges(cues: DataFrame) -> DataFrame:
-    """(video_id, a, b): neighbours in a chunk of which the first ends badly; found once in overlapping chunks."""
-    placed = C.overlapping_chunks(cues).join(cues.select("video_id", "idx", "text"), ["video_id", "idx"])
-    after = F.lead("idx").over(C.Window.partitionBy("video_id", "chunk").orderBy("idx"))
-    pairs = placed.withColumn("b", after).filter(C.ends_badly(F.col("text")) & (F.col("b") == F.col("idx") + 1))
-    return pairs.select("video_id", F.col("idx").alias("a"), "b").distinct()
+    """(video_id, a, b): neighbours in a chunk of which the first ends badly.
+
+    Chunks overlap in one cue and a video's rows follow each other, so each two neighbours share a
+    chunk: one window finds all pairs.
+    """
+    after = F.lead("idx").over(C.in_order())
+    pairs = cues.select("video_id", "idx", "text").withColumn("b", after).filter(C.ends_badly(F.col("text")) & (F.col("b") == F.col("idx") + 1))
+    return pairs.select("video_id", F.col("idx").alias("a"), "b")
+
+
+def merge_suggested(cues: DataFrame) -> DataFrame:
+    """Cues merged by the pairs of ``suggest_merges``, marked in place: one shuffle by video."""
+    before = F.lag(F.struct("idx", C.ends_badly(F.col("text")).alias("badly"))).over(C.in_order())
+    return C.merge_marked(cues.withColumn("joins", (before["idx"] == F.col("idx") - 1) & before["badly"]))
 
 
 def extract_terms(cues: DataFrame, most: int = TERMS) -> DataFrame:

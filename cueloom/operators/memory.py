@@ -11,8 +11,6 @@ MEMORY_CAP, GLOSSARY_CAP = 5000, 2000
 LEAST_WORDS = 3
 PER_TEXT, PER_BATCH = 2, 5
 LEAST_SHARE = 0.3
-#: Rows of a memory that is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 5000
 
 
 def admit(rows: DataFrame, scoring: bool = True, unscored: float = 80.0) -> DataFrame:
@@ -59,7 +57,7 @@ def add_terms(existing: DataFrame, found: DataFrame) -> DataFrame:
     return existing.unionByName(first.join(existing, "term", "left_anti").select(existing.columns))
 
 
-def retrieve(memory: DataFrame, texts: DataFrame, per_text: int = PER_TEXT, per_batch: int = PER_BATCH, broadcast_memory: bool = False) -> DataFrame:
+def retrieve(memory: DataFrame, texts: DataFrame, per_text: int = PER_TEXT, per_batch: int = PER_BATCH) -> DataFrame:
     """Similar memory rows for each batch: batch, place, source, target.
 
     memory: seq, source, target. texts: batch, pos, text. Similarity is the share of a text's
@@ -67,22 +65,29 @@ def retrieve(memory: DataFrame, texts: DataFrame, per_text: int = PER_TEXT, per_
     have three words. Of each text the best ``per_text``, then per batch the first of each source,
     ``per_batch`` at most. Exact with a prefix filter: a text's most frequent words whose weight
     together is no more than LEAST_SHARE can't alone reach it, so only its rarer words look up
-    candidates; these are then measured with all words. Ties go by seq.
+    candidates; these are then measured with all words: the distinct ones as sets, repeats one by
+    one. Ties go by seq. Equal texts are measured once.
     """
     held = F.array_distinct(X.tokens(F.col("source")))
     index = memory.select("seq", F.explode(held).alias("token"))
     frequency = index.groupBy("token").agg(F.count("*").alias("df"))
-    asked = texts.select("batch", "pos", X.tokens(F.col("text")).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= LEAST_WORDS)
-    weights = asked.select("batch", "pos", "n", F.explode("words").alias("token")).groupBy("batch", "pos", "n", "token").agg(F.count("*").alias("w"))
-    known = weights.join(F.broadcast(frequency) if broadcast_memory else frequency, "token")
-    rare_last = Window.partitionBy("batch", "pos").orderBy(F.col("df").desc(), "token")
-    needed = known.withColumn("heavier", F.sum("w").over(rare_last)).filter(F.col("heavier") > LEAST_SHARE * F.col("n"))
-    candidates = needed.join(F.broadcast(index) if broadcast_memory else index, "token").select("batch", "pos", "seq").distinct()
-    sides = candidates.join(asked, ["batch", "pos"]).join(memory.select("seq", "source", "target", held.alias("held")), "seq")
-    share = F.size(F.filter("words", lambda x: F.array_contains("held", x))) / F.col("n")
-    scored = sides.withColumn("share", share).filter(F.col("share") > LEAST_SHARE)
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("batch", "pos").orderBy(F.col("share").desc(), "seq"))).filter(F.col("rank") <= per_text)
-    first = best.withColumn("again", F.row_number().over(Window.partitionBy("batch", "source").orderBy("pos", "rank"))).filter("again = 1")
+    words = X.tokens(F.col("text"))
+    asked = texts.filter(F.size(words) >= LEAST_WORDS).select("batch", "pos", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
+    distinct = asked.groupBy("digest").agg(F.any_value("text").alias("text")).select("digest", words.alias("words"))
+    weights = distinct.select("digest", F.size("words").alias("n"), F.explode("words").alias("token")).groupBy("digest", "n", "token").agg(F.count("*").alias("w"))
+    rare_last = Window.partitionBy("digest").orderBy(F.col("df").desc(), "token")
+    known = weights.join(frequency, "token").withColumn("heavier", F.sum("w").over(rare_last))
+    looked_up = known.filter(F.col("heavier") > LEAST_SHARE * F.col("n"))
+    candidates = looked_up.join(index, "token").select("digest", "seq").distinct()
+    several = F.collect_list(F.when(F.col("w") > 1, F.struct("token", "w")))
+    by_text = known.groupBy("digest", "n").agg(F.collect_list("token").alias("words"), several.alias("repeated"))
+    sides = candidates.join(by_text, "digest").join(memory.select("seq", held.alias("held")), "seq")
+    again = F.aggregate("repeated", F.lit(0).cast("long"), lambda sum_, x: sum_ + F.when(F.array_contains("held", x["token"]), x["w"] - 1).otherwise(0))
+    share = (F.size(F.array_intersect("words", "held")) + again) / F.col("n")
+    similar = sides.select("digest", "seq", share.alias("share")).filter(F.col("share") > LEAST_SHARE)
+    best = similar.withColumn("rank", F.row_number().over(Window.partitionBy("digest").orderBy(F.col("share").desc(), "seq"))).filter(F.col("rank") <= per_text)
+    found = asked.select("batch", "pos", "digest").join(best, "digest").join(memory.select("seq", "source", "target"), "seq")
+    first = found.withColumn("again", F.row_number().over(Window.partitionBy("batch", "source").orderBy("pos", "rank"))).filter("again = 1")
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("pos", "rank")))
     return placed.filter(F.col("place") <= per_batch).select("batch", "place", "source", "target")
 
@@ -116,6 +121,6 @@ def glossary_line(term: Column, action: Column, target: Column) -> Column:
 
 
 def glossary_lines(rows: DataFrame, order: str = "first_seq") -> DataFrame:
-    """One row ``lines``: a glossary, of GLOSSARY_CAP terms at most, as part of a prompt."""
+    """One row ``lines``: the newest GLOSSARY_CAP terms of a glossary as part of a prompt."""
     line = F.struct(order, glossary_line(F.col("term"), F.col("action"), F.col("target")).alias("line"))
-    return rows.agg(F.concat_ws("\n", F.lit(GLOSSARY_HEAD), F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])).alias("lines"))
+    return newest(rows, GLOSSARY_CAP, order).agg(F.concat_ws("\n", F.lit(GLOSSARY_HEAD), F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])).alias("lines"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,69 +50,121 @@ def spread_failures(cues: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def metric_tokens(s: Column, language: Column | None = None) -> Column:
-    """Words; for zh, ja and ko single characters."""
+    """Words; for zh, ja and ko single characters. None for null."""
+    s = F.coalesce(s, F.lit(""))
     if language is None:
         return X.tokens(s)
     return F.when(language.isin("zh", "ja", "ko"), F.filter(F.split(s, ""), lambda c: c.rlike(r"(?U)\S"))).otherwise(X.tokens(s))
 
 
 def word_distance(a: list, b: list) -> int:
-    """Levenshtein distance of two word lists, a row at a time."""
-    import numpy as np
-
-    names: dict = {}
-    x, y = (np.array([names.setdefault(w, len(names)) for w in side], np.int64) for side in (a, b))
-    steps = np.arange(len(y) + 1)
-    row = steps
-    for i, w in enumerate(x, 1):
-        change = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != w))])
-        row = np.minimum.accumulate(change - steps) + steps
-    return int(row[-1])
+    """Levenshtein distance of two word lists.
 
+    Equal words at both ends are left out. Of the rest a whole column of the table is one integer of
+    bits, one for a step up and one for a step down in each row (Myers 1999, Hyyrö 2003), so Python
+    does a few operations per word of ``b``, whatever the length of ``a``.
+    """
+    least = min(len(a), len(b))
+    head = next((k for k in range(least) if a[k] != b[k]), least)
+    tail = next((k for k in range(least - head) if a[-1 - k] != b[-1 - k]), least - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict = {}
+    for k, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    top, up, down, distance = 1 << len(a) - 1, full, 0, len(a)
+    for w in b:
+        same = where.get(w, 0)
+        level = ((same & up) + up ^ up) | same | down
+        rise, fall = down | full & ~(level | up), up & level
+        distance += bool(rise & top) - bool(fall & top)
+        rise, fall = rise << 1 & full | 1, fall << 1 & full
+        up, down = fall | full & ~(same | down | rise), rise & (same | down)
+    return distance
+
+
+def _edits(distance: Callable[[list, list], int]) -> Callable[[Column, Column], Column]:
+    """A distance of word lists as a function of two columns of words, which go to Python as one text."""
+    @F.pandas_udf(T.IntegerType())
+    def measured(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in parts:
+            yield pd.Series([0 if a == b else distance(a.split(" ") if a else [], b.split(" ") if b else []) for a, b in zip(left, right, strict=True)], dtype="int32")
 
-@F.pandas_udf(T.IntegerType())
-def _word_edits(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in parts:
-        yield pd.Series([word_distance(list(a), list(b)) for a, b in zip(left, right, strict=True)], dtype="int32")
+    return lambda a, b: measured(F.array_join(a, " "), F.array_join(b, " "))
 
 
 def wer(pairs: DataFrame, by: str = "video_id") -> DataFrame:
-    """Word error rate per ``by``: edits over reference words. pairs: hypothesis, reference."""
+    """Word error rate per ``by``: edits over reference words. pairs: hypothesis, reference; null counts as empty."""
     h, r = metric_tokens(F.col("hypothesis")), metric_tokens(F.col("reference"))
-    measured = pairs.select(by, _word_edits(h, r).alias("edits"), F.size(r).alias("n"))
+    measured = pairs.select(by, _edits(word_distance)(h, r).alias("edits"), F.size(r).alias("n"))
     return measured.groupBy(by).agg(F.sum("edits").alias("edits"), F.sum("n").alias("ref_words")).withColumn("wer", F.round(F.col("edits") / F.greatest("ref_words", F.lit(1)), 6))
 
 
-def _ngram_counts(orders: int, by_word: bool):
-    """For each pair 3 numbers per order: matched n-grams, clipped by the reference, those of the hypothesis, those of the reference.
+ROOM = 1 << 62
 
-    Counted pair by pair, so no n-gram is shuffled.
-    """
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def count(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in parts:
-            out = []
-            for h, r in zip(left, right, strict=True):
-                h, r = ((tuple(x.split(" ")) if x else ()) if by_word else x for x in (h or "", r or ""))
-                row = []
-                for n in range(1, orders + 1):
-                    a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (h, r))
-                    row += [sum((a & b).values()), sum(a.values()), sum(b.values())]
-                out.append(row)
-            yield pd.Series(out)
 
-    return count
+def _symbols(texts: pa.Array, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts in a row, as numbers from 0, and the place of each one's text: words between spaces, or characters."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not by_word:
+        codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+        return np.unique(codes, return_inverse=True)[1], np.repeat(np.arange(len(texts)), pc.utf8_length(texts).to_numpy())
+    words = pc.split_pattern(texts, " ")
+    flat = words.flatten()
+    some = pc.not_equal(flat, "")
+    place = pc.list_parent_indices(words).filter(some).to_numpy()
+    return flat.filter(some).dictionary_encode().indices.to_numpy().astype(np.int64), place
 
 
-def _sums(pairs: DataFrame, counts: Column, orders: int) -> DataFrame:
-    """One row with m1, h1, r1, m2, ...: the sums over all pairs."""
-    return pairs.select(counts.alias("c")).agg(*[F.coalesce(F.sum(F.col("c")[3 * (n - 1) + k]), F.lit(0)).alias(f"{x}{n}") for n in range(1, orders + 1) for k, x in enumerate("mhr")])
+def gram_totals(hypotheses: pa.Array, references: pa.Array, orders: int, by_word: bool) -> list[int]:
+    """For each order: matched n-grams, clipped by the reference of the same pair, those of the hypotheses, those of the references.
+
+    An n-gram is a number, its symbols' digits; where digits and pair outgrow 62 bits, n-grams are numbered anew.
+    """
+    pairs = len(hypotheses)
+    symbols, text = _symbols(pa.concat_arrays([hypotheses, references]), by_word)
+    base = int(symbols.max(initial=0)) + 1
+    at, gram, bound, out = np.arange(len(symbols)), symbols, base, []
+    for n in range(1, orders + 1):
+        if n > 1:
+            able = at + n - 1 < len(symbols)
+            able[able] = text[at[able]] == text[at[able] + n - 1]
+            at, gram = at[able], gram[able]
+            if bound * base * pairs >= ROOM:
+                names, gram = np.unique(gram, return_inverse=True)
+                bound = len(names)
+            gram, bound = gram * base + symbols[at + n - 1], bound * base
+        own = text[at]
+        if bound * pairs >= ROOM:
+            names, gram = np.unique(gram, return_inverse=True)
+            bound = len(names)
+        keys = own % pairs * bound + gram
+        (h, h_n), (r, r_n) = (np.unique(keys[own // pairs == side], return_counts=True) for side in (0, 1))
+        _, i, j = np.intersect1d(h, r, assume_unique=True, return_indices=True)
+        out += [int(np.minimum(h_n[i], r_n[j]).sum()), int(h_n.sum()), int(r_n.sum())]
+    return out
+
+
+def _sums(pairs: DataFrame, hypothesis: Column, reference: Column, orders: int, by_word: bool) -> DataFrame:
+    """One row with m1, h1, r1, m2, ...: sums over all pairs. A batch of pairs is counted at once, so no n-gram is shuffled."""
+    names = [f"{x}{n}" for n in range(1, orders + 1) for x in "mhr"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                totals = gram_totals(batch.column(0), batch.column(1), orders, by_word)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in totals], names)
+
+    counted = pairs.select(hypothesis, reference).mapInArrow(count, ", ".join(f"{n} long" for n in names))
+    return counted.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 
 def bleu(pairs: DataFrame) -> DataFrame:
     """Corpus BLEU: one row with bleu and the precisions of orders 1 to 4."""
     words = lambda c: F.array_join(metric_tokens(F.col(c)), " ")
-    sums = _sums(pairs, _ngram_counts(4, True)(words("hypothesis"), words("reference")), 4)
+    sums = _sums(pairs, words("hypothesis"), words("reference"), 4, True)
     p = [F.col(f"m{n}") / F.greatest(F.col(f"h{n}"), F.lit(1)) for n in range(1, 5)]
     logs = sum((F.log(F.greatest(x, F.lit(1e-9))) for x in p[1:]), F.log(F.greatest(p[0], F.lit(1e-9))))
     short = F.least(F.lit(0.0), 1 - F.col("r1") / F.greatest(F.col("h1"), F.lit(1)))
@@ -119,7 +174,7 @@ def bleu(pairs: DataFrame) -> DataFrame:
 def chrf(pairs: DataFrame, beta: float = 2.0) -> DataFrame:
     """Corpus chrF: character n-grams 1 to 6 without white space, F-score with beta 2, averaged over orders."""
     bare = lambda c: F.regexp_replace(F.col(c), r"(?U)\s+", "")
-    sums = _sums(pairs, _ngram_counts(6, False)(bare("hypothesis"), bare("reference")), 6)
+    sums = _sums(pairs, bare("hypothesis"), bare("reference"), 6, False)
 
     def score(n: int) -> Column:
         p, r = F.col(f"m{n}") / F.greatest(F.col(f"h{n}"), F.lit(1)), F.col(f"m{n}") / F.greatest(F.col(f"r{n}"), F.lit(1))
@@ -134,8 +189,6 @@ CELLS = 200_000
 
 def _blocks(a: list, b: list, longest: int, farthest: int):
     """Blocks of ``a`` that stand in ``b``, longest, then nearest first: arrays of start, place and length."""
-    import numpy as np
-
     places: dict = {}
     for j, w in enumerate(b):
         places.setdefault(w, []).append(j)
@@ -155,8 +208,6 @@ def _blocks(a: list, b: list, longest: int, farthest: int):
 
 def _step(row, differs):
     """The next row of an edit distance in a band around the diagonal; rows of several strings may be stacked."""
-    import numpy as np
-
     places = np.arange(row.shape[-1], dtype=np.int32)
     row, gone = row + differs, row[..., 1:] + 1
     np.minimum(row[..., :-1], gone, out=row[..., :-1])
@@ -172,8 +223,6 @@ def best_shift(a: list, b: list, now: int, floor: int, longest: int, farthest: i
     Distances that matter stay in a band of ``now`` - 2 places around the diagonal, and a shift changes
     only the rows between its ends, so these alone are computed again.
     """
-    import numpy as np
-
     names: dict = {}
     x, y = (np.array([names.setdefault(w, len(names)) for w in side], np.int32) for side in (a, b))
     i, j, n = _blocks(a, b, longest, farthest)
@@ -240,13 +289,10 @@ def ter(pairs: DataFrame, by: str = "video_id", longest: int = 10, farthest: int
 
     Shifts are searched greedily, as in the published algorithm: as long as moving a block of the
     hypothesis (``longest`` words, ``farthest`` places at most) to where it stands in the
-    reference lowers the distance by more than the shift costs. Each round tries every block.
+    reference lowers the distance by more than the shift costs. Each round tries every block. Null
+    counts as empty.
     """
-    @F.pandas_udf(T.IntegerType())
-    def moves(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in parts:
-            yield pd.Series([shifted_distance(list(a), list(b), longest, farthest) for a, b in zip(left, right, strict=True)], dtype="int32")
-
+    moves = _edits(lambda a, b: shifted_distance(a, b, longest, farthest))
     h, r = metric_tokens(F.col("hypothesis")), metric_tokens(F.col("reference"))
     measured = pairs.select(by, moves(h, r).alias("edits"), F.size(r).alias("n"))
     return measured.groupBy(by).agg(F.sum("edits").alias("edits"), F.sum("n").alias("ref_words")).withColumn("ter", F.round(F.col("edits") / F.greatest("ref_words", F.lit(1)), 6))

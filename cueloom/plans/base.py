@@ -30,8 +30,9 @@ SCORED = """
 scored AS (SELECT c.*, CAST(CASE l.quality WHEN 1 THEN 90 WHEN 0 THEN 40 ELSE -1 END AS DOUBLE) AS score FROM cues c LEFT JOIN labels l ON l.doc_id = c.video_id)"""
 
 
-def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.cues_of_texts(table(spark, sf_dir, "documents"))
+def cues(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Cues of all documents, with these columns of theirs."""
+    return C.cues_of_texts(table(spark, sf_dir, "documents"), keep=keep)
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +44,5 @@ def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("video_id"), F.when(F.col("quality") == 1, 90.0).otherwise(40.0).alias("score"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cues(spark, sf_dir).join(label_scores(spark, sf_dir), "video_id", "left").withColumn("score", F.coalesce("score", F.lit(-1.0)))
+def scored(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return cues(spark, sf_dir, *keep).join(label_scores(spark, sf_dir), "video_id", "left").withColumn("score", F.coalesce("score", F.lit(-1.0)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import text as X
 from cueloom.operators import cues as C
 from cueloom.operators import inference
+from cueloom.operators.memory import CONTEXT_HEAD, context_lines
 from cueloom.plans.base import CUES, TOKENS, WORDS, cues, words
 from cueloom.sources import sinks
 from cueloom.sources import subtitles as S
@@ -34,8 +35,7 @@ def query(sql: str | None = None):
   FROM cues c JOIN documents d ON d.doc_id = c.video_id)
 SELECT lang, count(*) AS n_cues, count(*) FILTER (n > most) AS n_over, round(avg(n), 6) AS mean_chars FROM b GROUP BY lang""")
 def reading_speed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), "lang")
-    rows = cues(spark, sf_dir).join(langs, "video_id")
+    rows = cues(spark, sf_dir, "lang")
     over = F.length("text") > X.max_chars(C.duration_ms(F.col("start_ms"), F.col("end_ms")), F.col("lang"))
     return rows.groupBy("lang").agg(F.count("*").alias("n_cues"), F.count_if(over).alias("n_over"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
 
@@ -76,8 +76,13 @@ n AS (SELECT *, count(*) OVER (PARTITION BY video_id, g) AS n, row_number() OVER
 SELECT video_id, CAST(g AS INTEGER) AS idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms,
   string_agg(CASE WHEN n = 1 THEN text WHEN k = 1 THEN regexp_replace(text, '\s+$', '') WHEN k = n THEN regexp_replace(text, '^\s+', '') ELSE trim(text) END, ' ' ORDER BY idx) AS text FROM n GROUP BY video_id, g""")
 def merged_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cues(spark, sf_dir)
-    return C.merge_cues(rows, inference.suggest_merges(rows))
+    return inference.merge_suggested(cues(spark, sf_dir))
+
+
+@query(f"""WITH {CUES}, n AS (SELECT *, lead(idx) OVER (PARTITION BY video_id ORDER BY idx) AS b FROM cues)
+SELECT video_id, CAST(idx AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM n WHERE {BADLY} AND b IS NOT NULL""")
+def suggested_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.suggest_merges(cues(spark, sf_dir))
 
 
 @query(f"""WITH {CUES}, p AS (SELECT video_id, '[[' || idx || ',' || (idx + 1) || '],[' || idx || ',' || (idx + 2) || '],[' || idx || ']]' AS raw, idx FROM cues) SELECT video_id, CAST(idx AS INTEGER) AS a, CAST(idx + 1 AS INTEGER) AS b FROM p""")
@@ -87,6 +92,15 @@ def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues(spark, sf_dir).select("video_id", F.explode(C.neighbour_pairs(raw)).alias("p")).select("video_id", F.col("p")[0].alias("a"), F.col("p")[1].alias("b")).distinct()
 
 
+@query(f"""WITH {CUES} SELECT video_id, CAST(idx AS INTEGER) AS a, CAST(idx + 1 AS INTEGER) AS b FROM cues WHERE idx % 4 <> 3""")
+def prose_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs from answers that hold them plainly, between other words, or after a broken list."""
+    i = F.col("idx")
+    plain = F.format_string("[[%d,%d], [%d,%d,%d], [%d,%d]]", i, i + 1, i, i + 1, i + 2, i + 1, i)
+    raw = F.when(i % 4 == 0, F.concat(F.lit(" "), plain, F.lit("\n"))).when(i % 4 == 1, F.concat(F.lit("These belong together: "), plain, F.lit(" as asked"))).when(i % 4 == 2, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).otherwise(F.concat(F.lit("[1] or "), plain))
+    return cues(spark, sf_dir).select("video_id", F.explode(C.neighbour_pairs(raw)).alias("p")).select("video_id", F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
+
+
 @query(f"""WITH {CUES}, n AS (SELECT video_id, idx, row_number() OVER (PARTITION BY video_id ORDER BY idx) - 1 AS r, count(*) OVER (PARTITION BY video_id) AS n FROM cues),
 k AS (SELECT DISTINCT video_id, n, unnest(range(0, greatest(1, CAST(ceil((n - 1) / 19) AS BIGINT)))) AS chunk FROM n)
 SELECT n.video_id, CAST(chunk AS INTEGER) AS chunk, idx FROM n JOIN k ON k.video_id = n.video_id AND r >= 19 * chunk AND r < 19 * chunk + 20""")
@@ -111,6 +125,14 @@ def wave_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("video_id", "batch", "wave", F.array_join(F.transform("context", lambda x: x["idx"].cast("string")), ",").alias("context"))
 
 
+@query(f"""WITH {CUES}, b AS (SELECT *, (idx - 1) // 7 AS batch FROM cues), w AS (SELECT DISTINCT video_id, batch FROM b),
+p AS (SELECT w.*, b.idx, b.text, row_number() OVER (PARTITION BY w.video_id, w.batch ORDER BY b.idx DESC) AS k FROM w LEFT JOIN b ON b.video_id = w.video_id AND b.batch < w.batch AND b.idx % 4 <> 0)
+SELECT video_id, CAST(batch AS INTEGER) AS batch, coalesce('{CONTEXT_HEAD}' || chr(10) || string_agg('- "' || text || '" → "» ' || text || '"', chr(10) ORDER BY idx) FILTER (k <= 5 AND idx IS NOT NULL), '') AS lines FROM p GROUP BY ALL""")
+def context_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = cues(spark, sf_dir).withColumn("target", F.when(F.col("idx") % 4 == 0, "").otherwise(F.concat(F.lit("» "), "text")))
+    return C.wave_contexts(done).select("video_id", "batch", context_lines(F.col("context")).alias("lines"))
+
+
 @query(f"""WITH {CUES}, {WORDS} SELECT video_id, pos, CAST(coalesce(sum(length(tok) + 1) OVER (PARTITION BY video_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM words""")
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.word_offsets(words(spark, sf_dir)).select("video_id", "pos", "off")
@@ -123,7 +145,13 @@ def word_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.word_ranges(segments, C.words_of_cues(rows))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {CUES}, f AS (
+  SELECT video_id, idx AS k, idx, start_ms, end_ms, text FROM cues WHERE idx = 1 UNION ALL
+  SELECT f.video_id, c.idx, CASE WHEN m THEN f.idx ELSE c.idx END, CASE WHEN m THEN f.start_ms ELSE c.start_ms END, c.end_ms,
+    CASE WHEN m THEN regexp_replace(f.text, '\s+$', '') || ' ' || regexp_replace(c.text, '^\s+', '') ELSE c.text END
+  FROM (SELECT *, {BADLY} AS badly FROM f) f JOIN cues c ON c.video_id = f.video_id AND c.idx = f.k + 1,
+    LATERAL (SELECT badly AND length(f.text) + 1 + length(c.text) <= 126 AS m))
+SELECT video_id, CAST(idx AS INTEGER) AS idx, start_ms, max(end_ms) AS end_ms, arg_max(text, k) AS text FROM f GROUP BY video_id, idx, start_ms""")
 def boundary_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.repair_boundaries(cues(spark, sf_dir), 84)
 
@@ -185,6 +213,14 @@ def utterance_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.utterance_cues(payloads)
 
 
+@query(f"""WITH {CUES} SELECT DISTINCT video_id FROM cues WHERE video_id % 3 = 0""")
+def results_without_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results whose utterances are all blank."""
+    said = F.when(F.col("video_id") % 3 != 0, F.col("text")).otherwise("  ")
+    payloads = _payload(cues(spark, sf_dir), "utterances", said.alias("transcript"), F.col("start_ms").alias("start_time"))
+    return S.without_cues(payloads, S.utterance_cues(payloads)).select("video_id")
+
+
 @query(f"""WITH {CUES} SELECT video_id, CAST(idx AS INTEGER) AS idx, CASE WHEN idx % 4 = 0 THEN 0 ELSE start_ms // 1000 * 1000 END AS start_ms, end_ms // 1000 * 1000 AS end_ms, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM cues""".replace("\\\\", "\\"))
 def verbose_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = lambda c: F.floor(F.col(c) / 1000).cast("double")
@@ -217,7 +253,8 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues(spark, sf_dir).agg(F.count("*").alias("n_cues"), F.sum(F.size(X.tokens(F.col("text")))).alias("n_words"), F.sum(F.length("text")).alias("n_chars"), F.countDistinct("text").alias("n_distinct"))
 
 
-@query()
+@query(f"""WITH {CUES} SELECT video_id, CAST((idx - 1) // 7 AS INTEGER) AS batch_id, '[' || string_agg('{{"i":' || idx || ',"duration":"' || printf('%.1fs', dur / 1000) || '","max_chars":' || CAST(greatest(4, floor(dur / 1000 * 17)) AS INTEGER)
+  || ',"text":' || to_json(text) || '}}', ',' ORDER BY idx) || ']' || chr(10) || chr(10) || 'Answer with a JSON array that holds ' || count(*) || ' strings and nothing else.' AS prompt FROM cues GROUP BY video_id, (idx - 1) // 7""")
 def prompt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.prompt_records(cues(spark, sf_dir).withColumn("dur_ms", C.duration_ms(F.col("start_ms"), F.col("end_ms"))))
 

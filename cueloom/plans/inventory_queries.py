@@ -137,9 +137,9 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.after_marker(F.col("html"), "<title>").alias("title"), F.md5(X.unescape_html(F.col("html")).cast("binary")).alias("plain"))
 
 
-@query("SELECT page_id, url_encode(url || ' ~*' || substr(html, 1, 80)) AS encoded FROM pages")
+@query("SELECT page_id, url_encode(url || ' ~*' || html) AS encoded FROM pages")
 def encoded_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", X.url_encode(F.concat("url", F.lit(" ~*"), F.substring("html", 1, 80))).alias("encoded"))
+    return table(spark, sf_dir, "pages").select("page_id", X.url_encode(F.concat("url", F.lit(" ~*"), "html")).alias("encoded"))
 
 
 @query("SELECT page_id, md5(e) AS digest, length(e) AS n_chars FROM (SELECT page_id, url_encode(url || ' ~*' || html) AS e FROM pages)")
@@ -177,8 +177,12 @@ def merged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.all_reports(marked.filter("skipped").select("input"), done)
 
 
-@query("""SELECT '' AS input, count(*) AS total, count(*) FILTER (event_id % 4 = 3) AS failed FROM events UNION ALL SELECT CASE WHEN event_id % 10 = 0 THEN '<external-path>' ELSE event_id || '.mp4' END, NULL, NULL FROM events""")
+@query("""SELECT '' AS line, CAST(NULL AS VARCHAR) AS input, count(*) AS total, count(*) FILTER (event_id % 4 = 0) AS planned, count(*) FILTER (event_id % 4 = 3) AS failed, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR[]) AS outputs, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS DOUBLE) AS elapsed_secs FROM events
+UNION ALL SELECT i, i, NULL, NULL, NULL, ['planned', 'success', 'skipped', 'failed'][event_id % 4 + 1], ['<external-path>', 'a.srt', 'b.srt'], CASE WHEN event_id % 4 = 3 THEN event_type END, value
+FROM (SELECT *, CASE WHEN event_id % 10 = 0 THEN '<external-path>' ELSE event_id || '.mp4' END AS i FROM events)""")
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a report, their JSON read back."""
     log = run_log(spark, sf_dir)
     report = sinks.run_report(I.report_items(log, "work"), I.run_summary(log))
-    return report.select("line", F.from_json("report", "total bigint, failed bigint").alias("r")).select(F.col("line").alias("input"), "r.total", "r.failed")
+    fields = "input string, total bigint, planned bigint, failed bigint, status string, outputs array<string>, error string, elapsed_secs double"
+    return report.select("line", F.from_json("report", fields).alias("r")).select("line", "r.*")

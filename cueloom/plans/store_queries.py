@@ -55,8 +55,7 @@ def score_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CUES}, {SCORED} SELECT d.lang, round(avg(score) FILTER (score >= 0), 6) AS mean_score, count(*) FILTER (score >= 0 AND score < 70) AS n_low, count(*) FILTER (score < 0) AS n_unknown, count(*) AS n_rows
 FROM scored s JOIN documents d ON d.doc_id = s.video_id GROUP BY ROLLUP (d.lang)""")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), "lang")
-    return Q.summary(scored(spark, sf_dir).join(langs, "video_id"), "lang")
+    return Q.summary(scored(spark, sf_dir, "lang"), "lang")
 
 
 def memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,14 +85,28 @@ def memory_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.memory_of(sinks.json_lines(rows, "seq"))
 
 
+@query(f"""WITH {CUES}, {SCORED}, {MEMORY} SELECT row_number() OVER (ORDER BY first_seq) AS seq, source, target, score FROM u""")
+def memory_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory written as lines over an older version of the file, and read back."""
+    rows = materialize(M.upsert_memory(memory_rows(spark, sf_dir), cap=None).withColumnRenamed("first_seq", "seq"), "memory")
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    sinks.replace_lines(rows.filter("score > 40"), "seq", path)
+    sinks.replace_lines(rows, "seq", path)
+    return S.memory_of(S.numbered_lines(spark, path))
+
+
 def glossary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.lower(F.regexp_replace(F.get(X.tokens(F.col("text")), F.lit(0)), r"[^\p{L}]", ""))
+    """The words of all cues as glossary rows: their letters in lower case."""
     action = F.element_at(F.array(F.lit("keep"), F.lit("translate"), F.lit("flexible")), (F.col("idx") % 3 + 1).cast("int"))
-    rows = cues(spark, sf_dir).select((F.col("video_id") * 100_000 + F.col("idx")).alias("seq"), first.alias("term"), action.alias("action"), F.concat(F.lit("t"), F.col("video_id")).alias("target"), F.when(F.col("idx") % 2 == 0, "seen").otherwise("").alias("context"))
-    return rows.filter("term <> ''")
+    each = cues(spark, sf_dir).select("video_id", "idx", F.posexplode(X.tokens(F.col("text"))).alias("k", "word"))
+    seq = (F.col("video_id") * 100_000 + F.col("idx")) * 100_000 + F.col("k")
+    term = F.lower(F.regexp_replace("word", r"[^\p{L}]", ""))
+    context = F.when(F.col("idx") % 2 == 0, "seen").otherwise("")
+    return each.select(seq.alias("seq"), term.alias("term"), action.alias("action"), F.concat(F.lit("t"), F.col("video_id")).alias("target"), context.alias("context")).filter("term <> ''")
 
 
-GLOSSARY = rf"""g AS (SELECT video_id * 100000 + idx AS seq, lower(regexp_replace({TOKENS}[1], '[^\p{{L}}]', '', 'g')) AS term, ['keep', 'translate', 'flexible'][idx % 3 + 1] AS action, 't' || video_id AS target, CASE WHEN idx % 2 = 0 THEN 'seen' ELSE '' END AS context FROM cues),
+GLOSSARY = rf"""gw AS (SELECT video_id, idx, unnest({TOKENS}) AS word, unnest(range(0, len({TOKENS}))) AS k FROM cues),
+g AS (SELECT (video_id * 100000 + idx) * 100000 + k AS seq, lower(regexp_replace(word, '[^\p{{L}}]', '', 'g')) AS term, ['keep', 'translate', 'flexible'][idx % 3 + 1] AS action, 't' || video_id AS target, CASE WHEN idx % 2 = 0 THEN 'seen' ELSE '' END AS context FROM gw),
 v AS (SELECT term, arg_max(action, seq) AS action, arg_max(target, seq) AS target, arg_max(context, seq) AS context, min(seq) AS first_seq FROM g WHERE term <> '' GROUP BY term)"""
 
 
@@ -114,12 +127,12 @@ def glossary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.glossary_of(sinks.json_lines(rows, "seq"))
 
 
-@query(f"""WITH {CUES}, {GLOSSARY}, r AS (SELECT *, row_number() OVER (PARTITION BY term, seq // 100000 % 2 ORDER BY seq) AS n FROM g WHERE term <> ''),
-o AS (SELECT * FROM r WHERE seq // 100000 % 2 = 0), f AS (SELECT * FROM r WHERE seq // 100000 % 2 = 1 AND n = 1)
+@query(f"""WITH {CUES}, {GLOSSARY}, r AS (SELECT *, row_number() OVER (PARTITION BY term, seq // 10000000000 % 2 ORDER BY seq) AS n FROM g WHERE term <> ''),
+o AS (SELECT * FROM r WHERE seq // 10000000000 % 2 = 0), f AS (SELECT * FROM r WHERE seq // 10000000000 % 2 = 1 AND n = 1)
 SELECT seq, term, action, target FROM o WHERE n = 1 UNION ALL SELECT seq, term, action, target FROM f WHERE term NOT IN (SELECT term FROM o)""")
 def glossary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = glossary_rows(spark, sf_dir).select("seq", "term", "action", "target")
-    half = F.floor(F.col("seq") / 100_000) % 2
+    half = F.floor(F.col("seq") / 10_000_000_000) % 2
     first = rows.filter(half == 0).groupBy("term").agg(F.min_by(F.struct("seq", "action", "target"), "seq").alias("p")).select("p.seq", "term", "p.action", "p.target")
     return M.add_terms(first, rows.filter(half == 1))
 
@@ -142,20 +155,26 @@ def memory_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.retrieve(benchmark_memory(spark, sf_dir), texts)
 
 
-@query()
+@query(SQL["memory_retrieval"].replace("SELECT batch, place, source, '» ' || item_id AS target FROM p WHERE place <= 5", f"""SELECT batch, '{M.MEMORY_HEAD}' || chr(10) || string_agg('- "' || source || '" → "» ' || item_id || '"', chr(10) ORDER BY place) AS lines FROM p WHERE place <= 5 GROUP BY batch"""))
 def memory_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.memory_lines(memory_retrieval(spark, sf_dir))
 
 
-@query(f"""WITH {CUES}, m AS (SELECT text AS source, arg_max('» ' || video_id, video_id * 100000 + idx) AS known FROM cues WHERE video_id % 2 = 0 GROUP BY text)
-SELECT video_id, idx, coalesce(known, text) AS target FROM cues LEFT JOIN m ON source = text WHERE video_id % 2 = 1""")
+@query(f"""WITH {CUES}, m AS (SELECT text AS source, arg_max('» ' || video_id, video_id * 100000 + idx) AS known FROM cues WHERE idx % 2 = 0 GROUP BY text)
+SELECT video_id, idx, coalesce(known, text) AS target FROM cues LEFT JOIN m ON source = text""")
 def memory_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cues, from a memory of every second cue of each document."""
     rows = cues(spark, sf_dir)
-    held = rows.filter("video_id % 2 = 0").select((F.col("video_id") * 100_000 + F.col("idx")).alias("seq"), F.col("text").alias("source"), F.concat(F.lit("» "), "video_id").alias("target"))
-    return inference.translate_offline(rows.filter("video_id % 2 = 1"), held).select("video_id", "idx", "target")
+    held = rows.filter("idx % 2 = 0").select((F.col("video_id") * 100_000 + F.col("idx")).alias("seq"), F.col("text").alias("source"), F.concat(F.lit("» "), "video_id").alias("target"))
+    return inference.translate_offline(rows, held).select("video_id", "idx", "target")
 
 
-@query()
+@query(f"""WITH {CUES}, {SCORED}, t AS (SELECT video_id, idx, {TOKENS} AS w FROM scored WHERE score >= 0 AND score < 70),
+e AS (SELECT video_id, idx, len(w) AS n, unnest(w) AS tok FROM t WHERE len(w) >= 3),
+h AS (SELECT DISTINCT item_id, tok FROM (SELECT item_id, unnest({TOKENS}) AS tok FROM benchmark)),
+s AS (SELECT video_id, idx, n, item_id, count(*) / n AS share FROM e JOIN h USING (tok) GROUP BY video_id, idx, n, item_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY video_id, idx ORDER BY share DESC, item_id) AS r FROM s WHERE share > 0.3)
+SELECT c.video_id, c.idx, coalesce('» ' || k.item_id, c.text) AS target, c.score FROM scored c LEFT JOIN k ON k.video_id = c.video_id AND k.idx = c.idx AND k.r = 1""")
 def refined_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
     matches = inference.best_matches(benchmark_memory(spark, sf_dir), rows.filter(Q.low(F.col("score"))))
@@ -182,13 +201,43 @@ def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CUES}, b AS (SELECT *, (video_id + (idx - 1) // 7) % 5 AS kind FROM cues)
 SELECT video_id, idx, CASE WHEN kind < 3 THEN '» ' || text WHEN idx % 2 = 0 THEN '«' || text ELSE text END AS target, CASE WHEN kind < 3 THEN 'batch' WHEN idx % 2 = 0 THEN 'cue' ELSE 'source' END AS origin FROM b""")
 def answer_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = A.json_array(batch_answers(spark, sf_dir)).withColumn("texts", X.string_array(F.col("array"), F.col("expected")))
+    found = A.texts(batch_answers(spark, sf_dir))
     rows = cues(spark, sf_dir).withColumn("batch_id", C.batch_of(F.col("idx")))
     own = F.when(F.col("idx") % 2 == 0, F.concat(F.lit(' "«'), X.trim(F.col("text")), F.lit('" ')))
     asked = rows.withColumn("text", X.trim(F.col("text"))).withColumn("pos", ((F.col("idx") - 1) % C.BATCH).cast("int")).withColumn("own", own)
     return A.scatter(found, asked)
 
 
+@query(f"""WITH {CUES}, b AS (SELECT *, (video_id + (idx - 1) // 7) % 5 AS kind FROM cues)
+SELECT video_id, idx, CASE WHEN kind < 3 THEN '» "]" ' || text ELSE text END AS target, CASE WHEN kind < 3 THEN 'batch' ELSE 'source' END AS origin FROM b""")
+def answer_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose array stands before another one, after a broken fence, or inside a good one; or after an open bracket, or is too long."""
+    rows = cues(spark, sf_dir).withColumn("batch_id", C.batch_of(F.col("idx")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: F.concat(F.lit('» "]" '), x["text"]))
+    made = rows.groupBy("video_id", "batch_id").agg(F.count("*").cast("int").alias("expected"), listed.alias("t"))
+    kind, body = (F.col("video_id") + F.col("batch_id")) % 5, F.to_json("t")
+    around = lambda before, after: F.concat(F.lit(before), body, F.lit(after))
+    raw = (
+        F.when(kind == 0, around("", " and also [1]")).when(kind == 1, around("```json\nnot json\n``` so: ", "")).when(kind == 2, around("as asked [1]\n```\n", "\n```"))
+        .when(kind == 3, around("see [x and ", "")).otherwise(F.concat(F.lit('["more",'), F.substring(body, 2, 1 << 30)))
+    )
+    found = A.texts(made.select("video_id", "batch_id", "expected", raw.alias("raw")))
+    return A.scatter(found, rows.withColumn("pos", ((F.col("idx") - 1) % C.BATCH).cast("int")).withColumn("own", F.lit(None).cast("string")))
+
+
+@query(f"""WITH {CUES}, b AS (SELECT *, (video_id + (idx - 1) // 10) % 4 AS kind FROM cues)
+SELECT video_id, idx, CASE WHEN kind < 3 AND idx % 6 <> 0 THEN CAST(50 + idx % 50 AS DOUBLE) END AS score, kind = 3 AS failed FROM b""")
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts to score pairs, a stand-in's answers to them, and the scores by video and index."""
+    pairs = cues(spark, sf_dir).withColumn("target", F.concat(F.lit("» "), "text"))
+    asked = inference.score_prompts(pairs)
+    items = F.from_json("prompt", "array<struct<i:int,src:string,tgt:string>>")
+    answer = F.to_json(F.transform(items, lambda x: F.struct(x["i"].alias("i"), F.when(x["i"] % 6 != 0, 50 + x["i"] % 50).alias("score"))))
+    kind = (F.col("video_id") + F.col("batch_id")) % 4
+    raw = F.when(kind == 0, answer).when(kind == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Scores: "), answer, F.lit(" [end]"))).otherwise("no idea")
+    return inference.scored_pairs(pairs, asked.select("video_id", "batch_id", raw.alias("raw"))).orderBy("video_id", "idx")
+
+
 @query(f"""WITH {CUES}, b AS (SELECT *, (idx - 1) // 10 AS batch_id FROM cues) SELECT video_id, idx, (video_id + batch_id) % 4 = 0 AS failed FROM b""")
 def failure_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cues(spark, sf_dir).withColumn("batch_id", C.batch_of(F.col("idx"), C.SCORE_BATCH))

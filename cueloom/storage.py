@@ -1,4 +1,4 @@
-"""Shared storage for intermediate tables.
+"""Shared storage for intermediate and versioned tables.
 
 Lineage is cut by writing a Parquet table in the folder that the session names in
 ``spark.checkpoint.dir``: every executor sees it, so a lost executor costs only its own tasks.
@@ -8,27 +8,103 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder; a temporary one only in local mode where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cueloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back."""
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder that is not there yet, in the innermost ``scratch`` folder or else in the shared one."""
+    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in a new folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop has them."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside go when it ends: what is to stay is written before, to a path from outside."""
+    _scratch.append(new_path(spark, "scratch"))
+    try:
+        yield
+    finally:
+        remove(spark, _scratch.pop())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@dataclass(frozen=True)
+class Version:
+    number: int
+    label: str
+    path: str
+
+
+class Versions:
+    """Versions of a table in the folders ``path/v=<number>-<label>``.
+
+    A version counts once Spark has marked its folder as written, so readers see the last whole
+    one whatever happens to a writer, and what is there is never changed. The state is in the
+    folder alone: another process goes on from it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def whole(self) -> list[Version]:
+        """Versions that are written, in order."""
+        files, at = _files(self.spark, self.path)
+        if not files.exists(at):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()]
+        found = [(*n.removeprefix("v=").split("-", 1), f"{self.path}/{n}") for n in names if n.startswith("v=")]
+        marked = [x for x in found if files.exists(_files(self.spark, f"{x[2]}/_SUCCESS")[1])]
+        return sorted((Version(int(n), label, path) for n, label, path in marked), key=lambda v: v.number)
+
+    def last(self) -> Version | None:
+        return next(reversed(self.whole()), None)
+
+    def next_path(self, label: str = "") -> str:
+        """Where the next version goes."""
+        last = self.last()
+        return f"{self.path}/v={last.number + 1 if last else 1:09}-{label or uuid.uuid4().hex}"
+
+    def trim(self, keep: int = 2) -> None:
+        """Remove all but the last versions; readers may still hold the one before the last."""
+        for old in self.whole()[:-keep]:
+            remove(self.spark, old.path)

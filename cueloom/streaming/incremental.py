@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueloom.operators.memory import MEMORY_CAP, upsert_memory
 from cueloom.sources.subtitles import decode_subtitles, parse_srt
+from cueloom.storage import Versions
 
 
 def subtitle_stream(spark: SparkSession, folder: str, glob: str = "*.srt") -> DataFrame:
@@ -31,27 +32,37 @@ def ingest_subtitles(stream: DataFrame, out: str, checkpoint: str):
 
 
 class MemoryTable:
-    """A memory in versions ``path/v=N``; each upsert writes the next one, readers take the last."""
+    """A memory in versions (``storage.Versions``): each upsert writes the next one, readers take the last.
+
+    All state is in the folder, so a new process, or a query that starts again, goes on from the
+    last whole version. A version is labelled with its stream and batch: a batch that runs again
+    after its version was written changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str, cap: int | None = MEMORY_CAP):
-        self.spark, self.path, self.cap, self.version = spark, path, cap, None
+        self.spark, self.cap, self.versions = spark, cap, Versions(spark, path)
 
     def read(self) -> DataFrame:
-        if self.version is None:
+        last = self.versions.last()
+        if last is None:
             return self.spark.createDataFrame([], "source string, target string, score double, first_seq long")
-        return self.spark.read.parquet(f"{self.path}/{self.version}")
+        return self.spark.read.parquet(last.path)
 
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge rows (source, target, score); new rows come after all old ones, in the batch by their ``seq``."""
+    def upsert(self, batch: DataFrame, batch_id: int, stream: str = "batch") -> None:
+        """Merge rows (seq, source, target, score); new rows come after all old ones, in the batch by their ``seq``."""
+        label = f"{hashlib.sha256(stream.encode()).hexdigest()[:16]}-{batch_id}"
+        if any(v.label == label for v in self.versions.whole()):
+            return
         old = self.read().select(F.col("first_seq").alias("seq"), F.lit("existing").alias("origin"), "source", "target", "score")
         last = old.agg(F.max("seq")).first()[0] or 0
         least = batch.agg(F.min("seq")).first()[0] or 0
         new = batch.select((F.col("seq") - least + last + 1).alias("seq"), F.lit("new").alias("origin"), "source", "target", "score")
-        version = f"v{batch_id}-{uuid.uuid4().hex}"
-        upsert_memory(old.unionByName(new), self.cap).select("source", "target", "score", "first_seq").write.parquet(f"{self.path}/{version}")
-        self.version = version
+        merged = upsert_memory(old.unionByName(new), self.cap).select("source", "target", "score", "first_seq")
+        merged.write.mode("overwrite").parquet(self.versions.next_path(label))
+        self.versions.trim()
 
 
 def stream_memory(rows: DataFrame, memory: MemoryTable, checkpoint: str):
-    """A query that upserts each micro-batch of a stream (seq, source, target, score)."""
-    return rows.writeStream.foreachBatch(lambda b, i: memory.upsert(b, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A query that upserts each micro-batch of a stream (seq, source, target, score); the checkpoint names the stream."""
+    add = lambda batch, batch_id: memory.upsert(batch, batch_id, checkpoint)
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
