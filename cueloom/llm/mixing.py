@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cueloom.operators.ordering import numbered, running_sum
 from cueloom.storage import materialize, table
 
 #: Rank buckets of a source: only one of them is ever ordered row by row.
-BUCKETS = 4096
+BUCKETS = 1024
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2.0
+#: A document of so many words has half the inclusion odds of a very long one.
+HALF = 64
 
 
 def words(text: Column) -> Column:
@@ -26,69 +29,94 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """Per source_key: source_size and target.
+    """Per source_key: source_size and target; written, so that readers know its size.
 
     Sources in code point order, null last, get the weights in turn; a target stops at ``most``
-    times its source's size and the excess is shared again by weight. In order of size over
-    weight, the capped sources come first: the level is that of the first one not capped. The
-    windows run over one row per source.
+    times its source's size, and the excess is shared again by weight until none is above: a level
+    per unit of weight rises while sources reach their cap. Only sums over sources come to the driver.
     """
-    per = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
-    in_order, by_room = Window.orderBy(F.col("source_key")), Window.orderBy("room", "source_key")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    ranked = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(in_order) - 1) % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("room", F.col("cap") / F.col("weight"))
-    level = (F.sum("source_size").over(everything) * F.lit(budget) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    levels = ranked.withColumn("level", level)
-    free = F.min(F.when(F.col("level") <= F.col("room"), F.struct("room", "source_key", "level"))).over(everything)["level"]
-    shared = levels.withColumn("free", free)
-    return shared.select("source_key", "source_size", F.when(F.col("free").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("free") * F.col("weight"))).alias("target"))
-
-
-def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", seed: int = 17, buckets: int = BUCKETS, **sharing) -> DataFrame:
+    per = numbered(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), "source_key", name="n")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
+    ranked = materialize(per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most)), "sources")
+    level, full = 0.0, -1
+    while True:
+        capped = F.lit(False) if full < 0 else F.col("cap") <= F.col("weight") * F.lit(level)
+        sums = (F.count_if(capped), F.sum("source_size"), F.sum(F.when(capped, F.col("cap")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight"))))
+        count, size, used, free = (x or 0 for x in ranked.agg(*sums).first())
+        if count == full or not free:
+            break
+        full, level = count, (size * budget - used) / free
+    target = F.least("cap", F.col("weight") * F.lit(level)) if free else F.col("cap")
+    return materialize(ranked.select("source_key", "source_size", target.alias("target")), "targets")
+
+
+def frontiers(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per source_key: source_size, target, whole copies, and the rank bucket in which the sample ends, with the words before it; written.
+
+    Buckets before it are taken, those after it are not. Words are summed by (source, bucket), so a
+    hot source is spread over all tasks until it has at most BUCKETS rows.
+    """
+    per_bucket = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    summed = per_bucket.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.greatest("source_size", F.lit(1))).otherwise(0.0)
+    shares = targets.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    reached = summed.join(shares, "source_key").filter(F.col("offset") < F.col("rest"))
+    last = reached.groupBy("source_key").agg(F.max(F.struct("bucket", "offset")).alias("last"))
+    ends = shares.join(last, "source_key", "left")
+    return materialize(ends.select("source_key", "source_size", "target", "whole", "rest", F.coalesce("last.bucket", F.lit(-1)).alias("open"), F.coalesce("last.offset", F.lit(0)).alias("offset")), "frontiers")
+
+
+def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", seed: int = 17, **sharing) -> DataFrame:
     """Rows of ``docs`` as struct ``row`` with size, source_size, target, copies and taken.
 
-    A source with target t and size s takes floor(t / s) whole copies of every document; the
-    rest is a sample without replacement at inclusion probability p = t / s - floor(t / s):
-    documents are ranked by (u / (1 - u)) / (p / (1 - p)), u being uniform by the key's digest,
-    and the prefix of the ranking whose words come nearest the rest is taken once more. So a
-    source misses its target by half a document at most, and no document exceeds the cap.
-    Sums by (source, rank bucket) give the words before each bucket, so rows are ordered only
-    inside a bucket and a hot source is spread over all tasks. Ties in rank go by key, then size.
+    A source with target t and size s takes floor(t / s) whole copies of every document. The rest is
+    a Pareto sample without replacement, of a fixed size in words: a document's inclusion odds are
+    in proportion to w / (w + HALF), w being its words, so fragments are taken less often than long
+    texts; documents are ranked by (u / (1 - u)) over these odds, u being uniform by the key's
+    digest, and the prefix of the ranking whose words come nearest the rest is taken once more. (What
+    makes the odds of a source add up to the rest is one factor for all its documents and leaves
+    their order as it is.) So a source misses its target by half a document at most, and no document
+    exceeds the cap.
+
+    Rows are written once with size and rank. Sums by rank bucket tell the one bucket of a source in
+    which the sample ends; all other rows are taken or left where they are, and only that bucket is
+    ordered, in parts. Ties in rank go by key, then size, then place in the input.
     Null source is a source of its own, last in order; null keys share one u; documents without
-    words get the whole copies only; repeated rows are ranked one by one; an empty table gives
-    an empty result.
+    words get the whole copies only; repeated rows are ranked one by one; other columns stay inside
+    ``row``; an empty table gives an empty result.
     """
-    ranked_key = F.when(F.col(f"row.{source}").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col(f"row.{source}")))  # "=" < "~"
-    sized = docs.select(F.struct(*docs.columns).alias("row"), size.alias("size")).withColumn("source_key", ranked_key)
-    targets = source_targets(sized.select("source_key", "size"), **sharing)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.greatest("source_size", F.lit(1))).otherwise(0.0)
-    shared = sized.join(targets, "source_key").withColumn("whole", F.floor(ratio)).withColumn("chance", ratio - F.floor(ratio))
+    source_key = F.when(F.col(f"row.{source}").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col(f"row.{source}")))  # "=" < "~"
     u = uniform(F.col(f"row.{key}"), seed)
-    drawn = shared.withColumn("u", u).withColumn("odds", F.when(F.col("chance") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))).otherwise(F.col("u")))
-    ranked = drawn.withColumn("bucket", F.floor(F.col("odds") / (1 + F.col("odds")) * buckets))
-    # Dealt out by bucket first: else the parts of a hot source's sums from all tasks would meet in one.
-    per_bucket = ranked.groupBy("source_key", "bucket").agg(F.sum("size").alias("words")).repartition("source_key", "bucket")
-    earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("source_key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source_key", "bucket").orderBy("odds", f"row.{key}", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranked.join(offsets, ["source_key", "bucket"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
-    again = (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= rest)
-    copies = (F.col("whole") + again.cast("long")).alias("copies")
-    return placed.select("row", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    inclusion = F.when(F.col("size") > 0, F.col("size") / (F.col("size") + F.lit(float(HALF)))).otherwise(1.0)
+    odds = F.col("u") / (1 - F.col("u")) / inclusion
+    ranked = docs.select(F.struct(*docs.columns).alias("row"), size.alias("size")).withColumn("u", u)
+    ranked = ranked.select("row", "size", source_key.alias("source_key"), F.col(f"row.{key}").alias("rank_key"), odds.alias("odds"))
+    bucket = F.floor(F.col("odds") / (1 + F.col("odds")) * BUCKETS)
+    held = materialize(ranked.withColumn("bucket", bucket).withColumn("place", F.monotonically_increasing_id()), "ranked")
+    sized = held.select("source_key", "bucket", "size")
+    ends = frontiers(sized, source_targets(sized, **sharing))
+    placed = held.join(ends, "source_key")
+    sure = placed.filter(F.col("bucket") != F.col("open")).withColumn("again", F.col("bucket") < F.col("open"))
+    summed = running_sum(placed.filter(F.col("bucket") == F.col("open")), "size", "odds", "rank_key", "size", "place", by="source_key")
+    near = F.col("offset") + F.col("run") - F.col("size") / 2 <= F.col("rest")
+    rows = sure.unionByName(summed.withColumn("again", near).drop("run"))
+    copies = F.col("whole") + (F.col("again") & (F.col("size") > 0)).cast("long")
+    return rows.select("row", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_rows(docs: DataFrame, **params) -> DataFrame:
-    """The rows that the mix takes, each as often as it takes it, with the columns of ``docs``."""
+    """The rows that the mix takes, each as often as it takes it, with the columns of ``docs``.
+
+    Texts that are null or without words are taken only where their source takes whole copies;
+    repeated rows, null keys and sources, other columns and empty tables are as in ``mix``.
+    """
     taken = mix(docs, words(F.col("text")), **params).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sized = materialize(docs.select("doc_id", "source", words(F.col("text")).alias("words")), "sizes")
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("words"))
     return mix(sized, F.col("words")).select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
@@ -106,9 +134,8 @@ l AS (SELECT *, 2 * ss AS cap, 2 * ss / w AS room,
         / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY 2 * ss / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM s),
 f AS (SELECT arg_min(level, room) AS free FROM l WHERE level <= room),
 t AS (SELECT k, ss, least(cap, coalesce(free * w, cap)) AS target FROM l, f),
-q AS (SELECT d.*, ss, target, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS whole,
-        CASE WHEN ss > 0 THEN target / ss - floor(target / ss) ELSE 0 END AS chance FROM d JOIN t USING (k)),
-o AS (SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) ELSE u END AS odds FROM q),
+q AS (SELECT d.*, ss, target, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS whole FROM d JOIN t USING (k)),
+o AS (SELECT *, u / (1 - u) / CASE WHEN size > 0 THEN size / (size + 64.0::DOUBLE) ELSE 1 END AS odds FROM q),
 b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY k ORDER BY odds, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM o)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size, round(target, 6) AS target,
        CAST((whole + CASE WHEN size > 0 AND bef + size / 2.0::DOUBLE <= target - whole * ss THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
