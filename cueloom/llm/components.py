@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.storage import materialize
+from cueloom.storage import materialize, new_path, remove
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,20 +14,26 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Large-star and small-star steps in turn: every node hands the smallest node it sees to its
     larger, then to its smaller neighbours, until nothing changes. Links shrink to a star for
     each component, in about log(n) rounds. Smallest neighbours are pre-aggregated before the
-    shuffle, and the joins can split a hub's links. Each round is written in the shared folder;
+    shuffle and dealt anew for the join, whose two sides then are plain shuffles: so a hub's links
+    can be split over tasks. Each round is written in the shared folder and the one before removed;
     only a count and a checksum come to the driver. Null ends and loops are ignored.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-    edges, seen = materialize(edges.distinct(), "links"), None
+    spark = links.sparkSession
+    named = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    valid = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
+    path, seen = new_path(spark, "links"), None
+    edges = materialize(named.filter(valid).distinct(), path=path)
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u", "m")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u", "m")
         kept = lowest.select("u", F.col("m").alias("v"))
         moved = large.join(lowest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(kept.union(moved).distinct(), "links")
+        old, path = path, new_path(spark, "links")
+        edges = materialize(kept.union(moved).distinct(), path=path)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        remove(spark, old)
         if state == seen:
             break
         seen = state
