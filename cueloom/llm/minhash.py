@@ -7,13 +7,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueloom.llm.components import connected_components
 from cueloom.llm.hashing import shingle_sets
-from cueloom.storage import materialize, table
+from cueloom.storage import materialize, new_path, scratch, table
 
 #: Permutations; each gives its minimum and its maximum.
 HASHES = 180
@@ -153,6 +153,11 @@ def _confirm(similarity: tuple[int, int], batches: Iterator[pa.RecordBatch]) ->
         yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
 
+def _dealt_anew(sums: DataFrame, other: str | Column) -> DataFrame:
+    """Sums by bucket, dealt by bucket and another column: a join by bucket then shuffles both its sides, so a hot bucket can be split over tasks."""
+    return sums.repartition("bucket", other)
+
+
 class NearDuplicates:
     """The steps of the search, each a table in the shared folder.
 
@@ -177,7 +182,7 @@ class NearDuplicates:
         band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
         rows = nodes.select("node", "signature", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(signature, band * {ROWS} + 1, {ROWS})")).alias("bucket"), "band", "node")
         several = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
-        return rows.join(several.select("bucket", "least"), "bucket")
+        return rows.join(_dealt_anew(several.select("bucket", "least"), "least"), "bucket")
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
@@ -189,10 +194,15 @@ class NearDuplicates:
         return both.filter(enough).select("a", "b")
 
     def chunk_pairs(self, members: DataFrame, item: list[str], size: int) -> DataFrame:
-        """Pairs of chunks, of about ``size`` members, of buckets whose members lie in several components."""
+        """Pairs of chunks, of about ``size`` members, of buckets whose members lie in several components.
+
+        Members are dealt anew by bucket and chunk before they are packed: each chunk of a large
+        bucket is a group of its own, and so is each pair of chunks.
+        """
         mixed = members.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("rows")).filter("c != d")
-        placed = members.join(mixed.select("bucket", F.ceil(F.col("rows") / size).alias("chunks")), "bucket")
-        packed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).groupBy("bucket", "band", "chunk", "chunks").agg(F.collect_list(F.struct(*item)).alias("items"))
+        placed = members.join(_dealt_anew(mixed.select("bucket", F.ceil(F.col("rows") / size).alias("chunks")), "chunks"), "bucket")
+        dealt = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).repartition("bucket", "chunk")
+        packed = dealt.groupBy("bucket", "band", "chunk", "chunks").agg(F.collect_list(F.struct(*item)).alias("items"))
         other = packed.select("bucket", F.col("chunk").alias("partner"), F.col("items").alias("others"))
         wanted = packed.withColumn("partner", F.explode(F.sequence("chunk", F.col("chunks") - 1)))
         single = wanted.filter("chunks = 1").withColumn("others", F.col("items"))
@@ -207,25 +217,28 @@ class NearDuplicates:
         bucket still holds several components, members are compared across components in chunks:
         signatures tell who may be close to somebody, and their full sets decide in the task.
         """
+        spark = self.docs.sparkSession
+        stays = new_path(spark, "linked")
         nodes = materialize(self.classes(), "nodes")
-        members = materialize(self.members(nodes), "members")
-        inside = members.select("node").distinct()
-        out = T.StructType([T.StructField("node", self.kind), T.StructField("shingles", T.ArrayType(T.LongType()))])
-        sets = materialize(self.docs.join(inside, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, out), "sets")
-        stars = members.filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        links = materialize(self.confirm(stars, sets), "confirmed")
-        known = connected_components(links)
-        placed = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c != d").select("bucket")
-        open_members = placed.join(mixed, "bucket").join(nodes.select("node", "n", "signature"), "node").select("bucket", "band", "node", "component", "n", "signature")
-        open_members = materialize(open_members, "open")
-        near = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", self.kind)])
-        item = ["node", "component", "n", "signature"]
-        flagged = materialize(self.chunk_pairs(open_members, item, CHUNK).mapInArrow(_flag, near).distinct(), "near")
-        full = open_members.join(flagged, ["bucket", "node"]).join(sets, "node")
-        pair = T.StructType([T.StructField("a", self.kind), T.StructField("b", self.kind)])
-        more = self.chunk_pairs(full, [*item, "shingles"], CHUNK).mapInArrow(partial(_confirm, self.similarity), pair)
-        return nodes, materialize(links.union(more), "confirmed")
+        with scratch(spark):
+            members = materialize(self.members(nodes), "members")
+            inside = members.select("node").distinct()
+            out = T.StructType([T.StructField("node", self.kind), T.StructField("shingles", T.ArrayType(T.LongType()))])
+            sets = materialize(self.docs.join(inside, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, out), "sets")
+            stars = members.filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+            links = materialize(self.confirm(stars, sets), "confirmed")
+            known = connected_components(links)
+            placed = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c != d").select("bucket")
+            open_members = placed.join(_dealt_anew(mixed, F.xxhash64("bucket")), "bucket").join(nodes.select("node", "n", "signature"), "node").select("bucket", "band", "node", "component", "n", "signature")
+            open_members = materialize(open_members, "open")
+            near = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", self.kind)])
+            item = ["node", "component", "n", "signature"]
+            flagged = materialize(self.chunk_pairs(open_members, item, CHUNK).mapInArrow(_flag, near).distinct(), "near")
+            full = open_members.join(flagged, ["bucket", "node"]).join(sets, "node")
+            pair = T.StructType([T.StructField("a", self.kind), T.StructField("b", self.kind)])
+            more = self.chunk_pairs(full, [*item, "shingles"], CHUNK).mapInArrow(partial(_confirm, self.similarity), pair)
+            return nodes, materialize(links.union(more), path=stays)
 
     def result(self) -> DataFrame:
         """Per row: id, n_shingles, component_id, kept."""
@@ -251,12 +264,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs``, one for each group of near duplicates; rows with a null key stay."""
-    kept = near_duplicates(docs, key, text).filter(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("kept_key")).distinct()
-    named = docs.filter(F.col(key).isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col(key).alias("kept_key")).join(kept, "kept_key")
-    once = Window.partitionBy("kept_key").orderBy(F.col(f"row.{text}").asc_nulls_last())
-    first = named.withColumn("place", F.row_number().over(once)).filter("place = 1").select("row.*")
-    return first.unionByName(docs.filter(F.col(key).isNull()))
+    """Rows of ``docs``, one for each group of near duplicates, that with the smallest key; rows with a null key stay.
+
+    Rows that share a key count as one document: the first by text stays, null texts last. Null and
+    blank texts are near nothing and stay; other columns are kept as they are; an empty table gives an
+    empty one. The keys to drop are written and joined to the rows, so the texts stay where they are
+    while those keys are few enough to broadcast by the planner's size check.
+    """
+    found = near_duplicates(docs, key, text).filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("found_key"))
+    marked = found.agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")).filter("not kept or rows > 1")
+    marked = materialize(marked, "marked")
+    other = marked.select("found_key")
+    single = docs.join(other, docs[key] == other["found_key"], "left_anti")
+    if marked.filter("kept").isEmpty():
+        return single
+    repeated = marked.filter("kept").select("found_key")
+    named = docs.select(F.struct(*docs.columns).alias("row")).join(repeated, F.col(f"row.{key}") == F.col("found_key"))
+    by_text = Window.partitionBy("found_key").orderBy(F.col(f"row.{text}").asc_nulls_last())
+    first = named.withColumn("at", F.row_number().over(by_text)).filter("at = 1").select("row.*")
+    return single.unionByName(first)
 
 
 def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
