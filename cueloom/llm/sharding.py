@@ -39,7 +39,8 @@ def shard_rows(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str
     in each shard: rows are numbered inside (shard, part) and moved by the rows of the parts
     before, a table of at most ``shards * parts`` rows, hence small enough to broadcast. The part
     also depends on the text and on the input split, so neither one key nor repeated rows meet
-    in one task. Only narrow columns are shuffled. Repeated rows get one slot each; an empty
+    in one task. So slots, unlike shards, differ where the same rows are split otherwise. Only narrow
+    columns are shuffled. Repeated rows get one slot each; null keys share a shard; an empty
     table gives an empty result; other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))

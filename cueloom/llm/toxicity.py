@@ -190,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Token log-odds come from folds 1 to 3, the scale of extreme values and the probability from
     fold 4. The driver gets one number per slot and class, a histogram, and one number per row of
-    fold 4. Without rows of both labels every score is 0.
+    fold 4. Without rows of both labels every score is 0. Labels without a key or a value, and rows
+    with a null key, teach nothing; of several labels of a key the highest counts; null and blank
+    texts, and repeated rows but one, are left out; other columns are ignored.
     """
     spark = docs.sparkSession
     useful = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), (F.col(label) > 0).alias("toxic")).filter(fold(F.col("k")) != 0)
@@ -294,7 +296,11 @@ def _text_start(texts: pa.Array, first: int, this: int) -> int:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are not predicted toxic."""
+    """Rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Null and blank texts stay, repeated rows stay or go together, keys may be null; an empty table
+    gives an empty one.
+    """
     return score_texts(docs, fit(docs, labels)).filter("predicted = 0").select("row.*")
 
 

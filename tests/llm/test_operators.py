@@ -95,11 +95,31 @@ def test_near_duplicates_across_components(spark):
     assert [r.component_id for r in got] == components(60, links)
 
 
+def test_large_buckets(spark, monkeypatch):
+    """Buckets of many chunks: near copies of one text, links known only by full sets."""
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    r = random.Random(18)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(90):
+        copy = list(base)
+        for _ in range(r.randint(0, 4)):
+            copy[r.randrange(120)] = f"v{k}{r.randrange(99)}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(90) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = minhash.near_duplicates(docs_table(spark, texts)).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == components(90, links)
+
+
 def test_keep_first(spark):
     rows = [(1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1), (None, "a b c d e f", "en", "s", 1), (3, None, None, None, None), (4, "", "en", "s", 0), (4, "", "en", "s", 0)]
-    kept = minhash.keep_first(spark.createDataFrame(rows, DOCS))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = minhash.keep_first(spark.createDataFrame(rows, DOCS).withColumn("found_key", F.lit("clash")).withColumn("row", F.lit("clash")))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "found_key", "row"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
+    assert sorted(str(r.doc_id) for r in minhash.keep_first(spark.createDataFrame(rows[:4], DOCS)).collect()) == ["1", "3", "None"]
+    several = [(7, "b b", "en", "s", 1), (7, None, "en", "s", 1), (7, "a a", "en", "s", 1), (8, "A A", "en", "s", 1), (8, "z z z", "en", "s", 1)]
+    assert [tuple(r)[:2] for r in minhash.keep_first(spark.createDataFrame(several, DOCS)).collect()] == [(7, "a a")]
 
 
 def test_near_vectors(spark):
@@ -123,6 +143,41 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(table.limit(0)).count() == 0
 
 
+def test_crowded_filters(spark, monkeypatch):
+    """A hundred near copies of one vector, compared in chunks and as small buckets."""
+    r = np.random.default_rng(9)
+    base = r.standard_normal(64)
+    x = np.array([base + r.standard_normal(64) * 0.14 for _ in range(100)] + [r.standard_normal(64) for _ in range(60)]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    y = x.astype(float)
+    near = y @ y.T >= 0.98 * np.outer(np.linalg.norm(y, axis=1), np.linalg.norm(y, axis=1))
+    np.fill_diagonal(near, False)
+    wanted = list(zip(near.sum(axis=1).tolist(), components(160, np.argwhere(near).tolist()), strict=True))
+    assert 1000 < near.sum() < 9900
+    for chunk in (256, 7):
+        monkeypatch.setattr(embeddings, "CHUNK", chunk)
+        got = embeddings.near_vectors(table).orderBy("vec_id").collect()
+        assert [(g.n_links, g.component_id) for g in got] == wanted
+
+
+def test_exceeded():
+    """List decoding gives what a look at all directions gives."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((40, 64))
+    x[:5] = embeddings.product_code(64)[0] @ np.concatenate(embeddings.product_code(64)[1][:, 3])  # one direction itself
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rotation, code = embeddings.product_code(64)
+    products = np.einsum("nbw,bcw->nbc", (x @ rotation).reshape(40, 4, -1), code)
+    n = embeddings.CODE_WORDS
+    every = (products[:, 0, :, None, None, None] + products[:, 1, None, :, None, None] + (products[:, 2, None, None, :, None] + products[:, 3, None, None, None, :])).reshape(40, -1)
+    for held in (embeddings.HELD, 4, n * n):
+        filters, starts = embeddings.exceeded(x, held)
+        for k in range(40):
+            cap = min(embeddings.CAP / 8, np.sort(every[k])[-embeddings.LEAST])
+            want, got = np.flatnonzero(every[k] >= cap - 1e-12), filters[starts[k] : starts[k + 1]]
+            assert got.tolist() == want.tolist()
+
+
 def best_cost(cuts, length):
     at, cost = cuts.at.tolist(), cuts.cost.tolist()
     best = [0.0]
@@ -216,6 +271,27 @@ def test_sharding(spark):
     assert sorted(g.slot for g in sharding.shard_rows(odd).collect()) == [0, 1, 2]
 
 
+def test_jumps(spark):
+    """Every shard number against the published loop, on the numbers that xxhash64 of (key, step) gives."""
+    import struct
+
+    import xxhash
+
+    def jump(key, shards):
+        at, then, step, seed = -1, 0, 1, 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        while then < shards:
+            at = then
+            bits = xxhash.xxh64_intdigest(struct.pack("<i", step), seed) >> 33
+            then, step = int((at + 1) * ((1 << 31) / (bits + 1))), step + 1
+        return at
+
+    keys = [*range(-300, 700), 1 << 40, -(1 << 62), None]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for shards in (1, 2, 16, 17, 100):
+        got = df.select("k", sharding.jump_shard(F.col("k"), shards).alias("shard")).collect()
+        assert {x.k: x.shard for x in got} == {k: jump(k, shards) for k in keys}
+
+
 def test_media(spark):
     r = random.Random(2)
     texts = [*ODD, words(r, 3), words(r, 500), words(r, 20_000), words(r, 500)]
@@ -230,6 +306,40 @@ def test_media(spark):
     assert media.clip_rows(media.encode_media(docs_table(spark, texts))).filter("clip = 0").count() == len(texts)
 
 
+def test_media_in_runs():
+    payload = np.random.default_rng(3).integers(0, 256, 5000).astype(np.uint8)
+    assert media.jpeg.write_frames(payload, run=2) == media.jpeg.write_frames(payload)
+    assert media.jpeg.write_frames(np.zeros(0, np.uint8), run=2) == media.jpeg.write_frames(np.zeros(0, np.uint8))
+
+
+def test_media_features(spark, monkeypatch):
+    """The feature string against plain loops over the pictures that the general decoder reads."""
+    r = random.Random(8)
+    texts = [None, "", words(r, 300), words(r, 900).upper() + "\x01" * 3000 + words(r, 400), "é" * 2500 + "0" * 2500]
+    docs = docs_table(spark, texts)
+    monkeypatch.setattr(media, "table", lambda *a: docs)
+    for g in media.op5_avi_media(spark, "").collect():
+        raw = (texts[g.doc_id] or "").encode()
+        shares = []
+        for frame in media.read_avi(media.write_avi(raw + bytes(-len(raw) % 64 if raw else 64))).frames:
+            pixels = media.jpeg.decode(frame).ravel().tolist()
+            shares.append([sum(p // 16 == b for p in pixels) / len(pixels) for b in range(16)])
+        steps = [sum(abs(a - b) for a, b in zip(x, y, strict=True)) / 2 for x, y in zip(shares, shares[1:], strict=False)]
+        begins = [0]
+        for k, step in enumerate(steps):
+            near = steps[max(0, k - 8) : k] + steps[k + 1 : k + 9]
+            mean = sum(near) / len(near) if near else 0
+            if step > 0.1 and (not near or step > mean + 3 * (sum((x - mean) ** 2 for x in near) / len(near)) ** 0.5):
+                begins.append(k + 1)
+        clips = list(zip(begins, [*begins[1:], len(shares)], strict=True))
+        found = g.feature.split(";")
+        assert found[0] == f"shots={len(clips)}"
+        for clip, (a, b) in zip(found[1].split(","), clips, strict=True):
+            first, n, level = clip.split("-")
+            bright = sum((i + 0.5) * 16 * x for s in shares[a:b] for i, x in enumerate(s)) / (b - a)
+            assert (int(first), int(n)) == (a, b - a) and abs(float(level) - bright) < 0.002
+
+
 def test_media_decoder():
     """The fast reader and the general JPEG decoder agree, and shots begin where pictures change."""
     r = np.random.default_rng(1)
@@ -274,6 +384,28 @@ def test_mixing(spark):
     assert [x.taken for x in mixing.mix(blank, mixing.words(F.col("text"))).collect()] == [0, 0, 0]
 
 
+def test_mixing_by_inclusion(spark):
+    """Over many sources with the same texts, each text is taken as often as its inclusion odds say."""
+    r = random.Random(20)
+    sizes = [r.randint(1, 30) for _ in range(25)] + [r.randint(60, 900) for _ in range(25)]
+    rows = [(s * 100 + k, f"s{s:03}", n) for s in range(400) for k, n in enumerate(sizes)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    got = mixing.mix(table, F.col("words"), weights=(1,), budget=0.4).select("row.doc_id", "taken", "target").collect()
+    low, high = 1e-9, 1e9  # the factor with which the odds add up to the target
+    odds = [n / (n + mixing.HALF) for n in sizes]
+    for _ in range(200):
+        factor = (low * high) ** 0.5
+        low, high = (factor, high) if sum(n * factor * w / (1 + factor * w) for n, w in zip(sizes, odds, strict=True)) < 0.4 * sum(sizes) else (low, factor)
+    for k, w in enumerate(odds):
+        share = sum(x.taken > 0 for x in got if x.doc_id % 100 == k) / 400
+        chance = factor * w / (1 + factor * w)
+        assert abs(share - chance) < 0.03 + 4 * (chance * (1 - chance) / 400) ** 0.5, (sizes[k], share, chance)
+    by_source = {}
+    for x in got:
+        by_source[x.doc_id // 100] = by_source.get(x.doc_id // 100, 0) + x.taken
+    assert all(abs(t - 0.4 * sum(sizes)) <= max(sizes) / 2 + 1 for t in by_source.values())
+
+
 def test_segments():
     def brute(s):
         """Ruzzo and Tompa's definition: take the best segment, then those left and right of it."""
@@ -330,6 +462,33 @@ def test_toxicity(spark):
     assert toxicity.score_texts(docs, alone).count() == docs.count()
 
 
+def test_scores(spark):
+    """Scores against the definition, from the tokens' log-odds: plain loops for segments and evidence."""
+    docs, labels, _ = toxic_tables(spark, 600)
+    model = toxicity.fit(docs, labels)
+    import pyarrow as pa
+
+    def maximal(s, at=0):
+        best = max(((sum(s[i:j]), i - j, i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=None)
+        return [] if best is None or best[0] <= 0 else [*maximal(s[: best[2]]), best[0], *maximal(s[best[3] :])]
+
+    for x in toxicity.score_texts(docs.filter("length(text) < 400 or text is null"), model).select("row.text", "score").collect():
+        (_, _, found), *more = toxicity.word_runs(pa.array([x.text or ""]), toxicity.PREFIXES)
+        scores = toxicity.token_scores(found, model).tolist()
+        assert not more
+        base = np.log(max(len(scores), 1)) + model.ln_k
+        normal = sorted((model.scale * v - base for v in maximal(scores)), reverse=True)
+        ways = [-base]
+        if normal:
+            ways = []
+            for r in range(1, len(normal) + 1):
+                total = sum(normal[:r])
+                ways.append(min(total, total - (r - 1) * np.log(max(total, 1)) + sum(np.log(i) for i in range(2, r + 1)) + sum(np.log(i) for i in range(2, r))))
+        value = max(ways)
+        value = value if value < 10 else 10 + np.log(value - 9)
+        assert x.score == pytest.approx(1 / (1 + np.exp(-(model.shift + model.slope * value))), abs=1e-6)
+
+
 def test_secrets(spark):
     uuid, sha = "3f2b8c1e-1111-4c2d-9a3b-5e6f7a8b9c0d", hashlib.sha256(b"x").hexdigest()
     texts = [
@@ -417,3 +576,48 @@ def test_chunks_widen():
     for n in range(60):
         t = "".join(r.choice(["abc ", "long" * r.randint(1, 60), "'s ", " . ", "é", "1 2\n"]) for _ in range(r.randint(1, 120)))
         assert tokens.chunked_ids(t, own.encode, chunk=150, overlap=8) == own.encode(t).ids
+
+
+def test_repeated_rows_and_null_keys(spark):
+    """Every operator on rows that repeat, share a key or have none, with columns of its own names: each row has its result."""
+    r = random.Random(31)
+    base = [words(r, 40), None, "", "token = 'abcdefghij' Qx7Zp3mKv9TbW2rYc8Ld5nHs1Gf6Jq4E", words(r, 3)]
+    rows = [(i % 3 if i < 9 else None, base[i % 5], "en", None if i % 4 == 0 else "s", 1) for i in range(15)] * 2
+    names = ("row", "size", "kept", "found", "media", "bucket", "place", "start", "score", "id", "component")
+    table = spark.createDataFrame(rows, DOCS).repartition(3)
+    for name in names:
+        table = table.withColumn(name, F.lit("clash"))
+
+    def same(df, *result):
+        """Rows with the same key and text have the same result, and none is lost."""
+        got = df.collect()
+        assert len(got) == len(rows)
+        return got
+
+    keys = sorted(str(x[0]) for x in rows)
+    found = same(minhash.near_duplicates(table))
+    assert sorted(str(x.doc_id) for x in found) == keys and all(x.component_id is None and x.kept for x in found if x.doc_id is None)
+    assert {(x.doc_id, x.component_id) for x in found if x.n_shingles and x.doc_id is not None} == {(0, 0), (1, 1), (2, 0)}
+    assert {(x.doc_id, x.component_id) for x in found if not x.n_shingles and x.doc_id is not None} == {(0, 0), (1, 1), (2, 2)}
+    pieces = packing.pack(table).collect()
+    assert sum(x.length for x in pieces) == sum(x.doc_tokens for x in pieces if x.start == 0) and sum(x.start == 0 for x in pieces) == len(rows)
+    shards = same(sharding.shard_rows(table))
+    assert len({(x.shard, x.slot) for x in shards}) == len(rows) and len({x.shard for x in shards if x.doc_id is None}) == 1
+    for x in same(media.read_media(media.encode_media(table))):
+        assert x.payload_bytes % 64 == 0 and x.payload_bytes >= max(x.n_bytes, 64)
+    mixed = same(mixing.mix(table, mixing.words(F.col("text"))))
+    assert all(x.taken <= 2 * x["size"] for x in mixed) and sum(x.taken for x in mixed) > 0
+    assert mixing.mixed_rows(table).columns == table.columns
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    scored = same(toxicity.score_texts(table, toxicity.fit(table, labels)))
+    assert all(0 <= x.score <= 1 for x in scored)
+    assert toxicity.remove_toxic(table, labels).columns == table.columns
+    spans = same(secrets.scan_secrets(table))
+    assert sorted(len(x.found) for x in spans) == [0] * 24 + [2] * 6
+    assert secrets.redacted(table).columns == table.columns and secrets.redacted(table).filter("text like '%abcdefghij%'").count() == 0
+    counts = same(tokens.count_tokens(table))
+    assert sum(x.n_tokens == 0 for x in counts) == 12
+    vectors = spark.createDataFrame([(i % 4 if i < 12 else None, [1.0, float(i % 3)], 1) for i in range(16)], "vec_id long, embedding array<float>, label int").withColumn("class", F.lit("clash"))
+    links = embeddings.near_vectors(vectors).collect()
+    assert len(links) == 16 and all(x.n_links == 0 and x.component_id is None and x.kept for x in links if x.vec_id is None)
+    assert sum(x.n_links for x in links) == 3 * 4 * 3

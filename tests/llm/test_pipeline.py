@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cueloom.llm import toxicity
 
@@ -13,14 +15,26 @@ def test_stages(spark, sf_dir):
         out = stage(spark, seen[-1], sf_dir)
         assert out.columns == columns
         seen.append(spark.createDataFrame(out.collect(), docs.schema))
-    ids = [sorted(r.doc_id for r in x.collect()) for x in seen]
+    ids = [sorted(r.doc_id for r in x.collect() if r.doc_id is not None) for x in seen]
+    assert [x.filter("doc_id is null").count() for x in seen[:4]] == [2] * 4
+    assert ids[0].count(1) == 4 and ids[2].count(1) == 1
     toxic = {i for i in ids[0] if i < 900 and i % 8 == 0}
     assert len(toxic & set(ids[1])) <= 0.05 * len(toxic) and len(set(ids[0]) - set(ids[1]) - toxic) <= 0.01 * len(ids[0])
     assert {900, 901} & set(ids[2]) == {900} and ids[2] == ids[3]
     assert not any(re.search("[0-9a-f]{40}", r.text or "") for r in seen[3].collect())
     assert set(ids[4]) <= set(ids[3])
     pieces = corpus_pipeline.STAGES[-1][1](spark, seen[4], sf_dir).collect()
-    assert {p.doc_id for p in pieces} == set(ids[4])
+    assert {p.doc_id for p in pieces if p.doc_id is not None} == set(ids[4])
+
+
+def test_run(spark, sf_dir):
+    """The run gives what the stages give one by one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+    count = lambda x: sorted((r.doc_id is None, r.doc_id, r.n, r.tokens) for r in x.groupBy("doc_id").agg(F.count_if(F.col("start") == 0).alias("n"), F.sum("length").alias("tokens")).collect())
+    one_by_one = count(corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir))
+    assert count(corpus_pipeline.run(spark, sf_dir)) == one_by_one
 
 
 def test_stages_on_nothing(spark, sf_dir):
