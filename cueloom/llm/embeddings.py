@@ -7,6 +7,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +21,14 @@ CODE_BLOCKS, CODE_WORDS = 4, 32
 #: a vector that exceeds fewer directions than LEAST takes its LEAST best ones.
 CAP = 4.1
 LEAST = 20
+#: Sums of a half of the blocks that are put in order at first.
+HELD = 128
 #: Vectors of a bucket that are compared with each other at a time.
 CHUNK = 256
+#: Buckets of no more vectors are compared together.
+SMALL = 32
+#: Pairs whose cosines are computed at a time.
+PAIRS = 1 << 14
 COSINE = 0.98
 
 
@@ -35,30 +42,44 @@ def product_code(dim: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return rotation[:dim], code / np.linalg.norm(code, axis=2, keepdims=True) / np.sqrt(CODE_BLOCKS)
 
 
-def exceeded(vectors: np.ndarray) -> Iterator[np.ndarray]:
-    """For each unit vector the filters whose directions it exceeds, by list decoding.
+def exceeded(vectors: np.ndarray, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
+    """The filters whose directions each unit vector exceeds, in order, and where each vector's begin; by list decoding.
 
     A direction is one code word of each block, its product with the vector the sum of the
-    blocks' products. Sums over the first and the last half of the blocks are sorted; a pair of
+    blocks' products. Sums over the first and the last half of the blocks are put in falling order; a pair of
     them is looked at only if it can reach the threshold. The LEAST best pairs lie where the
-    product of their ranks is at most LEAST.
+    product of their ranks is at most LEAST. Of each half the ``held`` best sums are ordered, all of
+    them for vectors that need more.
     """
     rotation, code = product_code(vectors.shape[1])
     turned = (vectors @ rotation).reshape(len(vectors), CODE_BLOCKS, -1)
     products = np.einsum("nbw,bcw->nbc", turned, code)
     halves = [(products[:, i, :, None] + products[:, i + 1, None, :]).reshape(len(vectors), -1) for i in (0, 2)]
-    cap = CAP / np.sqrt(rotation.shape[1])
-    orders = [np.argsort(-h, axis=1) for h in halves]
-    values = [np.take_along_axis(h, o, axis=1) for h, o in zip(halves, orders, strict=True)]
+    every = CODE_WORDS**2
+    held = min(max(held, LEAST), every)
+    best = [np.argpartition(-h, held - 1, axis=1)[:, :held] if held < every else np.argsort(-h, axis=1) for h in halves]
+    orders = [np.take_along_axis(b, np.argsort(-np.take_along_axis(h, b, axis=1), axis=1), axis=1) for h, b in zip(halves, best, strict=True)]
+    first, last = (np.take_along_axis(h, o, axis=1) for h, o in zip(halves, orders, strict=True))
     rank = np.arange(1, LEAST + 1)
     near = np.nonzero(np.multiply.outer(rank, rank) <= LEAST)
-    best = -np.sort(-(values[0][:, near[0]] + values[1][:, near[1]]), axis=1)[:, LEAST - 1]
-    for a, b, oa, ob, least in zip(*values, *orders, np.minimum(best, cap), strict=True):
-        rows = int(np.searchsorted(-a, b[0] - least, side="right"))
-        counts = np.searchsorted(-b, a[:rows] - least, side="right")
-        left = np.repeat(oa[:rows], counts)
-        right = ob[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-        yield np.sort(left.astype(np.int32) * CODE_WORDS**2 + right.astype(np.int32))
+    top = -np.sort(-(first[:, near[0]] + last[:, near[1]]), axis=1)[:, LEAST - 1]
+    least = np.minimum(top, CAP / np.sqrt(rotation.shape[1]))
+    open_ = (first[:, -1] + last[:, 0] >= least) | (first[:, 0] + last[:, -1] >= least) if held < every else np.zeros(len(vectors), bool)
+    vec, i = np.nonzero((first + last[:, :1] >= least[:, None]) & ~open_[:, None])
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for j in range(last.shape[1]):  # the j-th best of the last half, for the sums of the first half that reach so far
+        reach = first[vec, i] + last[vec, j] >= least[vec]
+        vec, i = vec[reach], i[reach]
+        if not len(vec):
+            break
+        found.append((vec, orders[0][vec, i] * every + orders[1][vec, j]))
+    if open_.any():
+        rest = np.flatnonzero(open_)
+        filters, starts = exceeded(vectors[rest], every)
+        found.append((np.repeat(rest, np.diff(starts)), filters))
+    vec, filters = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((filters, vec))
+    return filters[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(vec, minlength=len(vectors)))])
 
 
 def _floats(data: pa.Array, stored: str) -> np.ndarray:
@@ -68,13 +89,20 @@ def _floats(data: pa.Array, stored: str) -> np.ndarray:
 
 def _valid(stored: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, label, vector as bytes; null where it can't link."""
-    for batch in batches:
-        out = []
-        for v, i, label in zip(batch.column(2).to_pylist(), batch.column(0), batch.column(1), strict=True):
-            x = np.array(v if v is not None and None not in v else [], stored)
-            able = i.is_valid and label.is_valid and len(x) and np.isfinite(x).all() and x.any()
-            out.append(x.tobytes() if able else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "label", "vector"])
+    for whole in batches:
+        for i in range(0, whole.num_rows, 2048):
+            batch = whole.slice(i, 2048)
+            lengths = pc.list_value_length(batch.column(2)).fill_null(0).to_numpy().astype(np.int64)
+            x = batch.column(2).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component is NaN
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            within = lambda flags, ends=ends: np.diff(np.concatenate([[0], np.cumsum(flags)])[ends])
+            known = pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid()).to_numpy(zero_copy_only=False)
+            able = known & (within(np.isfinite(x)) == lengths) & (within(x != 0) > 0)
+            data = x.astype(stored)
+            offsets = (ends * data.itemsize).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            vectors = pc.if_else(pa.array(able), raw, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vectors], ["id", "label", "vector"])
 
 
 def _filters(stored: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +115,8 @@ def _filters(stored: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 x = _floats(part.column("vector"), stored)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                lists = list(exceeded(x))
-                offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                filters = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+                found, starts = exceeded(x)
+                filters = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(found))
                 yield pa.RecordBatch.from_arrays([*part.columns, filters], [*part.schema.names, "filters"])
 
 
@@ -136,19 +163,79 @@ def chunk_links(x: dict, y: dict, this: int, same: bool, cosine: float, stored:
     return [*nodes, *nodes], [*[None] * len(nodes), *[nodes[k] for k in label]], [*weights, *[0] * len(nodes)]
 
 
+def bucket_links(sizes: np.ndarray, filters: np.ndarray, members: dict, cosine: float, stored: str) -> tuple[list, list, list]:
+    """As ``chunk_links``, for many small buckets at once: their sizes and filters, and their members one after the other."""
+    starts = np.cumsum(sizes) - sizes
+    left, right, this = [], [], []
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        of = np.flatnonzero(sizes == n)
+        left.append((starts[of][:, None] + i).ravel()), right.append((starts[of][:, None] + j).ravel())
+        this.append(np.repeat(filters[of], len(i)))
+    if not left:
+        return [], [], []
+    left, right, this = (np.concatenate(x) for x in (left, right, this))
+    v = _floats(members["vector"], stored)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    norm, near = np.linalg.norm(v, axis=1), np.zeros(len(left), bool)
+    for k in range(0, len(left), PAIRS):
+        a, b = left[k : k + PAIRS], right[k : k + PAIRS]
+        near[k : k + PAIRS] = np.einsum("ij,ij->i", v[a], v[b]) >= cosine * (norm[a] * norm[b])
+    left, right, this = left[near], right[near], this[near]
+    # A pair counts here if no filter before this one is shared: its left filters are looked up among its right ones.
+    lists = members["filters"]
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    held = lists.values.to_numpy().astype(np.int64)
+    n = ends[left + 1] - ends[left]
+    pair = np.repeat(np.arange(len(left)), n)
+    own = held[np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[left], n)]
+    room = CODE_WORDS**CODE_BLOCKS
+    keys = np.repeat(np.arange(len(lists)), np.diff(ends)) * room + held[ends[0] : ends[-1]]  # in order, as lists and filters are
+    earlier = own < this[pair]
+    asked = right[pair[earlier]] * room + own[earlier]
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    first = np.bincount(pair[earlier][keys[at] == asked], minlength=len(left)) == 0
+    copies = members["n"].to_numpy()
+    weight = np.zeros(len(v), np.int64)
+    np.add.at(weight, left[first], copies[right[first]])
+    np.add.at(weight, right[first], copies[left[first]])
+    label = np.arange(len(v))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, right, label[left])
+        np.minimum.at(new, left, label[right])
+        if (new == label).all():
+            break
+        label = new
+    linked = np.unique(np.concatenate([left, right]))
+    nodes = members["node"].take(pa.array(linked)).to_pylist()
+    partners = members["node"].take(pa.array(label[linked])).to_pylist()
+    return [*nodes, *nodes], [*[None] * len(nodes), *partners], [*weight[linked].tolist(), *[0] * len(nodes)]
+
+
 def _compare(cosine: float, stored: str):
+    """Links inside chunks (``others`` is null) and between two chunks of a bucket."""
+    fields = ("node", "n", "vector", "filters")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, partners, weights = [], [], []
-            kind = batch.schema.field("items").type.value_type.field("node").type
-            for row in range(batch.num_rows):
-                sides = []
-                for name in ("items", "others"):
-                    got = batch.column(name)[row].values
-                    sides.append({f: got.field(f) for f in ("node", "n", "vector", "filters")})
-                same = batch.column("chunk")[row].as_py() == batch.column("partner")[row].as_py()
-                for total, part in zip((nodes, partners, weights), chunk_links(*sides, batch.column("filter")[row].as_py(), same, cosine, stored), strict=True):
-                    total += part
+            items, others = batch.column("items"), batch.column("others")
+            filters = batch.column("filter").to_numpy().astype(np.int64)
+            kind = items.type.value_type.field("node").type
+            sizes = pc.list_value_length(items).to_numpy()
+            small = (sizes <= SMALL) & pc.is_null(others).to_numpy(zero_copy_only=False)
+            parts = []
+            widths = pc.binary_length(pc.list_element(items, 0).field("vector")).to_numpy()
+            for width in np.unique(widths[small]):
+                rows = np.flatnonzero(small & (widths == width))
+                chosen = items.take(pa.array(rows)).flatten()
+                members = {f: pa.concat_arrays([chosen.field(f)]) for f in fields}
+                parts.append(bucket_links(sizes[rows], filters[rows], members, cosine, stored))
+            for row in np.flatnonzero(~small).tolist():
+                same = not others[row].is_valid
+                sides = [{f: got.field(f) for f in fields} for got in (items[row].values, items[row].values if same else others[row].values)]
+                parts.append(chunk_links(*sides, int(filters[row]), same, cosine, stored))
+            nodes, partners, weights = ([x for p in parts for x in p[k]] for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(partners, kind), pa.array(weights, pa.int64())], ["node", "partner", "weight"])
 
     return run
@@ -175,24 +262,26 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     able = rows.filter("vector is not null")
     classes = able.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("n"))
     listed_type = T.StructType([field("label", label_type), field("vector", T.BinaryType()), field("node", key_type), field("n", T.LongType()), field("filters", T.ArrayType(T.IntegerType()))])
-    listed = materialize(classes.mapInArrow(partial(_filters, stored), listed_type), "filters")
-    spread = listed.withColumn("filter", F.explode("filters")).withColumn("bucket", F.xxhash64("label", F.octet_length("vector"), "filter"))
+    listed = classes.mapInArrow(partial(_filters, stored), listed_type).withColumn("class", F.monotonically_increasing_id())
+    listed = materialize(listed, "filters")
+    # Label, length and filter stay in the key, so two that share a bucket's hash stay apart. Only ids are
+    # dealt by bucket; vectors join the members of buckets that hold several.
+    group = ["label", "width", "filter"]
+    spread = listed.select("class", "label", F.octet_length("vector").alias("width"), F.explode("filters").alias("filter"))
+    spread = spread.withColumn("bucket", F.xxhash64(*group))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1")
     chunks = F.ceil(F.col("rows") / CHUNK)
-    item = F.struct("node", "n", "vector", "filters")
-    # label, length and filter are kept in the key, so two that share a bucket's hash stay apart
-    group = ["label", F.octet_length("vector").alias("width"), "filter"]
-    packed = (
-        spread.join(sizes, "bucket").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-        .groupBy("bucket", *group, "chunks", "chunk").agg(F.collect_list(item).alias("items"))
-    )
-    other = packed.select("bucket", "label", "width", "filter", F.col("chunk").alias("partner"), F.col("items").alias("others"))
-    wanted = packed.withColumn("partner", F.explode(F.sequence("chunk", F.col("chunks") - 1)))
-    single = wanted.filter("chunks = 1").withColumn("others", F.col("items"))
-    several = wanted.filter("chunks > 1").join(other, ["bucket", "label", "width", "filter", "partner"])
-    columns = ["filter", "chunk", "partner", "items", "others"]
+    placed = spread.join(sizes, "bucket").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks")).drop("rows")
+    full = placed.join(listed.select("class", "node", "n", "vector", "filters"), "class")
+    dealt = full.repartition("bucket", "chunk")
+    packed = dealt.groupBy("bucket", *group, "chunks", "chunk").agg(F.collect_list(F.struct("node", "n", "vector", "filters")).alias("items"))
+    alone = packed.filter((F.col("chunks") > 1) | (F.size("items") > 1)).withColumn("others", F.lit(None).cast(packed.schema["items"].dataType))
+    wanted = packed.filter("chunks > 1").withColumn("partner", F.explode(F.sequence("chunk", F.col("chunks") - 1))).filter("partner > chunk")
+    other = packed.filter("chunks > 1").select("bucket", *group, F.col("chunk").alias("partner"), F.col("items").alias("others"))
+    several = wanted.join(other, ["bucket", *group, "partner"])
+    columns = ["filter", "items", "others"]
+    pairs = alone.select(columns).union(several.select(columns))
     found_type = T.StructType([field("node", key_type), field("partner", key_type), field("weight", T.LongType())])
-    pairs = single.filter(F.size("items") > 1).select(columns).union(several.select(columns))
     found = materialize(pairs.mapInArrow(_compare(cosine, stored), found_type), "found")
     links = found.groupBy("node").agg(F.sum("weight").alias("links"))
     parts = connected_components(found.filter("partner is not null"), "node", "partner")
