@@ -15,6 +15,8 @@ import numpy as np
 SIDE = 32
 BLOCKS = (SIDE // 8) ** 2
 FRAME_BYTES = BLOCKS * 64
+#: Frames written or read at a time: about 30 bytes are held for each byte of them.
+RUN = 1024
 
 #: Row-major place of each coefficient in zigzag order: along the diagonals, turning at each end.
 ZIGZAG = np.array([r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))])
@@ -36,8 +38,13 @@ HEAD = (
 )
 
 
-def write_frames(payload: np.ndarray) -> list[bytes]:
-    """JPEG frames that hold the payload, padded with 0 to whole frames."""
+def write_frames(payload: np.ndarray, run: int = RUN) -> list[bytes]:
+    """JPEG frames that hold the payload, padded with 0 to whole frames; ``run`` frames are built at a time."""
+    size = run * FRAME_BYTES
+    return [f for i in range(0, max(len(payload), 1), size) for f in _write_run(payload[i : i + size])]
+
+
+def _write_run(payload: np.ndarray) -> list[bytes]:
     frames = max(1, -(-len(payload) // FRAME_BYTES))
     data = np.zeros(frames * FRAME_BYTES, np.uint8)
     data[: len(payload)] = payload

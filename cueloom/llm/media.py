@@ -110,7 +110,9 @@ def cuts(shares: np.ndarray) -> list[int]:
 def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_bytes, media: the text's UTF-8 bytes, with 0 up to a positive multiple of 64, as an AVI file.
 
-    A null text is empty; keys may be null or repeat; equal texts give equal files.
+    A null text is empty; keys may be null or repeat: each row has its file; equal texts give equal
+    files; other columns are ignored; an empty table gives no rows. A very long text is written and
+    read in runs of frames.
     """
     schema = T.StructType([docs.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
@@ -118,7 +120,7 @@ def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         for batch in batches:
             at = 0
             for texts in slices(batch.column(1)):
-                raw = [t.encode() for t in texts]
+                raw = [(t or "").encode() for t in texts.to_pylist()]
                 files = [write_avi(b + bytes(-len(b) % 64 if b else 64)) for b in raw]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(raw)], pa.array(list(map(len, raw)), pa.int64()), pa.array(files, pa.binary())], schema.names)
                 at += len(raw)
@@ -132,13 +134,20 @@ CLIP = "array<struct<clip:int,start_s:double,end_s:double,first_frame:int,frames
 def look(data: bytes) -> tuple[bytes | None, list[dict]]:
     """The payload, where the file holds one, and the clips of a stored file."""
     avi = read_avi(data)
-    blocks = jpeg.read_frames(avi.frames) if avi.payload is not None and avi.frames else None
-    if blocks is not None:
-        payload = blocks.tobytes()[: avi.payload]
-        shares = histograms(jpeg.pixels(jpeg.coefficients(blocks)).reshape(len(avi.frames), -1))
-    else:
-        payload = None
-        shares = np.array([histograms(jpeg.decode(f).reshape(1, -1))[0] for f in avi.frames]).reshape(len(avi.frames), BINS)
+    payload, shares = None, []
+    if avi.payload is not None and avi.frames:
+        parts = []
+        for i in range(0, len(avi.frames), jpeg.RUN):
+            frames = avi.frames[i : i + jpeg.RUN]
+            if (blocks := jpeg.read_frames(frames)) is None:
+                break
+            parts.append(blocks.tobytes())
+            shares.append(histograms(jpeg.pixels(jpeg.coefficients(blocks)).reshape(len(frames), -1)))
+        else:
+            payload = b"".join(parts)[: avi.payload]
+    if payload is None:
+        shares = [histograms(jpeg.decode(f).reshape(1, -1)) for f in avi.frames]
+    shares = np.concatenate([np.zeros((0, BINS)), *shares])
     starts = cuts(shares)
     level = shares @ ((np.arange(BINS) + 0.5) * (256 / BINS))
     return payload, [
