@@ -152,7 +152,9 @@ def ass_colour(s: Column) -> Column:
 def font_to_ass(s: Column) -> Column:
     """Font tags as colour overrides, line ends as hard breaks."""
     tag = r"<font color=[\"']#([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})[\"']>"
-    pieces = F.transform(F.split(F.regexp_replace(s, f"({tag})", "\u0001$1\u0001"), "\u0001"), lambda x: F.when(x.rlike(f"^{tag}$"), F.upper(F.regexp_replace(x, tag, "{\\\\c&H00$3$2$1&}"))).otherwise(x))
+    parts = F.split(F.regexp_replace(s, f"({tag})", "\u0001$1\u0001"), "\u0001")
+    override = lambda x: F.upper(F.regexp_replace(x, tag, "{\\\\c&H00$3$2$1&}"))
+    pieces = F.transform(parts, lambda x: F.when(x.rlike(f"^{tag}$"), override(x)).otherwise(x))
     joined = F.replace(F.array_join(pieces, ""), F.lit("{\\C&H00"), F.lit("{\\c&H00"))
     return F.replace(F.replace(joined, F.lit("</font>"), F.lit("{\\r}")), F.lit("\n"), F.lit("\\N"))
 

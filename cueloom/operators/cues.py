@@ -29,7 +29,8 @@ def cues_of_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", keep
     rows = listed.select("video_id", *keep, F.posexplode("lines").alias("pos", "text"))
     timed = rows.select("video_id", (F.col("pos") + 1).alias("idx"), "text", lasting(F.col("text")).alias("dur_ms"), *keep)
     before = F.coalesce(F.sum("dur_ms").over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return timed.withColumn("start_ms", before).withColumn("end_ms", F.col("start_ms") + F.col("dur_ms")).drop("dur_ms").select("video_id", "idx", "text", "start_ms", "end_ms", *keep)
+    placed = timed.withColumn("start_ms", before).withColumn("end_ms", F.col("start_ms") + F.col("dur_ms"))
+    return placed.select("video_id", "idx", "text", "start_ms", "end_ms", *keep)
 
 
 def words_of_cues(cues: DataFrame) -> DataFrame:
@@ -37,7 +38,14 @@ def words_of_cues(cues: DataFrame) -> DataFrame:
     listed = cues.select("video_id", "idx", "start_ms", "end_ms", X.tokens(F.col("text")).alias("w"))
     each = listed.select("video_id", "idx", "start_ms", "end_ms", F.size("w").alias("n"), F.posexplode("w").alias("k", "token"))
     step = (F.col("end_ms") - F.col("start_ms")) / F.col("n")
-    return each.select("video_id", (F.row_number().over(in_order("idx", "k")) - 1).alias("pos"), F.concat(F.lit(" "), "token").alias("word"), ((F.col("start_ms") + step * F.col("k")) / 1000).alias("start"), ((F.col("start_ms") + step * (F.col("k") + 1)) / 1000).alias("end"))
+    second = lambda k: (F.col("start_ms") + step * k) / 1000
+    return each.select(
+        "video_id",
+        (F.row_number().over(in_order("idx", "k")) - 1).alias("pos"),
+        F.concat(F.lit(" "), "token").alias("word"),
+        second(F.col("k")).alias("start"),
+        second(F.col("k") + 1).alias("end"),
+    )
 
 
 def duration_ms(start: Column, end: Column) -> Column:
@@ -66,7 +74,14 @@ def rule_segments(words: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     block = F.floor((F.row_number().over(Window.partitionBy("video_id", "sentence").orderBy("pos")) - 1) / max_words)
     grouped = marked.withColumn("block", block).groupBy("video_id", "sentence", "block")
     items = F.array_sort(F.collect_list(F.struct("pos", "word", "start", "end")))
-    cut = grouped.agg(items.alias("i")).select("video_id", F.element_at("i", 1)["pos"].alias("first_word"), F.element_at("i", 1)["start"].alias("start"), F.element_at("i", -1)["end"].alias("end"), X.trim(F.array_join(F.col("i.word"), "")).alias("text"))
+    first, last = F.element_at("i", 1), F.element_at("i", -1)
+    cut = grouped.agg(items.alias("i")).select(
+        "video_id",
+        first["pos"].alias("first_word"),
+        first["start"].alias("start"),
+        last["end"].alias("end"),
+        X.trim(F.array_join(F.col("i.word"), "")).alias("text"),
+    )
     return cut.filter("text <> ''")
 
 
@@ -154,13 +169,15 @@ def word_ranges(segments: DataFrame, words: DataFrame) -> DataFrame:
     spans = segments.withColumn("from_off", start).withColumn("to_off", F.col("from_off") + F.length("text"))
     ends = F.inline(F.array(*[F.struct(F.lit(name).alias("end"), off.alias("off")) for name, off in (("first", F.col("from_off") - 2), ("last", F.col("to_off")))]))
     marks = spans.select("video_id", "seg", ends).withColumn("pos", F.lit(None).cast("long"))
-    placed = word_offsets(words).select("video_id", F.lit(None).cast(segments.schema["seg"].dataType).alias("seg"), F.lit(None).cast("string").alias("end"), "off", F.col("pos").cast("long").alias("pos"))
+    no_segment, no_end = F.lit(None).cast(segments.schema["seg"].dataType), F.lit(None).cast("string")
+    placed = word_offsets(words).select("video_id", no_segment.alias("seg"), no_end.alias("end"), "off", F.col("pos").cast("long").alias("pos"))
     line = marks.unionByName(placed)
     in_video = Window.partitionBy("video_id")
     earlier = in_video.orderBy("off", F.col("pos").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     later = in_video.orderBy(F.col("off").desc(), F.col("pos").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     seen = line.withColumn("before", F.last("pos", True).over(earlier)).withColumn("after", F.last("pos", True).over(later))
-    found = seen.filter("seg is not null").groupBy("video_id", "seg").agg(F.max(F.when(F.col("end") == "first", F.col("after"))).alias("first_word"), F.max(F.when(F.col("end") == "last", F.col("before"))).alias("last_word"))
+    at = lambda end, word: F.max(F.when(F.col("end") == end, F.col(word))).alias(f"{end}_word")
+    found = seen.filter("seg is not null").groupBy("video_id", "seg").agg(at("first", "after"), at("last", "before"))
     ranges = found.filter("first_word <= last_word")
     after = F.max("last_word").over(in_order("seg").rowsBetween(Window.unboundedPreceding, -1))
     return ranges.withColumn("first_word", F.greatest("first_word", F.coalesce(after + 1, F.lit(0)))).filter("first_word <= last_word")

@@ -86,8 +86,12 @@ def in_index_order(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def prompt_records(cues: DataFrame, size: int = C.BATCH) -> DataFrame:
     """(video_id, batch_id, prompt): cues of a batch as a JSON list of i, duration, max_chars, text."""
-    record = F.struct(F.col("idx").alias("i"), F.format_string("%.1fs", F.col("dur_ms") / 1000).alias("duration"), X.max_chars(F.col("dur_ms"), F.lit("")).alias("max_chars"), "text")
-    return cues.withColumn("batch_id", C.batch_of(F.col("idx"), size)).groupBy("video_id", "batch_id").agg(F.concat(F.to_json(F.array_sort(F.collect_list(record))), F.lit("\n\nAnswer with a JSON array that holds "), F.count("*").cast("string"), F.lit(" strings and nothing else.")).alias("prompt"))
+    duration = F.format_string("%.1fs", F.col("dur_ms") / 1000)
+    record = F.struct(F.col("idx").alias("i"), duration.alias("duration"), X.max_chars(F.col("dur_ms"), F.lit("")).alias("max_chars"), "text")
+    listed = F.to_json(F.array_sort(F.collect_list(record)))
+    asked = F.concat(F.lit("\n\nAnswer with a JSON array that holds "), F.count("*").cast("string"), F.lit(" strings and nothing else."))
+    batches = cues.withColumn("batch_id", C.batch_of(F.col("idx"), size)).groupBy("video_id", "batch_id")
+    return batches.agg(F.concat(listed, asked).alias("prompt"))
 
 
 def translate_offline(cues: DataFrame, memory: DataFrame) -> DataFrame:

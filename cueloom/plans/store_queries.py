@@ -259,6 +259,17 @@ def parsed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.inline(A.terms(answer)))
 
 
+@query(f"""WITH {CUES}, {GLOSSARY} SELECT term, action, target, context FROM v WHERE length(term) % 5 <> 4""")
+def term_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms from answers that hold them plainly, fenced with and without a name, in prose, or beside an item without an action."""
+    rows = M.upsert_glossary(glossary_rows(spark, sf_dir), cap=None)
+    kind, item = F.length("term") % 5, F.to_json(F.struct("term", "action", "target", "context"))
+    array = F.concat(F.lit("["), item, F.when(kind == 4, ',{"term":"none"}').otherwise(""), F.lit("]"))
+    raw = F.when(kind == 1, F.concat(F.lit("```json\n"), array, F.lit("\n```\n[]"))).when(kind == 2, F.concat(F.lit("Found: "), array, F.lit(" and [more]"))).when(kind == 3, F.concat(F.lit("Sure.\n```\n "), array, F.lit(" ```"))).otherwise(array)
+    read = A.term_answers(rows.withColumn("raw", raw))
+    return read.select(F.inline("terms"))
+
+
 @query(f"""WITH {CUES} SELECT video_id, idx, CAST(greatest(0, 100 - CASE idx % 3 WHEN 0 THEN 25 * 5 WHEN 1 THEN 5 + 1 ELSE 1 END) AS DOUBLE) AS mqm FROM cues""")
 def mqm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.col("idx") % 3
