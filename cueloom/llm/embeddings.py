@@ -123,9 +123,9 @@ def _filters(stored: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def chunk_links(x: dict, y: dict, this: int, same: bool, cosine: float, stored: str) -> tuple[list, list, list]:
     """Links between two chunks of the bucket of filter ``this``: nodes, partners, weights.
 
-    A pair counts in the first filter that its vectors share. A row with a null partner adds a
-    weight to its node's number of links; one with a partner joins both in a component. For each
-    set of linked nodes there is one such row per node, not one per pair.
+    A pair counts in the first filter that its vectors share. A weight adds to its node's number of
+    links; a partner, which may be the node itself, is in one component with it. For each set of
+    linked nodes there is one row per node, not one per pair.
     """
     a, b = _floats(x["vector"], stored), _floats(y["vector"], stored)
     a, b = (v / np.abs(v).max(axis=1, keepdims=True) for v in (a, b))
@@ -160,7 +160,7 @@ def chunk_links(x: dict, y: dict, this: int, same: bool, cosine: float, stored:
         if (new == label).all():
             break
         label = new
-    return [*nodes, *nodes], [*[None] * len(nodes), *[nodes[k] for k in label]], [*weights, *[0] * len(nodes)]
+    return nodes, [nodes[k] for k in label], weights
 
 
 def bucket_links(sizes: np.ndarray, filters: np.ndarray, members: dict, cosine: float, stored: str) -> tuple[list, list, list]:
@@ -210,7 +210,7 @@ def bucket_links(sizes: np.ndarray, filters: np.ndarray, members: dict, cosine:
     linked = np.unique(np.concatenate([left, right]))
     nodes = members["node"].take(pa.array(linked)).to_pylist()
     partners = members["node"].take(pa.array(label[linked])).to_pylist()
-    return [*nodes, *nodes], [*[None] * len(nodes), *partners], [*weight[linked].tolist(), *[0] * len(nodes)]
+    return nodes, partners, weight[linked].tolist()
 
 
 def _compare(cosine: float, stored: str):
@@ -236,7 +236,9 @@ def _compare(cosine: float, stored: str):
                 sides = [{f: got.field(f) for f in fields} for got in (items[row].values, items[row].values if same else others[row].values)]
                 parts.append(chunk_links(*sides, int(filters[row]), same, cosine, stored))
             nodes, partners, weights = ([x for p in parts for x in p[k]] for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(partners, kind), pa.array(weights, pa.int64())], ["node", "partner", "weight"])
+            made = pa.table([pa.array(nodes, kind), pa.array(partners, kind), pa.array(weights, pa.int64())], ["node", "partner", "weight"])
+            summed = made.group_by(["node", "partner"]).aggregate([("weight", "sum")])  # two vectors share many filters
+            yield from summed.select(["node", "partner", "weight_sum"]).rename_columns(made.schema.names).combine_chunks().to_batches()
 
     return run
 
@@ -284,7 +286,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     found_type = T.StructType([field("node", key_type), field("partner", key_type), field("weight", T.LongType())])
     found = materialize(pairs.mapInArrow(_compare(cosine, stored), found_type), "found")
     links = found.groupBy("node").agg(F.sum("weight").alias("links"))
-    parts = connected_components(found.filter("partner is not null"), "node", "partner")
+    parts = connected_components(found, "node", "partner")
     summed = listed.select("label", "vector", "node", "n").join(links, "node", "left").join(parts, "node", "left")
     by_class = summed.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("found"))
     linked = able.join(by_class, ["label", "vector"]).select("id", "links", "found")
