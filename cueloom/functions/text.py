@@ -64,7 +64,7 @@ def ltrim(s: Column) -> Column:
 
 def tokens(s: Column) -> Column:
     """Words between Unicode white space; none for blank text."""
-    return F.filter(F.split(s, r"(?U)\s+"), lambda x: x != "")
+    return F.array_remove(F.split(s, r"(?U)\s+"), "")
 
 
 def alpha_lower(s: Column) -> Column:
