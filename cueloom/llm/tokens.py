@@ -23,7 +23,7 @@ OVERLAP = 1 << 8
 #: Tokens that must agree on each side of a cut.
 STABLE = 4
 #: Parts of words kept with their ids in each Python worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 LIMIT = 2048
 #: Bytes of texts encoded at a time.
 SLICE = 1 << 23
