@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cueloom.llm import conversations, embeddings, media, minhash, mixing, packing, secrets, sharding, tokens, toxicity, warc
+from cueloom.llm import conversations, embeddings, language, media, minhash, mixing, negatives, packing, secrets, sharding, tokens, toxicity, warc
 
-MODULES = (minhash, embeddings, packing, sharding, media, mixing, toxicity, secrets, warc, tokens, conversations)
+MODULES = (minhash, embeddings, packing, sharding, media, mixing, toxicity, secrets, warc, tokens, conversations, language, negatives)
 
 
 def queries() -> dict:
