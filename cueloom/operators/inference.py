@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as X
@@ -84,11 +84,15 @@ def in_index_order(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known, scored.filter("failed").select("video_id", "idx").orderBy("video_id", "idx")
 
 
+def record(number: Column, dur_ms: Column, text: Column) -> Column:
+    """A cue as part of a prompt: i, duration, max_chars, text."""
+    duration = F.format_string("%.1fs", dur_ms / 1000)
+    return F.struct(number.alias("i"), duration.alias("duration"), X.max_chars(dur_ms, F.lit("")).alias("max_chars"), text.alias("text"))
+
+
 def prompt_records(cues: DataFrame, size: int = C.BATCH) -> DataFrame:
     """(video_id, batch_id, prompt): cues of a batch as a JSON list of i, duration, max_chars, text."""
-    duration = F.format_string("%.1fs", F.col("dur_ms") / 1000)
-    record = F.struct(F.col("idx").alias("i"), duration.alias("duration"), X.max_chars(F.col("dur_ms"), F.lit("")).alias("max_chars"), "text")
-    listed = F.to_json(F.array_sort(F.collect_list(record)))
+    listed = F.to_json(F.array_sort(F.collect_list(record(F.col("idx"), F.col("dur_ms"), F.col("text")))))
     asked = F.concat(F.lit("\n\nAnswer with a JSON array that holds "), F.count("*").cast("string"), F.lit(" strings and nothing else."))
     batches = cues.withColumn("batch_id", C.batch_of(F.col("idx"), size)).groupBy("video_id", "batch_id")
     return batches.agg(F.concat(listed, asked).alias("prompt"))

@@ -234,7 +234,8 @@ def subtitle_edit_rate(hypothesis: DataFrame, reference: DataFrame, language: Co
     order = Window.partitionBy("video_id").orderBy("start", "end", "reference", "idx")
     until = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = both.withColumn("opens", F.coalesce(F.col("start") >= until, F.lit(True)).cast("int"))
-    islands = opened.withColumn("island", F.sum("opens").over(order)).groupBy("video_id", "island")
+    tasks = int(hypothesis.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is asked for stays, however small the rows are
+    islands = opened.withColumn("island", F.sum("opens").over(order)).repartition(tasks, "video_id", "island").groupBy("video_id", "island")
     listed = islands.agg(F.array_sort(F.collect_list(F.struct("start", "end", "reference", "idx", "text"))).alias("cues"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

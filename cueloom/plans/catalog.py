@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cueloom.plans import cue_queries, inventory_queries, store_queries
+from cueloom.plans import cue_queries, inventory_queries, job_queries, store_queries
 
-MODULES = (cue_queries, store_queries, inventory_queries)
+MODULES = (cue_queries, store_queries, inventory_queries, job_queries)
 
 
 def queries() -> dict:
