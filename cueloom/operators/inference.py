@@ -14,6 +14,7 @@ from cueloom.operators import answers as A
 from cueloom.operators import cues as C
 from cueloom.operators import memory as M
 from cueloom.operators import quality as Q
+from cueloom.storage import materialize
 
 ATTEMPTS = 3
 TERMS = 30
@@ -128,6 +129,39 @@ def merge_suggested(cues: DataFrame) -> DataFrame:
     return C.merge_marked(cues.withColumn("joins", (before["idx"] == F.col("idx") - 1) & before["badly"]))
 
 
+def merge_task(max_chars: int) -> str:
+    return (
+        "Each item below is a subtitle cue. Which neighbours were cut in the middle of a phrase and should be one cue, "
+        f"of {int(max_chars * 1.5)} characters at most?\nAnswer with a JSON array of pairs [i, i + 1] alone; [] if there are none."
+    )
+
+
+def merge_prompts(cues: DataFrame, max_chars: int = 42) -> DataFrame:
+    """(video_id, chunk, prompt): overlapping chunks of cues as a JSON list of i, text; chunks of one cue are left out."""
+    placed = C.overlapping_chunks(cues).join(cues.select("video_id", "idx", "text"), ["video_id", "idx"])
+    listed = F.array_sort(F.collect_list(F.struct(F.col("idx").alias("i"), F.coalesce("text", F.lit("")).alias("text"))))
+    grouped = placed.groupBy("video_id", "chunk").agg(listed.alias("items")).filter(F.size("items") > 1)
+    return grouped.select("video_id", "chunk", F.concat(F.lit(merge_task(max_chars) + "\n\n"), F.to_json("items")).alias("prompt"))
+
+
+def merge_by_model(cues: DataFrame, client: Callable[[], Callable[[str], str]], max_chars: int = 42, tasks: int | None = None) -> DataFrame:
+    """Cues (video_id, idx, start_ms, end_ms, text) merged by the pairs of neighbours that a model names; a chunk whose call fails, or whose answer can't be read, merges none."""
+    answers = materialize(run_model(merge_prompts(cues, max_chars), client, tasks=tasks).select("video_id", "raw"), "merges")
+    pairs = answers.select("video_id", F.explode(C.neighbour_pairs(F.coalesce("raw", F.lit("")))).alias("p"))
+    return C.merge_cues(cues, pairs.select("video_id", F.col("p")[0].alias("a"), F.col("p")[1].alias("b")))
+
+
+def translate_each(cues: DataFrame, client: Callable[[], Callable[[str], str]], transient: Callable[[Exception], bool] = lambda e: isinstance(e, OSError), tasks: int | None = None) -> DataFrame:
+    """cues with target and error, by a service that takes one text at a time: each distinct text is asked for once.
+
+    Where the call fails in the end, target is null and error says why; blank texts are not asked for and stay as they are.
+    """
+    asked = cues.select(F.col("text").alias("prompt")).filter(F.col("prompt").rlike(r"(?U)\S")).distinct()
+    answers = materialize(run_model(asked, client, transient, tasks), "answers").withColumnRenamed("raw", "target")
+    found = cues.drop("target", "error").join(answers, F.col("text") == F.col("prompt"), "left").drop("prompt")
+    return found.withColumn("target", F.coalesce("target", F.when(F.col("error").isNull(), F.coalesce("text", F.lit("")))))
+
+
 def extract_terms(cues: DataFrame, most: int = TERMS) -> DataFrame:
     """Terms to keep: code-like identifiers, by the number of videos that hold them, the ``most`` commonest."""
     code = r"\b([A-Za-z]+[_.][A-Za-z_.]*[A-Za-z]|[a-z]+[A-Z][A-Za-z]*|[A-Za-z]+[0-9]+[A-Za-z0-9]*)\b"

@@ -95,9 +95,9 @@ def _edits(distance: Callable[[list, list], int]) -> Callable[[Column, Column],
     return lambda a, b: measured(F.array_join(a, " "), F.array_join(b, " "))
 
 
-def wer(pairs: DataFrame, by: str = "video_id") -> DataFrame:
+def wer(pairs: DataFrame, by: str = "video_id", language: Column | None = None) -> DataFrame:
     """Word error rate per ``by``: edits over reference words. pairs: hypothesis, reference; null counts as empty."""
-    h, r = metric_tokens(F.col("hypothesis")), metric_tokens(F.col("reference"))
+    h, r = metric_tokens(F.col("hypothesis"), language), metric_tokens(F.col("reference"), language)
     measured = pairs.select(by, _edits(word_distance)(h, r).alias("edits"), F.size(r).alias("n"))
     return measured.groupBy(by).agg(F.sum("edits").alias("edits"), F.sum("n").alias("ref_words")).withColumn("wer", F.round(F.col("edits") / F.greatest("ref_words", F.lit(1)), 6))
 
@@ -161,9 +161,9 @@ def _sums(pairs: DataFrame, hypothesis: Column, reference: Column, orders: int,
     return counted.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 
-def bleu(pairs: DataFrame) -> DataFrame:
+def bleu(pairs: DataFrame, language: Column | None = None) -> DataFrame:
     """Corpus BLEU: one row with bleu and the precisions of orders 1 to 4."""
-    words = lambda c: F.array_join(metric_tokens(F.col(c)), " ")
+    words = lambda c: F.array_join(metric_tokens(F.col(c), language), " ")
     sums = _sums(pairs, words("hypothesis"), words("reference"), 4, True)
     p = [F.col(f"m{n}") / F.greatest(F.col(f"h{n}"), F.lit(1)) for n in range(1, 5)]
     logs = sum((F.log(F.greatest(x, F.lit(1e-9))) for x in p[1:]), F.log(F.greatest(p[0], F.lit(1e-9))))
@@ -284,7 +284,7 @@ def shifted_distance(a: list, b: list, longest: int, farthest: int) -> int:
     return now + shifts
 
 
-def ter(pairs: DataFrame, by: str = "video_id", longest: int = 10, farthest: int = 50) -> DataFrame:
+def ter(pairs: DataFrame, by: str = "video_id", longest: int = 10, farthest: int = 50, language: Column | None = None) -> DataFrame:
     """Translation edit rate per ``by``: edits and shifts of blocks over reference words.
 
     Shifts are searched greedily, as in the published algorithm: as long as moving a block of the
@@ -293,7 +293,7 @@ def ter(pairs: DataFrame, by: str = "video_id", longest: int = 10, farthest: int
     counts as empty.
     """
     moves = _edits(lambda a, b: shifted_distance(a, b, longest, farthest))
-    h, r = metric_tokens(F.col("hypothesis")), metric_tokens(F.col("reference"))
+    h, r = metric_tokens(F.col("hypothesis"), language), metric_tokens(F.col("reference"), language)
     measured = pairs.select(by, moves(h, r).alias("edits"), F.size(r).alias("n"))
     return measured.groupBy(by).agg(F.sum("edits").alias("edits"), F.sum("n").alias("ref_words")).withColumn("ter", F.round(F.col("edits") / F.greatest("ref_words", F.lit(1)), 6))
 

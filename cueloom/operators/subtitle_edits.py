@@ -7,6 +7,8 @@ where their cues overlap in time.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,6 +22,8 @@ from cueloom.operators.quality import metric_tokens
 LONGEST, FARTHEST = 10, 50
 LINE, CUE = -1, -2
 FAR = 1 << 20
+#: Tokens of a side up to which islands are compared several at a time, and how many.
+SMALL, TOGETHER = 256, 256
 
 
 class Side(NamedTuple):
@@ -55,25 +59,33 @@ def step(row: Row, low: int, high: int, differs: np.ndarray) -> Row:
 
 
 class Task:
-    """A hypothesis and a reference whose cues overlap in time as ``overlap`` [hypothesis cue, reference cue] says.
+    """A hypothesis and a reference with the times [cue, start and end] of their cues, which stand in order of their starts.
 
     ``first`` and ``last`` bound the reference tokens that each hypothesis cue may meet, so a table of distances
     is a band: columns before it can't match any more and those after it not yet.
     """
 
-    def __init__(self, hypothesis: Side, reference: Side, overlap: np.ndarray):
-        self.h, self.r, self.overlap = hypothesis, reference, overlap
-        meets = overlap[:, reference.cue] if len(reference.cue) else np.zeros((len(overlap), 0), bool)
-        some = meets.any(axis=1) if meets.size else np.zeros(len(overlap), bool)
-        self.first = np.where(some, meets.argmax(axis=1) if meets.size else 0, 0)
-        self.last = np.where(some, meets.shape[1] - meets[:, ::-1].argmax(axis=1) if meets.size else 0, 0)
-        self.some = some
+    def __init__(self, hypothesis: Side, reference: Side, h_times: np.ndarray, r_times: np.ndarray):
+        self.h, self.r, self.h_times, self.r_times = hypothesis, reference, h_times, r_times
+        begun = np.searchsorted(r_times[:, 0], h_times[:, 1])  # reference cues that start before the end
+        open_ = np.searchsorted(np.maximum.accumulate(r_times[:, 1]), h_times[:, 0], side="right")  # the first that ends after the start
+        self.some = open_ < begun
+        self.first = np.where(self.some, np.searchsorted(reference.cue, open_), 0)
+        self.last = np.where(self.some, np.searchsorted(reference.cue, begun), 0)
+
+    def meet(self, cue: int, others: np.ndarray) -> np.ndarray:
+        """Which reference cues overlap a hypothesis cue."""
+        return (self.h_times[cue, 0] < self.r_times[others, 1]) & (self.r_times[others, 0] < self.h_times[cue, 1])
 
     def differs(self, token: int, cue: int, low: int, high: int) -> np.ndarray:
         other = self.r.tokens[low:high]
-        able = self.overlap[cue, self.r.cue[low:high]] & ((other < 0) == (token < 0))
+        able = self.meet(cue, self.r.cue[low:high]) & ((other < 0) == (token < 0))
         return np.where(able, (other != token).astype(np.int64), FAR)
 
+    def moved(self, i: int, k: int, n: int) -> Task:
+        """With the n tokens from i on put at place k of the rest."""
+        return Task(Side(*(shifted(v, i, k, n) for v in self.h)), self.r, self.h_times, self.r_times)
+
     def band(self, cue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each token of a hypothesis the columns of its row: neither falls along the rows."""
         n = len(self.r.tokens)
@@ -92,7 +104,8 @@ class Task:
     def reversed(self) -> Task:
         flip = Task.__new__(Task)
         n = len(self.r.tokens)
-        flip.h, flip.r, flip.overlap = Side(self.h.tokens[::-1], self.h.cue[::-1]), Side(self.r.tokens[::-1], self.r.cue[::-1]), self.overlap
+        flip.h, flip.r = (Side(side.tokens[::-1], side.cue[::-1]) for side in (self.h, self.r))
+        flip.h_times, flip.r_times = self.h_times, self.r_times
         flip.first, flip.last, flip.some = np.where(self.some, n - self.last, 0), np.where(self.some, n - self.first, 0), self.some
         return flip
 
@@ -133,10 +146,10 @@ def blocks(task: Task, at: np.ndarray, longest: int, farthest: int) -> list[tupl
         where.setdefault(t, []).append(j)
     found, after = set(), {}
     for i in range(len(task.h.tokens) - 1, -1, -1):
-        here = {}
-        able = task.overlap[task.h.cue[i]]
-        for j in where.get(int(task.h.tokens[i]), ()):
-            if able[task.r.cue[j]]:
+        here, cue = {}, int(task.h.cue[i])
+        same = where.get(int(task.h.tokens[i]), ())
+        for j in same[bisect_left(same, int(task.first[cue])) : bisect_left(same, int(task.last[cue]))]:
+            if task.meet(cue, task.r.cue[j]):
                 here[j] = min(after.get(j + 1, 0) + 1, longest)
                 to = int(at[j])
                 for n in range(1, here[j] + 1):
@@ -152,6 +165,15 @@ def shifted(values: np.ndarray, i: int, k: int, n: int) -> np.ndarray:
     return np.concatenate([rest[:k], values[i : i + n], rest[k:]])
 
 
+def least_edits(h: Side, r: Side) -> int:
+    """What the two sides differ by whatever the order of their tokens: words and breaks can't stand for each other."""
+    out = 0
+    for words in (True, False):
+        a, b = ([t for t in side.tokens.tolist() if (t >= 0) == words] for side in (h, r))
+        out += max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values())
+    return out
+
+
 def edits(task: Task, longest: int = LONGEST, farthest: int = FARTHEST) -> tuple[int, int]:
     """Edits and shifts between the two sides, shifts chosen greedily: each time the one that leaves the fewest edits, as long as it saves two.
 
@@ -159,8 +181,7 @@ def edits(task: Task, longest: int = LONGEST, farthest: int = FARTHEST) -> tuple
     it takes off two edits a token or place at most, and what stands before and after its rows stays.
     """
     shifts, n, size = 0, len(task.r.tokens), len(task.h.tokens)
-    breaks = [int((side.tokens < 0).sum()) for side in (task.h, task.r)]
-    floor = abs(breaks[0] - breaks[1]) + abs(size - breaks[0] - n + breaks[1])  # whatever the order
+    floor = least_edits(task.h, task.r)
     while True:
         ahead = task.rows(task.h.tokens, task.h.cue)
         now = int(ahead[size].at(n, n)[0])
@@ -186,7 +207,7 @@ def edits(task: Task, longest: int = LONGEST, farthest: int = FARTHEST) -> tuple
         if choice is None:
             return now, shifts
         shifts += 1
-        task = Task(Side(*(shifted(v, *choice) for v in task.h)), task.r, task.overlap)
+        task = task.moved(*choice)
 
 
 def _side(cues: list[dict], names: dict[str, int]) -> tuple[Side, np.ndarray]:
@@ -202,14 +223,49 @@ def _side(cues: list[dict], names: dict[str, int]) -> tuple[Side, np.ndarray]:
     return Side(np.array(tokens, np.int64), np.array(cue, np.int64)), np.array([(x["start"], x["end"]) for x in cues], np.int64).reshape(-1, 2)
 
 
-def island_edits(cues: list[dict], longest: int = LONGEST, farthest: int = FARTHEST) -> tuple[int, int, int]:
-    """Edits, shifts and reference tokens of cues (reference, start, end, text) that stand in order of time."""
-    names: dict[str, int] = {}
-    (h, h_times), (r, r_times) = (_side([x for x in cues if x["reference"] == side], names) for side in (False, True))
-    if not len(h.tokens) or not len(r.tokens):
-        return len(h.tokens) + len(r.tokens), 0, len(r.tokens)
-    overlap = (h_times[:, None, 0] < r_times[None, :, 1]) & (r_times[None, :, 0] < h_times[:, None, 1])
-    return (*edits(Task(h, r, overlap), longest, farthest), len(r.tokens))
+def distances(tasks: list[Task]) -> np.ndarray:
+    """Edits without shifts of several pairs of sides at once, each side padded to the longest."""
+    many, rows, columns = len(tasks), max(len(t.h.tokens) for t in tasks), max(len(t.r.tokens) for t in tasks)
+    sides = [np.zeros((3, many, n), np.int64) for n in (rows, columns)]  # tokens, starts and ends of their cues
+    for k, t in enumerate(tasks):
+        for made, side, times in zip(sides, (t.h, t.r), (t.h_times, t.r_times), strict=True):
+            made[:, k, : len(side.tokens)] = side.tokens, *times[side.cue].T
+    (h, h_start, h_end), (r, r_start, r_end) = sides
+    length = np.array([len(t.h.tokens) for t in tasks])
+    places = np.arange(columns + 1, dtype=np.int32)
+    row, is_break = np.broadcast_to(places, (many, columns + 1)).copy(), r < 0
+    for i in range(rows):
+        token = h[:, i, None]
+        able = (h_start[:, i, None] < r_end) & (r_start < h_end[:, i, None]) & (is_break == (token < 0))
+        new = row + 1
+        np.minimum(new[:, 1:], row[:, :-1] + np.where(able, (r != token).astype(np.int32), FAR), out=new[:, 1:])
+        new = np.minimum.accumulate(new - places, axis=1) + places
+        row = np.where((i < length)[:, None], new, row)
+    return row[np.arange(many), [len(t.r.tokens) for t in tasks]]
+
+
+def island_edits(islands: list[list[dict]], longest: int = LONGEST, farthest: int = FARTHEST) -> list[tuple[int, int, int]]:
+    """Edits, shifts and reference tokens of islands: each its cues (reference, start, end, text) in order of time.
+
+    Islands of up to SMALL tokens a side are compared TOGETHER many at a time; only those whose edits a shift may lower are searched one by one.
+    """
+    found: list[tuple[int, int, int]] = []
+    sized: dict[int, list[tuple[int, Task]]] = {}
+    for cues in islands:
+        names: dict[str, int] = {}
+        (h, h_times), (r, r_times) = (_side([x for x in cues if x["reference"] == side], names) for side in (False, True))
+        if len(h.tokens) and len(r.tokens):
+            task = Task(h, r, h_times, r_times)
+            sized.setdefault(max(len(h.tokens), len(r.tokens)).bit_length(), []).append((len(found), task))
+        found.append((len(h.tokens) + len(r.tokens), 0, len(r.tokens)))
+    for bits, group in sized.items():
+        for k in range(0, len(group), TOGETHER):
+            part = group[k : k + TOGETHER]
+            known = distances([t for _, t in part]).tolist() if 1 << bits <= SMALL else [None] * len(part)
+            for (at, task), now in zip(part, known, strict=True):
+                plain = now is not None and now - 1 <= least_edits(task.h, task.r)
+                found[at] = (*((now, 0) if plain else edits(task, longest, farthest)), len(task.r.tokens))
+    return found
 
 
 def subtitle_edit_rate(hypothesis: DataFrame, reference: DataFrame, language: Column | None = None, cased: bool = False, longest: int = LONGEST, farthest: int = FARTHEST) -> DataFrame:
@@ -240,7 +296,7 @@ def subtitle_edit_rate(hypothesis: DataFrame, reference: DataFrame, language: Co
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [island_edits(c, longest, farthest) for c in batch.column(1).to_pylist()]
+            found = island_edits(batch.column(1).to_pylist(), longest, farthest)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], pa.int64()) for k in range(3)]], ["video_id", "edits", "shifts", "ref_tokens"])
 
     kind = listed.schema["video_id"].dataType.simpleString()

@@ -17,7 +17,7 @@ def distance(task, tokens, cue):
     for t, c in zip(tokens, cue, strict=True):
         new = [row[0] + 1]
         for j in range(n):
-            able = task.overlap[c, task.r.cue[j]] and (task.r.tokens[j] < 0) == (t < 0)
+            able = task.meet(c, task.r.cue[j]) and (task.r.tokens[j] < 0) == (t < 0)
             new.append(min(row[j + 1] + 1, new[-1] + 1, row[j] + (int(task.r.tokens[j] != t) if able else E.FAR)))
         row = new
     return row[n]
@@ -46,13 +46,13 @@ def changed(r, cues):
             tokens = tokens[k:] + tokens[:k]
         late = r.randint(-300, 300)
         out.append((max(a + late, 0), b + late, " ".join(tokens)))
-    return out
+    return sorted(out)
 
 
 def task_of(h, r):
     names = {}
     (hs, ht), (rs, rt) = (E._side([{"start": a, "end": b, "text": t} for a, b, t in cues], names) for cues in (h, r))
-    return E.Task(hs, rs, (ht[:, None, 0] < rt[None, :, 1]) & (rt[None, :, 0] < ht[:, None, 1]))
+    return E.Task(hs, rs, ht, rt)
 
 
 def test_distances_in_bands():
@@ -83,7 +83,7 @@ def greedy(task):
         if choice is None:
             return now, shifts
         shifts += 1
-        task = E.Task(E.Side(*(E.shifted(v, *choice) for v in task.h)), task.r, task.overlap)
+        task = task.moved(*choice)
 
 
 def test_shifts_by_full_search():
@@ -98,6 +98,22 @@ def test_shifts_by_full_search():
     assert moved > 10
 
 
+def test_islands_together(monkeypatch):
+    r = random.Random(5)
+    islands, wanted = [], []
+    for _ in range(60):
+        ref = random_cues(r, r.randint(0, 4), 6)
+        hyp = changed(r, ref) if r.random() < 0.9 else []
+        islands.append([{"reference": side, "start": a, "end": b, "text": t} for side, cues in ((False, hyp), (True, ref)) for a, b, t in cues])
+        task = task_of(hyp, ref) if hyp and ref else None
+        tokens = sum(len(t.replace("\n", " ").split(" ")) + t.count("\n") + 1 for _, _, t in ref)
+        wanted.append((*E.edits(task), tokens) if task else (sum(len(t.replace("\n", " ").split(" ")) + t.count("\n") + 1 for _, _, t in hyp) + tokens, 0, tokens))
+    for small, together in ((256, 256), (16, 5), (0, 1)):
+        monkeypatch.setattr(E, "SMALL", small)
+        monkeypatch.setattr(E, "TOGETHER", together)
+        assert E.island_edits(islands) == wanted
+
+
 def test_known_rates(spark):
     ref = [(1, 1, 0, 1000, "Hello, world"), (1, 2, 1000, 2000, "how are\nyou today"), (2, 1, 0, 500, "one two"), (3, 1, 0, 900, "a b c d e f"), (4, 1, 0, 100, "only here"), (5, 1, 0, 100, None), (6, 1, 5, 5, "x y")]
     hyp = [
