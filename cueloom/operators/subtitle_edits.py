@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,62 +211,83 @@ def edits(task: Task, longest: int = LONGEST, farthest: int = FARTHEST) -> tuple
         task = task.moved(*choice)
 
 
-def _side(cues: list[dict], names: dict[str, int]) -> tuple[Side, np.ndarray]:
-    tokens, cue = [], []
-    for c, x in enumerate(cues):
-        lines = [line.split(" ") for line in x["text"].split("\n") if line]
-        for k, line in enumerate(lines):
-            tokens += [names.setdefault(w, len(names)) for w in line]
-            tokens.append(LINE if k < len(lines) - 1 else CUE)
-            cue += [c] * (len(line) + 1)
-        if not lines:
-            tokens.append(CUE), cue.append(c)
-    return Side(np.array(tokens, np.int64), np.array(cue, np.int64)), np.array([(x["start"], x["end"]) for x in cues], np.int64).reshape(-1, 2)
-
-
-def distances(tasks: list[Task]) -> np.ndarray:
-    """Edits without shifts of several pairs of sides at once, each side padded to the longest."""
-    many, rows, columns = len(tasks), max(len(t.h.tokens) for t in tasks), max(len(t.r.tokens) for t in tasks)
-    sides = [np.zeros((3, many, n), np.int64) for n in (rows, columns)]  # tokens, starts and ends of their cues
-    for k, t in enumerate(tasks):
-        for made, side, times in zip(sides, (t.h, t.r), (t.h_times, t.r_times), strict=True):
-            made[:, k, : len(side.tokens)] = side.tokens, *times[side.cue].T
-    (h, h_start, h_end), (r, r_start, r_end) = sides
-    length = np.array([len(t.h.tokens) for t in tasks])
-    places = np.arange(columns + 1, dtype=np.int32)
-    row, is_break = np.broadcast_to(places, (many, columns + 1)).copy(), r < 0
-    for i in range(rows):
-        token = h[:, i, None]
-        able = (h_start[:, i, None] < r_end) & (r_start < h_end[:, i, None]) & (is_break == (token < 0))
+def distances(h: np.ndarray, r: np.ndarray, h_size: np.ndarray, r_size: np.ndarray) -> np.ndarray:
+    """Edits without shifts of several pairs of sides at once: [tokens, starts and ends of their cues; pair; place], padded; sizes: tokens of each."""
+    places = np.arange(r.shape[2] + 1, dtype=np.int32)
+    row, is_break = np.broadcast_to(places, (len(h_size), len(places))).copy(), r[0] < 0
+    for i in range(h.shape[2]):
+        token, start, end = (x[:, i, None] for x in h)
+        able = (start < r[2]) & (r[1] < end) & (is_break == (token < 0))
         new = row + 1
-        np.minimum(new[:, 1:], row[:, :-1] + np.where(able, (r != token).astype(np.int32), FAR), out=new[:, 1:])
+        np.minimum(new[:, 1:], row[:, :-1] + np.where(able, (r[0] != token).astype(np.int32), FAR), out=new[:, 1:])
         new = np.minimum.accumulate(new - places, axis=1) + places
-        row = np.where((i < length)[:, None], new, row)
-    return row[np.arange(many), [len(t.r.tokens) for t in tasks]]
+        row = np.where((i < h_size)[:, None], new, row)
+    return row[np.arange(len(r_size)), r_size]
 
 
-def island_edits(islands: list[list[dict]], longest: int = LONGEST, farthest: int = FARTHEST) -> list[tuple[int, int, int]]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of texts in a row, and the text of each: words between spaces as numbers, LINE for a line's end and CUE for a text's."""
+    marked = pc.binary_join_element_wise(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \x01 "), pa.scalar("\x02", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    split = pc.split_pattern(marked, " ")
+    flat = split.flatten()
+    some = pc.not_equal(flat, "")
+    coded = flat.filter(some).dictionary_encode()
+    names = coded.dictionary
+    number = np.arange(len(names))
+    for mark, name in ((LINE, "\x01"), (CUE, "\x02")):
+        number[pc.equal(names, name).to_numpy(zero_copy_only=False)] = mark
+    return number[coded.indices.to_numpy()], pc.list_parent_indices(split).filter(some).to_numpy().astype(np.int64)
+
+
+def island_edits(islands: pa.ListArray, longest: int = LONGEST, farthest: int = FARTHEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edits, shifts and reference tokens of islands: each its cues (reference, start, end, text) in order of time.
 
     Islands of up to SMALL tokens a side are compared TOGETHER many at a time; only those whose edits a shift may lower are searched one by one.
     """
-    found: list[tuple[int, int, int]] = []
-    sized: dict[int, list[tuple[int, Task]]] = {}
-    for cues in islands:
-        names: dict[str, int] = {}
-        (h, h_times), (r, r_times) = (_side([x for x in cues if x["reference"] == side], names) for side in (False, True))
-        if len(h.tokens) and len(r.tokens):
-            task = Task(h, r, h_times, r_times)
-            sized.setdefault(max(len(h.tokens), len(r.tokens)).bit_length(), []).append((len(found), task))
-        found.append((len(h.tokens) + len(r.tokens), 0, len(r.tokens)))
-    for bits, group in sized.items():
-        for k in range(0, len(group), TOGETHER):
-            part = group[k : k + TOGETHER]
-            known = distances([t for _, t in part]).tolist() if 1 << bits <= SMALL else [None] * len(part)
-            for (at, task), now in zip(part, known, strict=True):
-                plain = now is not None and now - 1 <= least_edits(task.h, task.r)
-                found[at] = (*((now, 0) if plain else edits(task, longest, farthest)), len(task.r.tokens))
-    return found
+    many, cues = len(islands), islands.flatten()
+    island = pc.list_parent_indices(islands).to_numpy().astype(np.int64)
+    is_reference = cues.field("reference").to_numpy(zero_copy_only=False).astype(bool)
+    times = np.stack([cues.field(c).to_numpy() for c in ("start", "end")])
+    tokens, cue = _tokens(cues.field("text"))
+    side = is_reference[cue].astype(np.int64)
+    order = np.lexsort((side, island[cue]))  # stable: the tokens of a side stay in order
+    tokens, cue, side = tokens[order], cue[order], side[order]
+    of = island[cue]
+    sizes = np.stack([np.bincount(of[side == k], minlength=many) for k in (0, 1)])
+    begins = np.cumsum(sizes.sum(axis=0)) - sizes.sum(axis=0)
+    begins = np.stack([begins, begins + sizes[0]])
+    # Whatever the order of tokens, each kind differs by as much.
+    floor, kinds = np.zeros(many, np.int64), int(tokens.max(initial=0)) + 3
+    for words in (True, False):
+        keys = [of[m] * kinds + tokens[m] + 2 for m in ((side == k) & ((tokens >= 0) == words) for k in (0, 1))]
+        (a, a_n), (b, b_n) = (np.unique(k, return_counts=True) for k in keys)
+        both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        shared = np.bincount(both // kinds, np.minimum(a_n[i], b_n[j]), many)
+        floor += (np.maximum(*(np.bincount(k // kinds, minlength=many) for k in keys)) - shared).astype(np.int64)
+    edits_, shifts = sizes.sum(axis=0), np.zeros(many, np.int64)
+    able = (sizes > 0).all(axis=0)
+    largest = sizes.max(axis=0)
+
+    def padded(k: int, rows: np.ndarray) -> np.ndarray:
+        width = sizes[k, rows].max()
+        at = np.minimum(begins[k, rows, None] + np.arange(width), len(tokens) - 1)
+        return np.stack([tokens[at], *times[:, cue[at]]])
+
+    alone = np.flatnonzero(able & (largest > SMALL)).tolist()
+    small = np.flatnonzero(able & (largest <= SMALL))
+    small = small[np.argsort(largest[small], kind="stable")]
+    for k in range(0, len(small), TOGETHER):
+        rows = small[k : k + TOGETHER]
+        edits_[rows] = distances(padded(0, rows), padded(1, rows), *sizes[:, rows])
+        alone += rows[edits_[rows] - 1 > floor[rows]].tolist()
+    for x in alone:
+        sides, spans = [], []
+        for k in (0, 1):
+            own = slice(begins[k, x], begins[k, x] + sizes[k, x])
+            names, place = np.unique(cue[own], return_inverse=True)
+            sides.append(Side(tokens[own], place)), spans.append(times[:, names].T)
+        edits_[x], shifts[x] = edits(Task(*sides, *spans), longest, farthest)
+    return edits_, shifts, sizes[1]
 
 
 def subtitle_edit_rate(hypothesis: DataFrame, reference: DataFrame, language: Column | None = None, cased: bool = False, longest: int = LONGEST, farthest: int = FARTHEST) -> DataFrame:
@@ -280,9 +302,12 @@ def subtitle_edit_rate(hypothesis: DataFrame, reference: DataFrame, language: Co
     """
     def placed(cues: DataFrame, is_reference: bool) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
-        if not cased:
-            text = F.regexp_replace(F.lower(text), r"\p{P}", "")
-        lines = F.transform(F.split(text, "\n"), lambda line: F.array_join(metric_tokens(line, language), " "))
+        text = F.translate(text, "\x01\x02", "") if cased else F.regexp_replace(F.lower(text), r"[\p{P}\x01\x02]", "")
+        if language is None:
+            lines = F.split(F.regexp_replace(text, r"(?U)[^\S\n]+", " "), "\n")
+        else:
+            lines = F.transform(F.split(text, "\n"), lambda line: F.array_join(metric_tokens(line, language), " "))
+        lines = F.filter(lines, lambda line: ~line.isin("", " "))
         end = F.greatest("end_ms", F.col("start_ms") + 1)
         return cues.filter("video_id is not null and start_ms is not null and end_ms is not null").select("video_id", F.lit(is_reference).alias("reference"), F.col("start_ms").alias("start"), end.alias("end"), "idx", F.array_join(lines, "\n").alias("text"))
 
@@ -296,8 +321,7 @@ def subtitle_edit_rate(hypothesis: DataFrame, reference: DataFrame, language: Co
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = island_edits(batch.column(1).to_pylist(), longest, farthest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], pa.int64()) for k in range(3)]], ["video_id", "edits", "shifts", "ref_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, island_edits(batch.column(1), longest, farthest))], ["video_id", "edits", "shifts", "ref_tokens"])
 
     kind = listed.schema["video_id"].dataType.simpleString()
     measured = listed.select("video_id", "cues").mapInArrow(measure, f"video_id {kind}, edits long, shifts long, ref_tokens long")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cueloom.operators import subtitle_edits as E
@@ -51,8 +52,16 @@ def changed(r, cues):
 
 def task_of(h, r):
     names = {}
-    (hs, ht), (rs, rt) = (E._side([{"start": a, "end": b, "text": t} for a, b, t in cues], names) for cues in (h, r))
-    return E.Task(hs, rs, ht, rt)
+    sides, times = [], []
+    for cues in (h, r):
+        tokens, cue = [], []
+        for c, (_, _, text) in enumerate(cues):
+            for k, line in enumerate(text.split("\n")):
+                tokens += [E.LINE] * (k > 0) + [names.setdefault(w, len(names)) for w in line.split(" ")]
+            tokens.append(E.CUE)
+            cue += [c] * (len(tokens) - len(cue))
+        sides.append(E.Side(np.array(tokens), np.array(cue))), times.append(np.array([(a, b) for a, b, _ in cues]))
+    return E.Task(*sides, *times)
 
 
 def test_distances_in_bands():
@@ -111,7 +120,8 @@ def test_islands_together(monkeypatch):
     for small, together in ((256, 256), (16, 5), (0, 1)):
         monkeypatch.setattr(E, "SMALL", small)
         monkeypatch.setattr(E, "TOGETHER", together)
-        assert E.island_edits(islands) == wanted
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("reference", pa.bool_()), ("text", pa.string())]))
+        assert [*zip(*(x.tolist() for x in E.island_edits(pa.array(islands, kind))), strict=True)] == wanted
 
 
 def test_known_rates(spark):
