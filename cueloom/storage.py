@@ -53,6 +53,12 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has marked the folder as written whole."""
+    files, at = _files(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables materialized inside go when it ends: what is to stay is written before, to a path from outside."""

@@ -1,15 +1,19 @@
-"""Incremental ingest of subtitle files and streaming memory upserts."""
+"""Incremental ingest and translation of subtitle files, and streaming memory upserts."""
 
 from __future__ import annotations
 
 import hashlib
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.operators.memory import MEMORY_CAP, upsert_memory
+from cueloom.operators.memory import MEMORY_CAP, admit, upsert_memory
+from cueloom.operators.ordering import numbered
+from cueloom.operators.translation import Client, Settings, translate
 from cueloom.sources.subtitles import decode_subtitles, parse_srt
-from cueloom.storage import Versions
+from cueloom.storage import Versions, is_written
 
 
 def subtitle_stream(spark: SparkSession, folder: str, glob: str = "*.srt") -> DataFrame:
@@ -66,3 +70,24 @@ def stream_memory(rows: DataFrame, memory: MemoryTable, checkpoint: str):
     """A query that upserts each micro-batch of a stream (seq, source, target, score); the checkpoint names the stream."""
     add = lambda batch, batch_id: memory.upsert(batch, batch_id, checkpoint)
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def translate_subtitles(stream: DataFrame, client: Client, out: str, checkpoint: str, memory: MemoryTable, settings: Settings = Settings(), sleep: Callable = time.sleep):
+    """A query that translates SRT texts it has not seen yet (video_id, and text or the file's content) with a memory that grows batch by batch.
+
+    Cues go to the Parquet table ``out`` with their batch, then the memory takes what it admits. A batch that runs again after its cues were
+    written translates nothing: it goes on with those, so neither table changes and no model is asked twice.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        spark, path = batch.sparkSession, f"{out}/batch={batch_id}"
+        if not is_written(spark, path):
+            texts = decode_subtitles(batch) if "content" in batch.columns else batch
+            known = memory.read().withColumnRenamed("first_seq", "seq") if memory.versions.last() else None
+            done = translate(parse_srt(texts.select("video_id", "text")), client, known, settings=settings, sleep=sleep)
+            done.cues.write.mode("overwrite").parquet(path)
+        cues = spark.read.parquet(path)
+        rows = admit(cues.select("video_id", "idx", F.col("text").alias("source"), "target", "score"), settings.scoring)
+        memory.upsert(numbered(rows, "video_id", "idx").select("seq", "source", "target", "score"), batch_id, checkpoint)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,6 +12,7 @@ from cueloom.operators import memory as M
 from cueloom.operators import runs
 from cueloom.operators import translation as W
 from cueloom.storage import new_path
+from cueloom.streaming import incremental
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have the tests' folder
 CUES = "video_id string, idx int, start_ms long, end_ms long, text string"
@@ -113,15 +114,15 @@ def test_scores_and_stores(spark):
     got = {(r.video_id, r.idx): (r.target, r.score, r.failed) for r in done.cues.collect()}
     assert got["a", 1] == ("improved", 40.0, False) and got["a", 2][0] == "A POOR THING THIS<>+M+G"
     assert got["a", 3] == ("GOOD WORDS ARE HERE<a poor thing this>+M+G", 95.0, False)
-    held = {r.source: (r.seq, r.target, r.score) for r in done.memory.collect()}
+    held = {r.source: (r.seq, r.target, r.score) for r in done.memory().collect()}
     assert held["good words are here"] == (7, got["a", 3][0], 99.0)
     assert held["a poor thing this"][1:] == (got["b", 2][0], 40.0) and "two words" not in held and len(held) == 4
-    assert [(r.term, r.action) for r in done.glossary.orderBy("seq").collect()] == [("old", "translate"), ("poor", "keep")]
+    assert [(r.term, r.action) for r in done.glossary().orderBy("seq").collect()] == [("old", "translate"), ("poor", "keep")]
 
 
 def test_without_cues(spark):
     none = W.translate(cues_of(spark, {}), shouting, settings=W.Settings(), sleep=no_wait)
-    assert none.cues.count() == none.memory.count() == none.glossary.count() == 0
+    assert none.cues.count() == none.memory().count() == none.glossary().count() == 0
     nulls = spark.createDataFrame([(None, 1, 0, 10, "x"), ("v", 1, None, None, None), ("v", 2, 0, 10, "ok")], CUES)
     got = W.translate(nulls, shouting, settings=W.Settings(terms=False, scoring=False), sleep=no_wait).cues.orderBy("idx").collect()
     assert [(r.text, r.target) for r in got] == [("", "<>"), ("ok", "OK<>")]
@@ -132,6 +133,12 @@ def test_answers_are_read():
     assert W.read_strings('So:\n```json\n["a"]\n```', 1) == ["a"] and W.read_strings('I say ["[a]"] and [b]', 1) == ["[a]"] and W.read_strings("", 0) is None
 
 
+def test_scores_and_terms_are_read():
+    assert W.read_scores('[{"i": 1, "score": 90}, {"i": 0, "score": 1}, {"i": 2}, {"i": 1, "score": 5}, {"i": 3, "score": 7.5}]') == {1: 90.0, 3: 7.5}
+    assert W.read_scores('see [{"i": 2, "score": 1}] and') == {2: 1.0} and W.read_scores('```\nnone\n``` [{"i": 2, "score": 1}]') == {} and W.read_scores("no") == {}
+    assert W.read_terms('```json\n[{"term": "a", "action": "keep"}]\n```') == [("a", "keep", "", "")] and W.read_terms('[{"term": "a"}]') == [] and W.read_terms("") == []
+
+
 def payloads(spark, texts):
     made = lambda lines: json.dumps({"utterances": [{"transcript": t, "start_time": k * 1000, "end_time": k * 1000 + 900} for k, t in enumerate(lines)]})
     return spark.createDataFrame([(v, made(lines)) for v, lines in texts.items()], "path string, payload string")
@@ -189,6 +196,31 @@ def test_lost_runs_leave_earlier_steps(spark):
     assert got == {"v1": (True, True), "v2": (True, False)}
 
 
+def test_stream_goes_on(spark):
+    """Files that arrive later are translated with the memory of the earlier ones; a batch that runs again asks for nothing."""
+    base = new_path(spark, "stream")
+    settings = W.Settings(terms=False, scoring=False)
+    client, counter = calls_of(spark)
+    srt = lambda *lines: "\n\n".join(f"{k}\n00:00:0{k},000 --> 00:00:0{k},900\n{t}" for k, t in enumerate(lines, 1))
+    schema = "video_id string, text string"
+
+    def run(table=f"{base}/memory", out=f"{base}/cues", checkpoint=f"{base}/checkpoint"):
+        stream = spark.readStream.schema(schema).parquet(f"{base}/srt")
+        incremental.translate_subtitles(stream, client, out, checkpoint, incremental.MemoryTable(spark, table), settings, no_wait).awaitTermination()
+        rows = {(r.video_id, r.idx): r.target for r in spark.read.parquet(out).collect()}
+        return rows, {r.source: r.target for r in incremental.MemoryTable(spark, table).read().collect()}
+
+    spark.createDataFrame([("v1", srt("one two three", "short"))], schema).write.mode("append").parquet(f"{base}/srt")
+    assert run() == ({("v1", 1): "ONE TWO THREE<>", ("v1", 2): "SHORT<>"}, {"one two three": "ONE TWO THREE<>"})
+    spark.createDataFrame([("v2", srt("one two three four"))], schema).write.mode("append").parquet(f"{base}/srt")
+    rows, held = run()
+    assert rows["v2", 1] == "ONE TWO THREE FOUR<>+M" and len(rows) == 3 and set(held) == {"one two three", "one two three four"} and counter.value == 2
+    again = run(checkpoint=f"{base}/checkpoint")  # nothing new
+    assert again == (rows, held) and counter.value == 2
+    rerun = run(checkpoint=f"{base}/other")  # its first batch finds the cues of batch 0 there, and takes them
+    assert rerun[0] == rows and counter.value == 2
+
+
 def test_batches_report(spark):
     store = runs.StepStore(spark, new_path(spark, "steps"))
     inventory = spark.createDataFrame([("in/a.mp4", "in"), ("in/sub/b.MKV", "in"), ("in/c.mov", "in"), ("in/d.mp4", "in"), ("in/a.mp4", "in"), ("in/note.txt", "in")], "path string, root string")
