@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cueloom.operators.ordering import numbered
 from cueloom.storage import materialize, new_path, table
 
 #: Reference directions; rows that they are fitted on at most.
@@ -250,7 +251,7 @@ def hard_negatives(
     Each row stores its angles to the references (fitted on a sample of SAMPLE rows; they decide about
     speed, not results). Rows lie sorted by label, nearest reference and angle, so that a window of
     them has narrow angles; a window meets only anchors whose score bounds overlap what they
-    look for. Anchors are searched ANCHORS at a time, each time over all rows: only those, and their
+    look for. Anchors are numbered and searched ANCHORS at a time, each time over all rows: only those, and their
     best rows, come to the driver and are broadcast. Tasks keep the best rows of each anchor.
     """
     spark = vectors.sparkSession
@@ -264,13 +265,13 @@ def hard_negatives(
         known = {w: directions(np.stack([v for v in whole if len(v) == w]), w) for w in {len(v) for v in whole}}
     order = ["label", "width", "cell", "angle", "id"]
     stored = materialize(given.mapInArrow(_prepare(scale, known), _rows_type(label_type)).repartitionByRange(*order).sortWithinPartitions(*order), "angles")
-    listed = stored.filter("anchor").drop("anchor")
+    listed = materialize(numbered(stored.filter("anchor").drop("anchor"), "id", name="n"), "anchors")
     rounds, path = -(-listed.count() // ANCHORS), new_path(spark, "negatives")
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not rounds:
         return spark.createDataFrame([], schema)
     for part in range(rounds):
-        sides = _sides(listed.filter(F.pmod(F.xxhash64("id", F.lit("round")), F.lit(rounds)) == part).toArrow())
+        sides = _sides(listed.filter((F.col("n") > part * ANCHORS) & (F.col("n") <= (part + 1) * ANCHORS)).toArrow())
         near = _best(stored, _raised(stored, sides, positives, True), positives, True).toArrow()
         sides = {w: _ranges(s, near, positives, share) for w, s in sides.items()}
         far = _best(stored, _raised(stored, sides, negatives, False), negatives, False)
