@@ -234,9 +234,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     names = sorted(r["language"] for r in sizes)
     if not names:
         return Model([], [np.zeros((n, 0), np.float32) for n in SIZES], np.zeros(0, np.float32))
-    rates = [(r["language"], min(1 << 20, -(-(sample << 20) // (len(names) * r["count"])))) for r in sizes]
+    rates = [(r["language"], min(1 << 40, -(-(sample << 40) // (len(names) * r["count"])))) for r in sizes]
     rate = docs.sparkSession.createDataFrame(rates, "language string, rate long")
-    chosen = rows.join(F.broadcast(rate), "language").filter(F.pmod("digest", F.lit(1 << 20)) < F.col("rate"))
+    chosen = rows.join(F.broadcast(rate), "language").filter(F.pmod("digest", F.lit(1 << 40)) < F.col("rate"))
     learnt = chosen.dropDuplicates(["language", "digest"]).select("language", F.lower("body").alias("body"))
     counted = learnt.mapInArrow(_count(names), "language int, order int, slot int, n long").groupBy("language", "order", "slot").agg(F.sum("n").alias("n")).toArrow()
     language, order, slot, n = (counted[c].to_numpy() for c in ("language", "order", "slot", "n"))
