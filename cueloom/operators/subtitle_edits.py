@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from cueloom.operators.quality import metric_tokens
 
 LONGEST, FARTHEST = 10, 50
-LINE, CUE = -1, -2
-FAR = 1 << 20
+LINE, CUE, EMPTY = -1, -2, -3
+FAR, BARRED = 1 << 20, 1 << 13
 #: Tokens of a side up to which islands are compared several at a time, and how many.
 SMALL, TOGETHER = 256, 256
 
@@ -211,35 +211,59 @@ def edits(task: Task, longest: int = LONGEST, farthest: int = FARTHEST) -> tuple
         task = task.moved(*choice)
 
 
-def distances(h: np.ndarray, r: np.ndarray, h_size: np.ndarray, r_size: np.ndarray) -> np.ndarray:
-    """Edits without shifts of several pairs of sides at once: [tokens, starts and ends of their cues; pair; place], padded; sizes: tokens of each."""
-    places = np.arange(r.shape[2] + 1, dtype=np.int32)
+def distances(h: np.ndarray, r: np.ndarray, h_size: np.ndarray, r_size: np.ndarray, timed: bool = True) -> np.ndarray:
+    """Edits without shifts of several pairs of sides of up to SMALL tokens at once: [tokens, starts and ends of their cues; pair; place], padded.
+
+    sizes: tokens of each. Not ``timed``: all cues of a pair overlap.
+    """
+    places = np.arange(r.shape[2] + 1, dtype=np.int16)
     row, is_break = np.broadcast_to(places, (len(h_size), len(places))).copy(), r[0] < 0
+    tokens = r[0].astype(np.int32)
+    last = int(h_size.min())
     for i in range(h.shape[2]):
-        token, start, end = (x[:, i, None] for x in h)
-        able = (start < r[2]) & (r[1] < end) & (is_break == (token < 0))
-        new = row + 1
-        np.minimum(new[:, 1:], row[:, :-1] + np.where(able, (r[0] != token).astype(np.int32), FAR), out=new[:, 1:])
-        new = np.minimum.accumulate(new - places, axis=1) + places
-        row = np.where((i < h_size)[:, None], new, row)
+        token = h[0, :, i, None].astype(np.int32)
+        paid = (tokens != token).astype(np.int16)
+        unable = is_break != (token < 0)
+        if timed:
+            unable |= (h[1, :, i, None] >= r[2]) | (r[1] >= h[2, :, i, None])
+        paid[unable] = BARRED
+        new = row + np.int16(1)
+        np.minimum(new[:, 1:], row[:, :-1] + paid, out=new[:, 1:])
+        new -= places
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += places
+        row = new if i < last else np.where((i < h_size)[:, None], new, row)
     return row[np.arange(len(r_size)), r_size]
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of texts in a row, and the text of each: words between spaces as numbers, LINE for a line's end and CUE for a text's."""
+def _tokens(texts: pa.Array, cased: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of texts in a row, and the text of each: words between white space as numbers, LINE between lines that have words, CUE at a text's end.
+
+    Unless ``cased``, words are compared in lower case and without punctuation; each distinct word is looked at once.
+    """
     marked = pc.binary_join_element_wise(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \x01 "), pa.scalar("\x02", pa.large_string()), pa.scalar(" ", pa.large_string()))
-    split = pc.split_pattern(marked, " ")
-    flat = split.flatten()
-    some = pc.not_equal(flat, "")
-    coded = flat.filter(some).dictionary_encode()
+    split = pc.utf8_split_whitespace(marked)
+    coded = split.flatten().dictionary_encode()
     names = coded.dictionary
-    number = np.arange(len(names))
-    for mark, name in ((LINE, "\x01"), (CUE, "\x02")):
-        number[pc.equal(names, name).to_numpy(zero_copy_only=False)] = mark
-    return number[coded.indices.to_numpy()], pc.list_parent_indices(split).filter(some).to_numpy().astype(np.int64)
-
-
-def island_edits(islands: pa.ListArray, longest: int = LONGEST, farthest: int = FARTHEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    breaks = [pc.equal(names, name).to_numpy(zero_copy_only=False) for name in ("\x01", "\x02")]
+    if not cased:
+        names = pc.replace_substring_regex(pc.utf8_lower(names), r"\p{P}", "")
+    number = names.dictionary_encode().indices.to_numpy().astype(np.int64)
+    number[pc.equal(names, "").to_numpy(zero_copy_only=False)] = EMPTY
+    for mark, found in zip((LINE, CUE), breaks, strict=True):
+        number[found] = mark
+    tokens, text = number[coded.indices.to_numpy()], pc.list_parent_indices(split).to_numpy().astype(np.int64)
+    some = tokens != EMPTY
+    tokens, text = tokens[some], text[some]
+    # A line's end stands between words of its text; the last of several counts.
+    words = np.cumsum(tokens >= 0)
+    before = words - np.concatenate([[0], words])[np.searchsorted(text, text)] > 0
+    after = np.concatenate([tokens[1:] >= 0, [False]])
+    kept = (tokens != LINE) | before & after
+    return tokens[kept], text[kept]
+
+
+def island_edits(islands: pa.ListArray, longest: int = LONGEST, farthest: int = FARTHEST, cased: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edits, shifts and reference tokens of islands: each its cues (reference, start, end, text) in order of time.
 
     Islands of up to SMALL tokens a side are compared TOGETHER many at a time; only those whose edits a shift may lower are searched one by one.
@@ -248,7 +272,7 @@ def island_edits(islands: pa.ListArray, longest: int = LONGEST, farthest: int =
     island = pc.list_parent_indices(islands).to_numpy().astype(np.int64)
     is_reference = cues.field("reference").to_numpy(zero_copy_only=False).astype(bool)
     times = np.stack([cues.field(c).to_numpy() for c in ("start", "end")])
-    tokens, cue = _tokens(cues.field("text"))
+    tokens, cue = _tokens(cues.field("text"), cased)
     side = is_reference[cue].astype(np.int64)
     order = np.lexsort((side, island[cue]))  # stable: the tokens of a side stay in order
     tokens, cue, side = tokens[order], cue[order], side[order]
@@ -275,10 +299,15 @@ def island_edits(islands: pa.ListArray, longest: int = LONGEST, farthest: int =
 
     alone = np.flatnonzero(able & (largest > SMALL)).tolist()
     small = np.flatnonzero(able & (largest <= SMALL))
-    small = small[np.argsort(largest[small], kind="stable")]
-    for k in range(0, len(small), TOGETHER):
-        rows = small[k : k + TOGETHER]
-        edits_[rows] = distances(padded(0, rows), padded(1, rows), *sizes[:, rows])
+    bounds = pc.list_value_length(islands).to_numpy()
+    first = np.minimum(np.cumsum(bounds) - bounds, max(len(island) - 1, 0))
+    apart = np.maximum.reduceat(times[0], first) >= np.minimum.reduceat(times[1], first) if len(island) else np.zeros(many, bool)
+    small = small[np.lexsort((largest[small], apart[small]))]
+    cuts = [*range(0, len(small), TOGETHER), len(small)]
+    edge = int((~apart[small]).sum())  # pairs whose cues all overlap come first
+    for k, j in zip(sorted({*cuts, edge}), sorted({*cuts, edge})[1:], strict=False):
+        rows = small[k:j]
+        edits_[rows] = distances(padded(0, rows), padded(1, rows), *sizes[:, rows], timed=k >= edge)
         alone += rows[edits_[rows] - 1 > floor[rows]].tolist()
     for x in alone:
         sides, spans = [], []
@@ -302,14 +331,11 @@ def subtitle_edit_rate(hypothesis: DataFrame, reference: DataFrame, language: Co
     """
     def placed(cues: DataFrame, is_reference: bool) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
-        text = F.translate(text, "\x01\x02", "") if cased else F.regexp_replace(F.lower(text), r"[\p{P}\x01\x02]", "")
-        if language is None:
-            lines = F.split(F.regexp_replace(text, r"(?U)[^\S\n]+", " "), "\n")
-        else:
-            lines = F.transform(F.split(text, "\n"), lambda line: F.array_join(metric_tokens(line, language), " "))
-        lines = F.filter(lines, lambda line: ~line.isin("", " "))
+        text = F.translate(text, "\x01\x02", "")  # these mark breaks
+        if language is not None:
+            text = F.array_join(F.transform(F.split(text, "\n"), lambda line: F.array_join(metric_tokens(line, language), " ")), "\n")
         end = F.greatest("end_ms", F.col("start_ms") + 1)
-        return cues.filter("video_id is not null and start_ms is not null and end_ms is not null").select("video_id", F.lit(is_reference).alias("reference"), F.col("start_ms").alias("start"), end.alias("end"), "idx", F.array_join(lines, "\n").alias("text"))
+        return cues.filter("video_id is not null and start_ms is not null and end_ms is not null").select("video_id", F.lit(is_reference).alias("reference"), F.col("start_ms").alias("start"), end.alias("end"), "idx", text.alias("text"))
 
     both = placed(hypothesis, False).unionByName(placed(reference, True))
     order = Window.partitionBy("video_id").orderBy("start", "end", "reference", "idx")
@@ -321,7 +347,7 @@ def subtitle_edit_rate(hypothesis: DataFrame, reference: DataFrame, language: Co
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, island_edits(batch.column(1), longest, farthest))], ["video_id", "edits", "shifts", "ref_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, island_edits(batch.column(1), longest, farthest, cased))], ["video_id", "edits", "shifts", "ref_tokens"])
 
     kind = listed.schema["video_id"].dataType.simpleString()
     measured = listed.select("video_id", "cues").mapInArrow(measure, f"video_id {kind}, edits long, shifts long, ref_tokens long")
