@@ -35,8 +35,8 @@ def retimed(hypothesis: DataFrame, reference: DataFrame) -> DataFrame:
     begins = reference.filter(timed).select("video_id", F.col("start_ms").alias("at"), F.lit(0).alias("kind"), F.col("idx").cast(hypothesis.schema["idx"].dataType).alias("h_idx"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("word"), F.col("idx").alias("cue"))
     order = Window.partitionBy("video_id").orderBy("at", "kind", "h_idx", "k")
     before = F.last("cue", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("cue", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    placed = begins.unionByName(words).withColumn("idx", F.coalesce(before, after)).filter("kind = 1")
+    earliest = F.first("cue", True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = begins.unionByName(words).withColumn("idx", F.coalesce(before, earliest)).filter("kind = 1")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h_idx", "k", "word"))), lambda x: x["word"]), " ")
     dealt = placed.groupBy("video_id", "idx").agg(said.alias("hypothesis")).withColumnsRenamed({"video_id": "v", "idx": "i"})
     wanted = reference.filter(timed).select("video_id", "idx", F.coalesce("text", F.lit("")).alias("reference"))
