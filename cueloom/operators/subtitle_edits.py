@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueloom.operators.quality import metric_tokens
+from cueloom.operators.quality import metric_tokens, word_distance
 
 LONGEST, FARTHEST = 10, 50
 LINE, CUE, EMPTY = -1, -2, -3
@@ -236,6 +236,21 @@ def distances(h: np.ndarray, r: np.ndarray, h_size: np.ndarray, r_size: np.ndarr
     return row[np.arange(len(r_size)), r_size]
 
 
+def together(h: np.ndarray, r: np.ndarray) -> int | None:
+    """Edits without shifts of two sides whose cues all overlap; None if, between what both begin and end with, breaks stand in both.
+
+    Breaks that only one side has are edits each, so words are left, whose distance takes bits instead of a table.
+    """
+    least = min(len(h), len(r))
+    head = int(np.argmin(np.append(h[:least] == r[:least], False)))
+    least -= head
+    tail = int(np.argmin(np.append((h[len(h) - least :] == r[len(r) - least :])[::-1], False)))
+    h, r = h[head : len(h) - tail], r[head : len(r) - tail]
+    if (h < 0).any() and (r < 0).any():
+        return None
+    return int((h < 0).sum() + (r < 0).sum()) + word_distance(h[h >= 0].tolist(), r[r >= 0].tolist())
+
+
 def _tokens(texts: pa.Array, cased: bool) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of texts in a row, and the text of each: words between white space as numbers, LINE between lines that have words, CUE at a text's end.
 
@@ -266,7 +281,8 @@ def _tokens(texts: pa.Array, cased: bool) -> tuple[np.ndarray, np.ndarray]:
 def island_edits(islands: pa.ListArray, longest: int = LONGEST, farthest: int = FARTHEST, cased: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edits, shifts and reference tokens of islands: each its cues (reference, start, end, text) in order of time.
 
-    Islands of up to SMALL tokens a side are compared TOGETHER many at a time; only those whose edits a shift may lower are searched one by one.
+    Islands of up to SMALL tokens a side are compared TOGETHER many at a time, larger ones whose cues all overlap by bit vectors where they can be;
+    only those whose edits a shift may lower are searched one by one.
     """
     many, cues = len(islands), islands.flatten()
     island = pc.list_parent_indices(islands).to_numpy().astype(np.int64)
@@ -310,9 +326,12 @@ def island_edits(islands: pa.ListArray, longest: int = LONGEST, farthest: int =
         edits_[rows] = distances(padded(0, rows), padded(1, rows), *sizes[:, rows], timed=k >= edge)
         alone += rows[edits_[rows] - 1 > floor[rows]].tolist()
     for x in alone:
+        owns = [slice(begins[k, x], begins[k, x] + sizes[k, x]) for k in (0, 1)]
+        if largest[x] > SMALL and not apart[x] and (d := together(*(tokens[own] for own in owns))) is not None and d - 1 <= floor[x]:
+            edits_[x] = d
+            continue
         sides, spans = [], []
-        for k in (0, 1):
-            own = slice(begins[k, x], begins[k, x] + sizes[k, x])
+        for own in owns:
             names, place = np.unique(cue[own], return_inverse=True)
             sides.append(Side(tokens[own], place)), spans.append(times[:, names].T)
         edits_[x], shifts[x] = edits(Task(*sides, *spans), longest, farthest)

@@ -150,3 +150,28 @@ def test_long_videos(spark):
     got = E.subtitle_edit_rate(spark.createDataFrame(hyp, CUES), spark.createDataFrame(ref, CUES)).first()
     gone = sum(len(t[4].split()) for t in ref) - sum(len(t[4].split()) for t in hyp)
     assert (got.edits + got.shifts, got.ref_tokens) == (gone, 1500 * 9)
+
+
+def test_distances_of_cues_that_all_overlap():
+    r, some = random.Random(5), 0
+    for _ in range(400):
+        tokens = [np.array([r.choice([0, 1, 2, 3, E.LINE] if r.random() < p else [0, 1, 2, 3]) for _ in range(r.randint(0, 9))] + [E.CUE]) for p in (r.choice([0, 0.6]), r.choice([0, 0, 0.6]))]
+        task = E.Task(*(E.Side(t, np.zeros(len(t), np.int64)) for t in tokens), np.array([(0, 10)]), np.array([(0, 10)]))
+        if (found := E.together(*tokens)) is not None:
+            some += 1
+            assert found == distance(task, tokens[0], np.zeros(len(tokens[0]), np.int64)), tokens
+    assert some > 200
+
+
+def test_long_cues_by_bits_and_by_search():
+    r = random.Random(6)
+    words = [r.choice("abcdefghij") + str(r.randrange(40)) for _ in range(700)]
+    fewer = [w for k, w in enumerate(words) if k % 9]
+    moved = words[300:304] + words[:300] + words[304:]
+    sides = [" ".join(fewer), " ".join(moved), " ".join(words)]
+    islands = [[{"reference": k == 1, "start": 0, "end": 9, "text": t} for k, t in enumerate((h, " ".join(words)))] for h in sides]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("reference", pa.bool_()), ("text", pa.string())]))
+    edits, shifts, size = E.island_edits(pa.array(islands, kind))
+    assert (edits[0], shifts[0]) == (78, 0) and edits[2] == 0 and set(size) == {701}
+    assert E.together(*(np.array([ord(c) for c in t]) for t in ("abcd", "abxd"))) == 1
+    assert edits[1] + shifts[1] <= 8
