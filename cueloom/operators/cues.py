@@ -210,13 +210,17 @@ def repair_boundaries(segments: DataFrame, max_chars: int) -> DataFrame:
     return items.select("video_id", F.inline(folded))
 
 
+def in_stride(row: Column, total: Column, n: int) -> Column:
+    """Whether a row (from 0) of ``total``, which are more than n, is one of the n rows floor(i * total / n)."""
+    i = F.ceil(row * n / total)
+    return (i < n) & (F.floor(i * total / n) == row)
+
+
 def stride_sample(rows: DataFrame, n: int = 50) -> DataFrame:
     """Of each video's rows n in even strides, or all if there are no more: row floor(i * len / n)."""
     total = F.count("*").over(Window.partitionBy("video_id"))
     placed = rows.withColumn("n_rows", total).withColumn("row", F.row_number().over(in_order()) - 1)
-    i = F.ceil(F.col("row") * n / F.col("n_rows"))
-    taken = (F.col("n_rows") <= n) | ((i < n) & (F.floor(i * F.col("n_rows") / n) == F.col("row")))
-    return placed.filter(taken).drop("n_rows", "row")
+    return placed.filter((F.col("n_rows") <= n) | in_stride(F.col("row"), F.col("n_rows"), n)).drop("n_rows", "row")
 
 
 def sample_language(words: DataFrame, first: int = 100) -> DataFrame:

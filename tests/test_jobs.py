@@ -242,3 +242,39 @@ def test_batches_report(spark):
         runs.run_batch(inventory.union(spark.createDataFrame([("in/a.avi", "in")], inventory.schema)), existing, results, "utterances", shouting, store, "out", SILENT)
     nothing = runs.run_batch(inventory.limit(0), existing, results, "utterances", shouting, store, "out", SILENT, sleep=no_wait)
     assert nothing.items.count() == 0 and nothing.totals.first().total == 0
+
+
+def listing():
+    """Terms are the numbers in the lines it is shown, the first line's twice; a batch's answer tells which terms it was shown."""
+
+    def ask(prompt):
+        if prompt.startswith("List "):
+            numbers = [line.split()[-1] for line in prompt.split("\n\n", 1)[1].split("\n")]
+            return json.dumps([{"term": t, "action": a} for t, a in [(f"t{','.join(numbers)}", "keep"), (numbers[0], "flexible"), (numbers[0], "keep"), ("old", "keep")]])
+        items = json.loads(prompt[prompt.rindex("\n\n[{") + 2 :])
+        shown = re.findall(r'^- "([^"]*)" → (decide|keep)', prompt, re.M)
+        return json.dumps([" ".join(f"{t}:{a}" for t, a in shown)] * len(items))
+
+    return ask
+
+
+@pytest.mark.parametrize("stored", [False, True])
+@pytest.mark.parametrize("n", [1, 49, 50, 51, 137])
+def test_terms_come_from_an_even_sample(spark, n, stored):
+    cues = cues_of(spark, {"v": [f"line {k}" for k in range(n)], "w": ["only 7"]})
+    memory = spark.createDataFrame([], W.MEMORY) if stored else None
+    glossary = spark.createDataFrame([(1, "old", "translate", "vieux", "")], W.GLOSSARY)
+    done = W.translate(cues, listing, memory, glossary, W.Settings(scoring=False), sleep=no_wait)
+    lines = [str(i * n // 50) for i in range(50)] if n > 50 else [str(k) for k in range(n)]
+    own = f"t{','.join(lines)}"
+    assert [(r.video_id, r.pos, r.term, r.action) for r in done.found.orderBy("video_id", "pos").collect()][:4] == [("v", 0, own, "keep"), ("v", 1, "0", "flexible"), ("v", 2, "0", "keep"), ("v", 3, "old", "keep")]
+    got = done.cues.orderBy("video_id", "idx").collect()
+    assert [(r.video_id, r.idx, r.text) for r in got] == [*(("v", k + 1, f"line {k}") for k in range(n)), ("w", 1, "only 7")]
+    assert {r.target for r in got if r.video_id == "v"} == {f"{own}:keep 0:decide"} and got[-1].target == "t7:keep 7:decide"
+    assert sorted(r.term for r in done.glossary().collect()) == sorted({"old", own, "0", "t7", "7"})
+
+
+def test_term_lines_are_those_of_the_glossary(spark):
+    rows = [("a", "keep", ""), ("b", "translate", "x"), ("c", "flexible", "y"), ('d"', "other", "")]
+    made = spark.createDataFrame(rows, "term string, action string, target string").select("term", M.glossary_line(F.col("term"), F.col("action"), F.col("target")).alias("line"))
+    assert {r.term: r.line for r in made.collect()} == {t: W.term_line(t, a, x) for t, a, x in rows}
