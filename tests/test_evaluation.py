@@ -3,6 +3,7 @@
 import json
 import random
 import sys
+import time
 
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -113,3 +114,33 @@ def test_texts_one_by_one(spark):
     rows = [(1, k, 0, 1, t) for k, t in enumerate(["a", "b", "a", "bad", "", None, " ", "a"])]
     got = [(x.target, x.error) for x in inference.translate_each(table(spark, rows).withColumn("target", F.lit("old")), client).orderBy("idx").collect()]
     assert got == [("A", None), ("B", None), ("A", None), (None, "ValueError: never"), ("", None), ("", None), (" ", None), ("A", None)] and calls.value == 3
+
+
+def test_long_texts_are_measured_by_errors():
+    from cueloom.operators import quality as Q
+
+    words = [f"w{k % 977}" for k in range(20_000)]
+    begin = time.process_time()
+    assert Q.shifted_distance(words[2:] + words[:2], words, 10, 50) == 4
+    assert time.process_time() - begin < 1  # a step a word took over a second
+
+
+def test_first_arrays():
+    from cueloom.operators import answers as A
+
+    assert A.first_array('a ["x]\\"", [1]] ["y"]') == '["x]\\"", [1]]' and A.first_array('"[1]') == "[1]" and A.first_array('["a]') is A.first_array("] [") is None
+    long = '["' + "word " * 200_000 + '"]'
+    begin = time.process_time()
+    assert A.first_array("see [x and " + long) is None and A.first_array(long) == long
+    assert time.process_time() - begin < 0.08  # a step a character took longer
+
+
+def test_grams_of_many_pairs(spark):
+    from cueloom.operators import quality as Q
+
+    rows = [(f"some words of line {k} {k * k}", f"some other words of line {k % 7} {k}") for k in range(700)]
+    df = spark.createDataFrame(rows, "hypothesis string, reference string").coalesce(1)
+    one = Q.gram_totals(*[__import__("pyarrow").array([r[c].replace(" ", "") for r in rows]) for c in (0, 1)], 6, False)
+    names = [f"{x}{n}" for n in range(1, 7) for x in "mhr"]
+    bare = [F.replace(c, F.lit(" "), F.lit("")) for c in ("hypothesis", "reference")]
+    assert [Q._sums(df, *bare, 6, False).first()[n] for n in names] == one and Q.COUNTED_PAIRS < len(rows)
