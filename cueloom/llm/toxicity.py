@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -250,42 +251,48 @@ def _squash(x: float) -> float:
 PASSAGE = "array<struct<start:int,end:int,score:double,e_value:double>>"
 
 
+def _scored(batches: Iterator[pa.RecordBatch], m: Model, place: int, names: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows (a struct, its text at ``place``) with score, predicted and passages, by runs of about a block of text."""
+    for batch in batches:
+        rows = batch.column(0)
+        bodies = pc.fill_null(rows.field(place), "")
+        for at, data, words in word_runs(bodies, PREFIXES):
+            all_scores = token_scores(words, m)
+            scores, passages, stop = [], [], 0
+            for n in words.counts.tolist():
+                first, stop = stop, stop + n
+                found = segments(all_scores[first:stop])
+                x = _squash(evidence([s for s, _, _ in found], n, m.scale, m.ln_k))
+                scores.append(0.0 if not np.isfinite(m.shift) else float(1 / (1 + np.exp(-np.clip(m.shift + m.slope * x, -500, 500)))))
+                sure = [(s, a, b, float(np.exp(min(m.ln_k + np.log(n) - m.scale * s, 50)))) for s, a, b in found]
+                sure = [p for p in sure if p[3] <= E_VALUE] if np.isfinite(m.shift) else []
+                if sure:
+                    begin = int(_text_start(bodies, at, at + len(passages)))
+                    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    sure = [(int(points[words.starts[first + a]] - points[begin]), int(points[words.ends[first + b - 1]] - points[begin]), s, e) for s, a, b, e in sure]
+                passages.append([dict(start=a, end=b, score=s, e_value=e) for a, b, s, e in sure])
+            score = np.array(scores, float)
+            yield pa.RecordBatch.from_arrays([rows.slice(at, len(score)), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(passages, kind)], names)
+
+
 def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` as struct ``row`` with score, predicted and passages.
 
     score is the probability of the label by all maximal segments; passages are those that a
     clean text of this length would hold less than E_VALUE times, as code points. Null and blank
-    texts get the score of no evidence. Rows are scored one by one, without a shuffle.
+    texts get the score of no evidence. Rows are scored one by one, without a shuffle; a worker gets
+    a text once, in its row, and gives rows back by runs of about a block, so it holds no second copy.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("passages", T._parse_datatype_string(PASSAGE))])
+    place = [c.lower() for c in docs.columns].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kind = to_arrow_schema(schema).field("passages").type
-        m = shared.value
-        for batch in batches:
-            scores, passages = [], []
-            for at, data, words in word_runs(batch.column(1), PREFIXES):
-                all_scores = token_scores(words, m)
-                stop, base = 0, 0
-                for n in words.counts.tolist():
-                    first, stop = stop, stop + n
-                    found = segments(all_scores[first:stop])
-                    x = _squash(evidence([s for s, _, _ in found], n, m.scale, m.ln_k))
-                    scores.append(0.0 if not np.isfinite(m.shift) else float(1 / (1 + np.exp(-np.clip(m.shift + m.slope * x, -500, 500)))))
-                    sure = [(s, a, b, float(np.exp(min(m.ln_k + np.log(n) - m.scale * s, 50)))) for s, a, b in found]
-                    sure = [p for p in sure if p[3] <= E_VALUE] if np.isfinite(m.shift) else []
-                    if sure:
-                        begin = int(_text_start(batch.column(1), at, len(passages)))
-                        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                        sure = [(int(points[words.starts[first + a]] - points[begin]), int(points[words.ends[first + b - 1]] - points[begin]), s, e) for s, a, b, e in sure]
-                    passages.append([dict(start=a, end=b, score=s, e_value=e) for a, b, s, e in sure])
-            score = np.array(scores, float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(passages, kind)], schema.names)
+        yield from _scored(batches, shared.value, place, schema.names, to_arrow_schema(schema).field("passages").type)
 
-    return docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body")).mapInArrow(run, schema)
+    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, schema)
 
 
 def _text_start(texts: pa.Array, first: int, this: int) -> int:

@@ -489,6 +489,30 @@ def test_scores(spark):
         assert x.score == pytest.approx(1 / (1 + np.exp(-(model.shift + model.slope * value))), abs=1e-6)
 
 
+def test_rows_are_scored_by_runs(spark, monkeypatch):
+    """A worker gets each text once and gives rows back by runs of a block, whatever the batch; scores are the same."""
+    import pyarrow as pa
+
+    docs, labels, _ = toxic_tables(spark, 600)
+    model = toxicity.fit(docs, labels)
+    rows = docs.select("text", "doc_id")
+    assert toxicity.score_texts(rows, model)._jdf.queryExecution().optimizedPlan().children().apply(0).output().size() == 1
+    (batch,) = rows.toArrow().combine_chunks().to_batches()
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
+
+    def scored():
+        given = pa.RecordBatch.from_arrays([batch.to_struct_array()], ["row"]).slice(3)
+        return [p.to_pylist() for p in toxicity._scored(iter([given]), model, 0, ["row", "score", "predicted", "passages"], kind)]
+
+    (whole,) = scored()
+    monkeypatch.setattr("cueloom.llm.hashing.BLOCK", 4096)
+    parts = scored()
+    assert len(parts) > 5 and sum(parts, []) == whole
+    for x in whole:
+        assert all(re.search("vilest|scumbag|moron", x["row"]["text"][p["start"] : p["end"]]) for p in x["passages"] if x["row"]["doc_id"] % 8 == 0)
+    assert sum(bool(x["passages"]) for x in whole) > 10 and [x["row"]["doc_id"] for x in whole] == [r.doc_id for r in rows.collect()[3:]]
+
+
 def test_secrets(spark):
     uuid, sha = "3f2b8c1e-1111-4c2d-9a3b-5e6f7a8b9c0d", hashlib.sha256(b"x").hexdigest()
     texts = [
