@@ -182,6 +182,22 @@ def test_steps_are_kept(spark):
     assert changed["v2"].transcribed_hit and not changed["v2"].translated_hit and changed["v2"].translated.endswith("\nTHREE<>\n")
 
 
+def test_payloads_are_made_once(spark):
+    """A run evaluates what makes its payloads once for each row, and its result not again when that is read."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    given = payloads(spark, {"v1": ["one"], "v2": ["two"], "v3": [" "]}).withColumnRenamed("path", "video_id")
+    rows = given.mapInArrow(counted, given.schema)
+    items = runs.process(rows, "utterances", shouting, runs.StepStore(spark, new_path(spark, "steps")), SILENT, sleep=no_wait).items
+    assert len(items.collect()) == len(items.collect()) == 3 and made.value == 3
+    assert "FileScan" not in items._jdf.queryExecution().optimizedPlan().toString() and "Join" not in items._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lost_runs_leave_earlier_steps(spark):
     store = runs.StepStore(spark, new_path(spark, "steps"))
     rows = payloads(spark, {"v1": ["one"], "v2": ["two"]}).withColumnRenamed("path", "video_id")
