@@ -6,11 +6,33 @@ documents; the last returns the pieces of the packed sequences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cueloom.llm import minhash, mixing, packing, secrets, toxicity
 from cueloom.storage import materialize, new_path, remove, scratch, table
 
+#: Bytes of rows that a Python worker gets at a time, or one row that is larger.
+BATCH = 4 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session that hands rows to Python by BATCH bytes, from then on.
+
+    Spark's own limit is 64 MB; a batch is in the executor and in its worker at once, with what is
+    made of it, and workers go from stage to stage with the memory that they once took.
+    """
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)  # looked at when a plan runs
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic; the model learns from the labels of the documents given.
@@ -57,11 +79,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("secrets", redact_secrets),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("near_duplicates", in_small_batches(drop_near_duplicates)),
+    ("secrets", in_small_batches(redact_secrets)),
+    ("mixing", in_small_batches(mix_sources)),
+    ("packing", in_small_batches(pack_sequences)),
 ]
 
 #: Token ids, shingle signatures and segment scores have no SQL; tests hold the stages against brute force.

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -47,3 +48,22 @@ def test_fit_ignores_held_out(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     flipped = labels.withColumn("toxic", (toxicity.fold(labels["doc_id"]) == 0).cast("int") * (1 - labels["toxic"]) + (toxicity.fold(labels["doc_id"]) != 0).cast("int") * labels["toxic"])
     assert (toxicity.fit(docs, labels).scores == toxicity.fit(docs, flipped).scores).all()
+
+
+def test_stages_hand_rows_to_python_in_small_batches(spark, sf_dir):
+    """Batches of the session's own 64 MB, with what is made of them, had taken an executor's memory."""
+    name, long = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 14
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "rows"])
+
+    rows = spark.range(0, 1200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), long // 6).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(long).alias("n_chars"))
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(name)
+            stage(spark, rows.limit(20), sf_dir)
+            seen = rows.mapInArrow(sizes, "bytes long, rows long").collect()
+            assert sum(x.rows for x in seen) == 1200 and max(x.bytes for x in seen) < corpus_pipeline.BATCH + 4 * long
+    finally:
+        spark.conf.unset(name)
