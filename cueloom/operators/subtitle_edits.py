@@ -236,6 +236,21 @@ def distances(h: np.ndarray, r: np.ndarray, h_size: np.ndarray, r_size: np.ndarr
     return row[np.arange(len(r_size)), r_size]
 
 
+def embedded(h: np.ndarray, r: np.ndarray, h_size: np.ndarray, r_size: np.ndarray) -> np.ndarray:
+    """Edits that leave only insertions once the line ends are gone that the reference has none of, for pairs of sides [pair; place], padded; FAR where that is not so."""
+    more = np.arange(h.shape[1]) >= h_size[:, None]
+    is_line = (h == LINE) & ~more & ~((r == LINE) & (np.arange(r.shape[1]) < r_size[:, None])).any(axis=1)[:, None]
+    order = np.argsort(is_line | more, axis=1, kind="stable")
+    lines = is_line.sum(axis=1)
+    left = h_size - lines
+    kept = np.full((len(h), h.shape[1] + 1), EMPTY, h.dtype)  # equal to no token
+    kept[:, :-1] = np.where(np.arange(h.shape[1]) < left[:, None], np.take_along_axis(h, order, axis=1), EMPTY)
+    at, pairs = np.zeros(len(h), np.int64), np.arange(len(h))
+    for j in range(r.shape[1]):
+        at += (kept[pairs, at] == r[:, j]) & (j < r_size)
+    return np.where(at == left, lines + r_size - left, FAR)
+
+
 def together(h: np.ndarray, r: np.ndarray) -> int | None:
     """Edits without shifts of two sides whose cues all overlap; None if, between what both begin and end with, breaks stand in both.
 
@@ -281,7 +296,7 @@ def _tokens(texts: pa.Array, cased: bool) -> tuple[np.ndarray, np.ndarray]:
 def island_edits(islands: pa.ListArray, longest: int = LONGEST, farthest: int = FARTHEST, cased: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edits, shifts and reference tokens of islands: each its cues (reference, start, end, text) in order of time.
 
-    Islands of up to SMALL tokens a side are compared TOGETHER many at a time, larger ones whose cues all overlap by bit vectors where they can be;
+    Islands of up to SMALL tokens a side are compared TOGETHER many at a time, by distances only where one side's tokens don't stand in the other in order; larger ones whose cues all overlap by bit vectors where they can be;
     only those whose edits a shift may lower are searched one by one.
     """
     many, cues = len(islands), islands.flatten()
@@ -323,7 +338,11 @@ def island_edits(islands: pa.ListArray, longest: int = LONGEST, farthest: int =
     edge = int((~apart[small]).sum())  # pairs whose cues all overlap come first
     for k, j in zip(sorted({*cuts, edge}), sorted({*cuts, edge})[1:], strict=False):
         rows = small[k:j]
-        edits_[rows] = distances(padded(0, rows), padded(1, rows), *sizes[:, rows], timed=k >= edge)
+        h, r = padded(0, rows), padded(1, rows)
+        edits_[rows] = np.minimum(embedded(h[0], r[0], *sizes[:, rows]), embedded(r[0], h[0], *sizes[::-1, rows])) if k < edge else FAR
+        rest = np.flatnonzero(edits_[rows] != floor[rows])  # no order of tokens differs by less than the floor
+        if len(rest):
+            edits_[rows[rest]] = distances(h[:, rest], r[:, rest], *sizes[:, rows[rest]], timed=k >= edge)
         alone += rows[edits_[rows] - 1 > floor[rows]].tolist()
     for x in alone:
         owns = [slice(begins[k, x], begins[k, x] + sizes[k, x]) for k in (0, 1)]
@@ -350,7 +369,8 @@ def subtitle_edit_rate(hypothesis: DataFrame, reference: DataFrame, language: Co
     """
     def placed(cues: DataFrame, is_reference: bool) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
-        text = F.translate(text, "\x01\x02", "")  # these mark breaks
+        marked = text.contains("\x01") | text.contains("\x02")  # these mark breaks
+        text = F.when(marked, F.translate(text, "\x01\x02", "")).otherwise(text)  # character by character, so only where need be
         if language is not None:
             text = F.array_join(F.transform(F.split(text, "\n"), lambda line: F.array_join(metric_tokens(line, language), " ")), "\n")
         end = F.greatest("end_ms", F.col("start_ms") + 1)

@@ -175,3 +175,28 @@ def test_long_cues_by_bits_and_by_search():
     assert (edits[0], shifts[0]) == (78, 0) and edits[2] == 0 and set(size) == {701}
     assert E.together(*(np.array([ord(c) for c in t]) for t in ("abcd", "abxd"))) == 1
     assert edits[1] + shifts[1] <= 8
+
+
+def test_sides_in_order_need_no_distances(monkeypatch):
+    """Where one side's words stand in the other in order, the bags of words tell the edits: no table of distances is filled."""
+    r = random.Random(8)
+    pick = lambda n: [r.choice("abcdef") for _ in range(n)]
+    texts, sure = [], 0
+    for _ in range(600):
+        words = pick(r.randint(0, 9))
+        fewer = [w for w in words if r.random() < 0.8] if r.random() < 0.7 else pick(5)
+        cut = [r.randint(0, len(w)) if r.random() < 0.4 else 0 for w in (fewer, words)]
+        texts.append([" ".join(w[:c]) + "\n" + " ".join(w[c:]) for w, c in zip((fewer, words), cut, strict=True)][:: r.choice([1, -1])])
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("reference", pa.bool_()), ("text", pa.string())]))
+    islands = pa.array([[{"reference": k == 1, "start": 0, "end": 9, "text": t} for k, t in enumerate(pair)] for pair in texts], kind)
+    seen, true = [], E.distances
+    monkeypatch.setattr(E, "distances", lambda h, *more, **named: seen.append(h.shape[1]) or true(h, *more, **named))
+    found = E.island_edits(islands)
+    sure = 600 - sum(seen)
+    monkeypatch.setattr(E, "embedded", lambda h, *more: np.full(len(h), E.FAR))
+    assert all((x == y).all() for x, y in zip(found, E.island_edits(islands), strict=True)) and 150 < sure < 600
+
+
+def test_texts_that_hold_the_marks_of_breaks(spark):
+    both = [spark.createDataFrame([(1, 1, 0, 900, t)], CUES) for t in ("a\x01 \x02b c", "a b c")]
+    assert [(r.edits, r.shifts, r.ref_tokens) for r in E.subtitle_edit_rate(*both).collect()] == [(0, 0, 4)]
