@@ -21,6 +21,8 @@ HASHES = 180
 #: once in 130,000 times, one at 0.3 meets in a band once in 24 times.
 ROWS = 6
 BANDS = 2 * HASHES // ROWS
+#: A bucket's number modulo this is its band; a power of two.
+BAND_SLOTS = 64
 #: Pairs whose signatures agree in fewer of the 360 values are not checked: at similarity 0.75
 #: that is 6.5 standard deviations below the mean.
 AGREE = 216
@@ -106,24 +108,25 @@ def _close(x: _Side, y: _Side, band: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i, js
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, _Side, _Side, int]]:
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, _Side, _Side]]:
     for row in range(batch.num_rows):
-        yield row, *(_Side(batch.column(c)[row].values) for c in ("items", "others")), batch.column("band")[row].as_py()
+        yield batch.column("bucket")[row].as_py(), *(_Side(batch.column(c)[row].values) for c in ("items", "others"))
 
 
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of buckets that have somebody close in another component."""
+    """Members of buckets that have somebody close in another component: bucket, node, component."""
     for batch in batches:
-        buckets, nodes = [], []
-        for row, x, y, band in _chunks(batch):
+        buckets, nodes, components = [], [], []
+        for bucket, x, y in _chunks(batch):
             left, right = set(), set()
-            for i, js in _close(x, y, band):
+            for i, js in _close(x, y, bucket % BAND_SLOTS):
                 left.add(i), right.update(js.tolist())
-            found = [*x.node.take(pa.array(sorted(left), pa.int32())).to_pylist(), *y.node.take(pa.array(sorted(right), pa.int32())).to_pylist()]
-            nodes += found
-            buckets += [batch.column("bucket")[row].as_py()] * len(found)
+            for side, found in ((x, sorted(left)), (y, sorted(right))):
+                nodes += side.node.take(pa.array(found, pa.int32())).to_pylist()
+                components += side.items.field("component").take(pa.array(found, pa.int32())).to_pylist()
+            buckets += [bucket] * (len(left) + len(right))
         kind = batch.schema.field("items").type.value_type.field("node").type
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(nodes, kind)], ["bucket", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(nodes, kind), pa.array(components, kind)], ["bucket", "node", "component"])
 
 
 def _confirm(similarity: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +134,7 @@ def _confirm(similarity: tuple[int, int], batches: Iterator[pa.RecordBatch]) ->
     up, down = similarity
     for batch in batches:
         a, b = [], []
-        for _, x, y, band in _chunks(batch):
+        for bucket, x, y in _chunks(batch):
             parent: dict = {}
 
             def root(c, parent=parent):
@@ -139,7 +142,7 @@ def _confirm(similarity: tuple[int, int], batches: Iterator[pa.RecordBatch]) ->
                     c = parent[c]
                 return c
 
-            for i, js in _close(x, y, band):
+            for i, js in _close(x, y, bucket % BAND_SLOTS):
                 own = x.shingles(i)
                 for j in js.tolist():
                     r, q = root(x.component[i]), root(y.component[j])
@@ -178,9 +181,10 @@ class NearDuplicates:
         return able.groupBy("digest").agg(F.min("id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"))
 
     def members(self, nodes: DataFrame) -> DataFrame:
-        """(bucket, band, node, least) for all buckets that hold several nodes; least: the smallest node there."""
+        """(bucket, node, least) for all buckets that hold several nodes; least: the smallest node there."""
         band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-        rows = nodes.select("node", "signature", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(signature, band * {ROWS} + 1, {ROWS})")).alias("bucket"), "band", "node")
+        value = F.xxhash64("band", F.expr(f"substring(signature, band * {ROWS} + 1, {ROWS})"))
+        rows = nodes.select("node", "signature", band.alias("band")).select(value.bitwiseAND(F.lit(-BAND_SLOTS)).bitwiseOR(F.col("band")).alias("bucket"), "node")
         several = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
         return rows.join(_dealt_anew(several.select("bucket", "least"), "least"), "bucket")
 
@@ -193,22 +197,30 @@ class NearDuplicates:
         enough = down * shared >= up * (F.size("set_a") + F.size("set_b") - shared)
         return both.filter(enough).select("a", "b")
 
-    def chunk_pairs(self, members: DataFrame, item: list[str], size: int) -> DataFrame:
-        """Pairs of chunks, of about ``size`` members, of buckets whose members lie in several components.
+    def in_chunks(self, members: DataFrame, size: int) -> DataFrame:
+        """(bucket, node, component, chunk, chunks) of buckets whose members lie in several components, in chunks of about ``size``.
 
-        Members are dealt anew by bucket and chunk before they are packed: each chunk of a large
-        bucket is a group of its own, and so is each pair of chunks.
+        Members come without signatures and sets: what is large is joined to them afterwards, and shuffled once.
         """
         mixed = members.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("rows")).filter("c != d")
         placed = members.join(_dealt_anew(mixed.select("bucket", F.ceil(F.col("rows") / size).alias("chunks")), "chunks"), "bucket")
-        dealt = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).repartition("bucket", "chunk")
-        packed = dealt.groupBy("bucket", "band", "chunk", "chunks").agg(F.collect_list(F.struct(*item)).alias("items"))
-        other = packed.select("bucket", F.col("chunk").alias("partner"), F.col("items").alias("others"))
-        wanted = packed.withColumn("partner", F.explode(F.sequence("chunk", F.col("chunks") - 1)))
-        single = wanted.filter("chunks = 1").withColumn("others", F.col("items"))
-        several = wanted.filter("chunks > 1").join(other, ["bucket", "partner"])
-        columns = ["bucket", "band", "items", "others"]
-        return single.select(columns).union(several.select(columns))
+        return placed.select("bucket", "node", "component", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks")
+
+    def chunk_pairs(self, members: DataFrame, item: list[str]) -> DataFrame:
+        """Pairs of chunks of buckets.
+
+        Members are dealt by bucket and chunk before they are packed: each chunk of a large bucket is
+        a group of its own, and so is each pair of chunks. Buckets of one chunk and of several are
+        disjoint rows, and both sides of the pairs read the same shuffle.
+        """
+        def packed(which: str) -> DataFrame:
+            dealt = members.filter(f"{which} and bucket is not null and chunk is not null").repartition("bucket", "chunk")
+            return dealt.groupBy("bucket", "chunk", "chunks").agg(F.collect_list(F.struct(*item)).alias("items"))
+
+        single, several = packed("chunks = 1"), packed("chunks > 1")
+        other = several.select("bucket", F.col("chunk").alias("partner"), F.col("items").alias("others"))
+        wanted = several.withColumn("partner", F.explode(F.sequence("chunk", F.col("chunks") - 1))).join(other, ["bucket", "partner"])
+        return single.select("bucket", "items", F.col("items").alias("others")).union(wanted.select("bucket", "items", "others"))
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Nodes, and confirmed links that connect all similar nodes.
@@ -224,20 +236,20 @@ class NearDuplicates:
             members = materialize(self.members(nodes), "members")
             inside = members.select("node").distinct()
             out = T.StructType([T.StructField("node", self.kind), T.StructField("shingles", T.ArrayType(T.LongType()))])
-            sets = materialize(self.docs.join(inside, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, out), "sets")
+            sets = self.docs.join(inside, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, out)
+            sets = materialize(sets.join(nodes.select("node", "n", "signature"), "node"), "sets")
             stars = members.filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
             links = materialize(self.confirm(stars, sets), "confirmed")
             known = connected_components(links)
-            placed = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c != d").select("bucket")
-            open_members = placed.join(_dealt_anew(mixed, F.xxhash64("bucket")), "bucket").join(nodes.select("node", "n", "signature"), "node").select("bucket", "band", "node", "component", "n", "signature")
-            open_members = materialize(open_members, "open")
-            near = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", self.kind)])
+            placed = members.join(known, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+            open_members = materialize(self.in_chunks(placed, CHUNK), "open")
+            near = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", self.kind), T.StructField("component", self.kind)])
             item = ["node", "component", "n", "signature"]
-            flagged = materialize(self.chunk_pairs(open_members, item, CHUNK).mapInArrow(_flag, near).distinct(), "near")
-            full = open_members.join(flagged, ["bucket", "node"]).join(sets, "node")
+            signed = open_members.join(sets.select("node", "n", "signature"), "node")
+            flagged = materialize(self.chunk_pairs(signed, item).mapInArrow(_flag, near).distinct(), "near")
+            close = materialize(self.in_chunks(flagged, CHUNK), "close")
             pair = T.StructType([T.StructField("a", self.kind), T.StructField("b", self.kind)])
-            more = self.chunk_pairs(full, [*item, "shingles"], CHUNK).mapInArrow(partial(_confirm, self.similarity), pair)
+            more = self.chunk_pairs(close.join(sets, "node"), [*item, "shingles"]).mapInArrow(partial(_confirm, self.similarity), pair)
             return nodes, materialize(links.union(more), path=stays)
 
     def result(self) -> DataFrame:

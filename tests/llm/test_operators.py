@@ -112,6 +112,40 @@ def test_large_buckets(spark, monkeypatch):
     assert [r.component_id for r in got] == components(90, links)
 
 
+def test_chunks_are_shuffled_once(spark, monkeypatch):
+    """Members of buckets of one chunk, and those of several, are dealt by one shuffle each, both sides of the pairs by the same."""
+    docs = docs_table(spark, ["a b c d e f"])
+    members = spark.range(100).selectExpr("id % 3 AS bucket", "id AS node", "id % 5 AS component", "id % 4 AS chunk", "4L AS chunks", "X'00' AS signature")
+    monkeypatch.setattr(minhash, "materialize", lambda df, *_, **__: df)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = minhash.NearDuplicates(docs).chunk_pairs(members, ["node", "component", "signature"])
+        assert pairs.count() == 3 * 10
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"(?<!Reused)Exchange hashpartitioning\(bucket#\d+L?, chunk#\d+L?", plan)
+    assert len(dealt) == 2 and "ReusedExchange" in plan, plan
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Links that are a star for each component are read once; others end with the round that makes them stars."""
+    from cueloom.llm import components as c
+
+    written = []
+    monkeypatch.setattr(c, "materialize", lambda df, path, keep=c.materialize: written.append(path) or keep(df, path=path))
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = lambda rows: sorted(map(tuple, c.connected_components(links(rows)).collect()))
+    assert got([(3, 1), (1, 2), (9, 5), (3, None), (4, 4)]) == [(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)]
+    assert len(written) == 1
+    assert got([(1, 2), (2, 3), (7, 8)]) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    assert len(written) == 3
+    assert got([(k, k + 1) for k in range(40)]) == [(k, 0) for k in range(41)]
+    assert got([]) == []
+
+
 def test_keep_first(spark):
     rows = [(1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1), (None, "a b c d e f", "en", "s", 1), (3, None, None, None, None), (4, "", "en", "s", 0), (4, "", "en", "s", 0)]
     kept = minhash.keep_first(spark.createDataFrame(rows, DOCS).withColumn("found_key", F.lit("clash")).withColumn("row", F.lit("clash")))
