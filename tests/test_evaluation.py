@@ -144,3 +144,29 @@ def test_grams_of_many_pairs(spark):
     names = [f"{x}{n}" for n in range(1, 7) for x in "mhr"]
     bare = [F.replace(c, F.lit(" "), F.lit("")) for c in ("hypothesis", "reference")]
     assert [Q._sums(df, *bare, 6, False).first()[n] for n in names] == one and Q.COUNTED_PAIRS < len(rows)
+
+
+def test_near_texts_are_shifted_by_their_errors(spark, monkeypatch):
+    """Shifts of texts with few errors are those of ``best_shift``, found without measuring every block."""
+    r = random.Random(5)
+    for _ in range(300):
+        b = [f"w{r.randrange(r.choice([3, 9, 90]))}" for _ in range(r.choice([6, 20, 70]))]
+        a, i, k = list(b), r.randrange(len(b)), r.randrange(len(b))
+        a = Q._moved(a, i, k, r.randint(1, 3))
+        a[k] = r.choice([a[k], "new"])
+        for longest, farthest in ((10, 50), (2, 4)):
+            x, y = Q._letters(a, b)
+            if 2 < (now := Q.word_distance(a, b)) <= Q.NEAR:
+                assert (Q._near_shift(x, y, now, -1, longest, farthest) or None) == Q.best_shift(x, y, now, -1, longest, farthest), (a, b)
+            assert Q.shifted_distance(a, b, longest, farthest) == Q._shifted(tuple(a), tuple(b), longest, farthest)
+    lines = [[f"w{r.randrange(400)}" for _ in range(n)] for n in range(20, 120)]
+    begin = time.process_time()
+    assert [Q.shifted_distance(line[2:] + line[:2], line, 10, 50) for line in lines] == [1 if len(line) <= 52 else 4 for line in lines]
+    assert time.process_time() - begin < 0.1  # every block took 0.25 s and more
+
+    monkeypatch.setattr(Q, "SURROGATES", Q.sys.maxunicode - 5)  # six letters at once
+    rows = [("v", " ".join(line[2:] + line[:2]), " ".join(line)) for line in lines] + [("v", None, "a b"), ("v", "a b", "a b"), ("v", "", " ")]
+    sides = [__import__("pyarrow").array([x[c] for x in rows]) for c in (1, 2)]
+    assert [Q._shifted(x, y, 10, 50) for x, y in Q._lettered(*sides)] == [*(1 if len(line) <= 52 else 4 for line in lines), 2, 0, 0]
+    got = Q.ter(spark.createDataFrame(rows, "video_id string, hypothesis string, reference string")).first()
+    assert (got.edits, got.ref_words) == (sum(1 if len(line) <= 52 else 4 for line in lines) + 2, sum(map(len, lines)) + 4)
