@@ -3,15 +3,17 @@
 import json
 import re
 import sys
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from cueloom import storage
 from cueloom.operators import memory as M
 from cueloom.operators import runs
 from cueloom.operators import translation as W
-from cueloom.storage import new_path
+from cueloom.storage import new_path, shared_dir
 from cueloom.streaming import incremental
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have the tests' folder
@@ -198,6 +200,29 @@ def test_payloads_are_made_once(spark):
     assert "FileScan" not in items._jdf.queryExecution().optimizedPlan().toString() and "Join" not in items._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_runs_go_by_slices(spark, monkeypatch):
+    """Slices give what the whole gives; what a run leaves are its items and the store, and its shuffle files go."""
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    texts = {f"v{k}": [f"line {k % 7}", "two", *["more"] * (k % 3)] for k in range(20)} | {"w": [" "]}
+    rows = payloads(spark, texts).withColumnRenamed("path", "video_id")
+    changed = payloads(spark, texts | {"v3": ["new"], "v4": ["new"], "v5": [" "]}).withColumnRenamed("path", "video_id")
+
+    def twice(**more):
+        store, before = runs.StepStore(spark, new_path(spark, "steps")), {*folder.iterdir()}
+        done = [runs.process(x, "utterances", shouting, store, SILENT, sleep=no_wait, **more) for x in (rows, changed)]
+        left = sorted(p.name.split("-")[0] for p in {*folder.iterdir()} - before)
+        return [sorted(map(tuple, d.items.collect()), key=str) for d in done], left, done[1].translation
+
+    whole, left, translation = twice()
+    assert left == ["processed", "processed", "steps", "translated", "translated"] and [r.target for r in translation.cues.collect()] == ["NEW<>"]
+    assert whole[1][0][2] and not any(r[2] for r in whole[0]) and {r[0] for r in whole[1] if r[4] is False} == {"v3", "v4"}
+    monkeypatch.setattr(storage, "SLICE_BYTES", 1)
+    monkeypatch.setattr(storage, "SLICES", 2)
+    assert twice(details=False, keep=lambda items: items.filter("video_id <> ''")) == (whole, ["processed", "processed", "steps"], None)
+    sliced = runs.process(rows, "utterances", shouting, runs.StepStore(spark, new_path(spark, "steps")), SILENT, sleep=no_wait).translation
+    assert {r.video_id for r in sliced.cues.collect()} == {f"v{k}" for k in range(20)}
+
+
 def test_lost_runs_leave_earlier_steps(spark):
     store = runs.StepStore(spark, new_path(spark, "steps"))
     rows = payloads(spark, {"v1": ["one"], "v2": ["two"]}).withColumnRenamed("path", "video_id")
