@@ -13,6 +13,7 @@ from cueloom import storage
 from cueloom.operators import memory as M
 from cueloom.operators import runs
 from cueloom.operators import translation as W
+from cueloom.operators.ordering import numbered
 from cueloom.storage import new_path, shared_dir
 from cueloom.streaming import incremental
 
@@ -262,6 +263,49 @@ def test_stream_goes_on(spark):
     assert rerun[0] == rows and counter.value == 2
 
 
+def test_stream_goes_by_slices(spark, monkeypatch):
+    """Slices of a batch give what the whole gives, lines of the memory in order; a batch that was not written whole is done again, and only results stay."""
+    monkeypatch.setattr(storage, "SLICE_BYTES", 1)
+    monkeypatch.setattr(storage, "SLICES", 2)
+    base, folder = new_path(spark, "stream"), Path(shared_dir(spark).removeprefix("file://"))
+    texts = {f"v{k}": "\n\n".join(f"{i}\n00:00:0{i},000 --> 00:00:0{i},900\none two three {w}" for i, w in enumerate("abc"[: 1 + k % 3], 1)) for k in range(9)}
+    known = spark.createDataFrame([(k, f"one two three {w}", f"<{w}>", 80.0) for k, w in enumerate("xcab", 1)], W.MEMORY)
+    memory = incremental.MemoryTable(spark, f"{base}/memory")
+    memory.upsert(known, 0, "given")
+    spark.createDataFrame(list(texts.items()), "video_id string, text string").write.parquet(f"{base}/srt")
+    storage.write(spark.createDataFrame([("lost", 1)], "video_id string, idx int"), f"{base}/cues/batch=0", whole=False)
+
+    def telling():
+        return lambda prompt: json.dumps([" ".join(re.findall(r"→ \"<(.)>\"", prompt))] * len(json.loads(prompt[prompt.rindex("\n\n[{") + 2 :])))
+
+    before = {*folder.iterdir()}
+    stream = spark.readStream.schema("video_id string, text string").parquet(f"{base}/srt")
+    incremental.translate_subtitles(stream, telling, f"{base}/cues", f"{base}/checkpoint", memory, SILENT, no_wait).awaitTermination()
+    assert {p for p in {*folder.iterdir()} - before if not re.fullmatch("[0-9a-f-]{36}", p.name)} == set()  # Spark's own checkpoints have such names
+    got = {(r.video_id, r.idx): r.target for r in spark.read.parquet(f"{base}/cues").collect()}
+    assert got == {(f"v{k}", i): ["a x", "a x b", "a x b c"][k % 3] for k in range(9) for i in range(1, 2 + k % 3)}
+
+
+def test_memories_take_only_what_they_hold(spark):
+    """Rows of other sources than those that a memory has or will take are left out, and it is the same as with all of them."""
+    import random
+
+    some, base = random.Random(8), new_path(spark, "held")
+    held, whole = (incremental.MemoryTable(spark, f"{base}/{n}", cap=5) for n in ("held", "whole"))
+    for batch in range(4):
+        rows = [(f"v{some.randrange(40):02}", k, f"s{some.randrange(9 * (batch + 1))}", f"t{batch}-{k}", float(some.randrange(99))) for k in range(60)]
+        df = storage.materialize(spark.createDataFrame(rows, "video_id string, idx int, source string, target string, score double"))
+        taken = held.held(df)
+        numbers = {(v, i): n for n, (v, i) in enumerate(sorted(r[:2] for r in rows), 1)}
+        assert {tuple(r) for r in taken.collect()} < {(numbers[v, i], *rest) for v, i, *rest in rows}
+        held.upsert(taken, batch, first=1)
+        whole.upsert(numbered(df, "video_id", "idx").drop("video_id", "idx"), batch)
+        got, want = ({r.source: (r.target, r.score, r.first_seq) for r in m.read().collect()} for m in (held, whole))
+        assert got == want and len(got) == 5
+    all_ = incremental.MemoryTable(spark, f"{base}/all", cap=None).held(df)
+    assert {tuple(r) for r in all_.collect()} == {(numbers[v, i], *rest) for v, i, *rest in rows}
+
+
 def test_batches_report(spark):
     store = runs.StepStore(spark, new_path(spark, "steps"))
     inventory = spark.createDataFrame([("in/a.mp4", "in"), ("in/sub/b.MKV", "in"), ("in/c.mov", "in"), ("in/d.mp4", "in"), ("in/a.mp4", "in"), ("in/note.txt", "in")], "path string, root string")
